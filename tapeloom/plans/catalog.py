@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["windows", "screens"]
+MODULES = ["windows", "screens", "stores"]
 
 for _name in MODULES:
     importlib.import_module(f"tapeloom.plans.{_name}")
