@@ -136,3 +136,21 @@ def features(bars: DataFrame) -> DataFrame:
         }
     )
     return df.drop("tr", "g_", "l_", "atr50_", "g14_", "l14_", "g2_", "l2_")
+
+
+def swing_columns(bars: DataFrame) -> DataFrame:
+    """Columns of the variant research: ema5/10/20/50/200, rsi, rsi2 (null without loss), atr, vol3, vol20."""
+    gain, loss = r.gain_loss()
+    df = with_true_range(bars).withColumns({"g_": gain, "l_": loss})
+    parts = {f"ema{n}": span(C("close"), n, n) for n in (5, 10, 20, 50, 200)} | {"atr": wilder(C("tr"), 14, 14)}
+    for n in (14, 2):
+        parts |= {f"g{n}_": wilder(C("g_"), n, n), f"l{n}_": wilder(C("l_"), n, n)}
+    df = smooth(df, parts)
+    return df.withColumns(
+        {
+            "rsi": _rsi(C("g14_"), C("l14_")),
+            "rsi2": _rsi(C("g2_"), C("l2_")),
+            "vol3": r.sma(C("volume"), 3),
+            "vol20": r.sma(C("volume"), 20),
+        }
+    ).drop("tr", "g_", "l_", "g14_", "l14_", "g2_", "l2_")
