@@ -60,13 +60,14 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list
             F.max(value).alias("most"),
         )
     )
+    small = C("n") <= accuracy
     slices = F.array(
         *[
             F.struct(
                 F.lit(s).alias("share"),
-                # The sketch's own ends are replaced by the exact ones.
-                (C("least") if s <= slack else C("edges")[2 * k]).alias("lo"),
-                (C("most") if s >= 1 - slack else C("edges")[2 * k + 1]).alias("hi"),
+                # A small group is its own slice; the sketch's own ends are replaced by the exact ones.
+                F.when(small | F.lit(s <= slack), C("least")).otherwise(C("edges")[2 * k]).alias("lo"),
+                F.when(small | F.lit(s >= 1 - slack), C("most")).otherwise(C("edges")[2 * k + 1]).alias("hi"),
             )
             for k, s in enumerate(shares)
         ]

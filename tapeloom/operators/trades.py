@@ -17,13 +17,14 @@ SPLITS = {
 }
 
 
-def profit_factor(r: Column = C("r")) -> Column:
+def profit_factor() -> Column:
     """Gains over losses, null without a losing trade."""
+    r = C("r")
     return F.try_divide(F.sum(F.when(r > 0, r).otherwise(0.0)), -F.sum(F.when(r < 0, r)))
 
 
-def win_rate(r: Column = C("r")) -> Column:
-    return F.avg(F.when(r > 0, 1.0).otherwise(0.0))
+def win_rate() -> Column:
+    return F.avg(F.when(C("r") > 0, 1.0).otherwise(0.0))
 
 
 def trade_summary(trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -296,7 +297,8 @@ def condition_mining(
         "fa", "ca", "fb", "cb", *[m for p in ("train", "valid", "hold") for m in _cell_metrics(p)]
     )
     kept = figures.filter((C("train_n") >= min_n) & (C("train_avg") > 0) & (C("train_win") >= min_win))
-    kept = kept.withColumn("score", F.least("train_win", F.lit(0.7)) + C("train_avg") * 0.1)
+    # Rounded, so that conditions choosing the same rows tie, and their names decide.
+    kept = kept.withColumn("score", F.round(F.least("train_win", F.lit(0.7)) + C("train_avg") * 0.1, 9))
     best = kept.orderBy(F.desc("score"), "fa", "ca", "fb", "cb").limit(top)
     return best.withColumn(
         "selection_score", F.least("train_win", "valid_win") + F.least("train_avg", "valid_avg") * 0.1

@@ -13,10 +13,18 @@ from tapeloom.operators import signals as sg
 from tapeloom.plans import sql as q
 from tapeloom.plans.registry import query
 from tapeloom.plans.windows import day, rnd
+from tapeloom.session import settle
 from tapeloom.sources.bars import daily, wide
 
 C = F.col
 DAY = "CAST(dt AS VARCHAR) AS dt"
+
+
+def stored(rows):
+    """Settle a per-ticker table clustered by ticker, as the bar store keeps it."""
+    return settle(rows.repartition("ticker").sortWithinPartitions("ticker", "i"))
+
+
 INDEXES = ("MKT", "NATION_1")
 IDX = "('MKT', 'NATION_1')"
 
@@ -54,6 +62,11 @@ def swing(spark, sf):
     return ind.swing_columns(daily(spark, sf))
 
 
+def swing_table(spark, sf):
+    """The swing columns as a stored table, for jobs that read them several times."""
+    return stored(swing(spark, sf))
+
+
 @query("regime_any", q.with_ctes(q.BARS, SWING, ANY, select=f"SELECT {DAY}, bull, bear FROM rany"))
 def regime_any(spark, sf):
     return rg.regime_any(swing(spark, sf), INDEXES).select(day(), "bull", "bear")
@@ -141,7 +154,7 @@ def rule_sql(rule: sg.Rule) -> str:
 
 
 def prepared(spark, sf):
-    feats = ind.features(daily(spark, sf))
+    feats = feature_rows(spark, sf)
     regime = rg.regime_all(feats, ("MKT",))
     return sg.prepare_rules(rg.with_regime(feats, regime))
 
@@ -239,8 +252,8 @@ vsig AS MATERIALIZED ({' UNION ALL '.join(variant_sql(v) for v in VARIANTS)})"""
 
 
 def variant_input(spark, sf):
-    rows = swing(spark, sf)
-    return rg.with_regime(rows, rg.regime_any(rows, INDEXES), ("bull", "bear"))
+    rows = swing_table(spark, sf)
+    return stored(rg.with_regime(rows, rg.regime_any(rows, INDEXES), ("bull", "bear")))
 
 
 def variant_rows(spark, sf):
@@ -313,7 +326,7 @@ MOM = sg.Momentum(rank_pct=0.4, min_volume=10.0, min_dollar_volume=1_000.0, min_
     ),
 )
 def xmom_candidates(spark, sf):
-    rows = swing(spark, sf)
+    rows = swing_table(spark, sf)
     found = sg.momentum_candidates(rows, rg.regime_any(rows, INDEXES), MOM).filter(~C("ticker").isin(*INDEXES))
     return found.select("ticker", day(), "side", rnd("rank").alias("rank"), "momentum", rnd("stop", 4).alias("stop"))
 
@@ -358,7 +371,7 @@ BREAKOUT = sg.Rule("breakout", min_ddv=1_000.0, use_regime=False)
 
 
 def feature_rows(spark, sf):
-    return ind.features(daily(spark, sf))
+    return stored(ind.features(daily(spark, sf)))
 
 
 def fired(feats, rule):
@@ -555,7 +568,7 @@ def trail_signals(rows):
     ),
 )
 def barrier_trail(spark, sf):
-    rows = swing(spark, sf)
+    rows = swing_table(spark, sf)
     t = ba.label_trail(trail_signals(rows), rows, "ema20", max_hold=40)
     return _trade_out(t, "side", rnd("mfe_r", 5).alias("mfe_r"))
 
@@ -603,7 +616,7 @@ def staged_signals(rows):
     ),
 )
 def barrier_two_stage(spark, sf):
-    rows = swing(spark, sf)
+    rows = swing_table(spark, sf)
     return _trade_out(ba.label_two_stage(staged_signals(rows), rows), "held")
 
 
@@ -632,7 +645,7 @@ def barrier_two_stage(spark, sf):
     ),
 )
 def barrier_structural(spark, sf):
-    rows = swing(spark, sf)
+    rows = swing_table(spark, sf)
     twice = staged_signals(rows)
     return _trade_out(ba.label_structural(twice.unionByName(twice.filter(C("i") % 2 == 0)), rows), "hit_target")
 
@@ -688,5 +701,5 @@ def pair_rotation(spark, sf):
     from tapeloom.operators.rotation import pair_trades
 
     pairs = {"MKT": ("NATION_1", "NATION_2"), "NATION_3": ("NATION_4", "NATION_5")}
-    t = pair_trades(swing(spark, sf), pairs)
+    t = pair_trades(swing_table(spark, sf), pairs)
     return t.select("under", "ticker", "side", day("entry_date"), day("exit_date"), "status", rnd("ret").alias("ret"), "momentum")
