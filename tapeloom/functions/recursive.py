@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 512
@@ -34,40 +34,35 @@ def wilder(x: Column, n: int = 14, min_rows: int = 1) -> Smooth:
     return Smooth(x, 1.0 / n, min_rows)
 
 
-def _carried(ends: str, fade: float) -> Column:
-    """Value carried into a block from the end values of all blocks before it."""
-    return F.aggregate(ends, F.lit(0.0), lambda acc, end: acc * fade + end)
-
-
 def smooth(df: DataFrame, columns: dict[str, Smooth]) -> DataFrame:
-    """Add smoothed columns. A null input is allowed only on leading rows (it is skipped)."""
-    own = df.columns
-    block = (F.col("i") / BLOCK).cast("bigint")
-    place = F.col("i") % BLOCK
-    inside = Window.partitionBy("ticker", "__b").orderBy("i")
-    before = Window.partitionBy("ticker").orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
-    through = Window.partitionBy("ticker").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-
-    df = df.withColumns({"__b": block, "__p": place} | {f"__x_{k}": s.x for k, s in columns.items()})
+    """Add smoothed columns. A null input is allowed only on leading rows (it is skipped).
+
+    The steps are written as SQL text, which keeps the driver's part of a wide call short.
+    """
+    own = [c for c in df.columns if c not in columns]
+    by_ticker = "partition by ticker order by i rows unbounded preceding"
+    by_block = "partition by ticker, b_ order by i rows unbounded preceding"
+    earlier = "partition by ticker order by b_ range between unbounded preceding and 1 preceding"
+
+    inputs = {f"x_{k}_": s.x for k, s in columns.items()}
+    place = {"b_": F.expr(f"i div {BLOCK}"), "p_": F.expr(f"i % {BLOCK}")}
+    df = df.withColumns(inputs | place)
     # Seed row: the first row holding a value takes it whole.
-    df = df.withColumns({f"__n_{k}": F.count(f"__x_{k}").over(through) for k in columns})
-    local = {}
-    for k, s in columns.items():
-        keep = F.lit(1.0 - s.alpha)
-        weight = F.when(F.col(f"__n_{k}") == 1, F.lit(1.0)).otherwise(F.lit(s.alpha))
-        scaled = F.coalesce(weight * F.col(f"__x_{k}"), F.lit(0.0)) * F.pow(keep, -F.col("__p"))
-        local[f"__l_{k}"] = F.sum(scaled).over(inside) * F.pow(keep, F.col("__p"))
-    df = df.withColumns(local)
-    df = df.withColumns(
-        {
-            f"__e_{k}": F.collect_list(F.when(F.col("__p") == BLOCK - 1, F.col(f"__l_{k}"))).over(before)
-            for k in columns
-        }
-    )
-    out = {}
-    for k, s in columns.items():
+    df = df.withColumns({f"n_{k}_": F.expr(f"count(x_{k}_) over ({by_ticker})") for k in columns})
+
+    def local(k: str, s: Smooth) -> Column:
+        keep = repr(1.0 - s.alpha)
+        weighted = f"if(n_{k}_ = 1, 1D, {s.alpha!r}D) * x_{k}_"
+        return F.expr(f"sum(coalesce({weighted}, 0D) * pow({keep}D, -p_)) over ({by_block}) * pow({keep}D, p_)")
+
+    def ends(k: str) -> Column:
+        return F.expr(f"collect_list(if(p_ = {BLOCK - 1}, l_{k}_, null)) over ({earlier})")
+
+    def value(k: str, s: Smooth) -> Column:
         keep = 1.0 - s.alpha
-        carry = _carried(f"__e_{k}", keep**BLOCK)
-        value = F.col(f"__l_{k}") + carry * F.pow(F.lit(keep), F.col("__p") + 1)
-        out[k] = F.when(F.col(f"__n_{k}") >= s.min_rows, value)
-    return df.withColumns(out).select(*[c for c in own if c not in columns], *columns)
+        carry = f"aggregate(e_{k}_, 0D, (acc, x) -> acc * {keep**BLOCK!r}D + x)"
+        return F.expr(f"if(n_{k}_ >= {s.min_rows}, l_{k}_ + {carry} * pow({keep!r}D, p_ + 1), null)")
+
+    df = df.withColumns({f"l_{k}_": local(k, s) for k, s in columns.items()})
+    df = df.withColumns({f"e_{k}_": ends(k) for k in columns})
+    return df.select(*own, *[value(k, s).alias(k) for k, s in columns.items()])
