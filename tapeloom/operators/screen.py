@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import rolling as r
 from tapeloom.functions.recursive import smooth, span
 from tapeloom.operators import indicators as ind
+from tapeloom.session import settle
 
 C = F.col
 
@@ -214,15 +215,13 @@ def volume_band(bars: DataFrame, bins: int = 20, window: int = 60) -> DataFrame:
 
 def gates(bars: DataFrame, p: ScreenParams) -> DataFrame:
     """One row per ticker with the cumulative funnel flags universe, liquid, po, dip."""
-    liquid = liquidity_gate(bars, p)
     whole = bars.agg(F.max("dt").alias("store_dt"))
-    base = liquid.join(F.broadcast(whole)).withColumn(  # one row
+    base = liquidity_gate(bars, p).join(F.broadcast(whole)).withColumn(  # one row
         "universe",
         (C("n") >= p.min_history) & (F.datediff("store_dt", "last_dt") <= p.max_stale_days),
     )
     weekly = weekly_order(bars, p.min_weeks).select("ticker", "po_weeks")
-    dip = dip_check(bars, p)
-    joined = base.join(weekly, "ticker", "left").join(dip, "ticker", "left")
+    joined = base.join(weekly, "ticker", "left").join(dip_check(bars, p), "ticker", "left")
     joined = joined.withColumn("liquid", C("universe") & C("liquid"))
     joined = joined.withColumn("po", C("liquid") & F.coalesce(C("po_weeks") > 0, F.lit(False)))
     return joined.withColumn("dip", C("po") & C("touch_days_ago").isNotNull())
@@ -233,13 +232,19 @@ def funnel(gated: DataFrame) -> DataFrame:
 
 
 def screen(bars: DataFrame, benchmark: str, p: ScreenParams = ScreenParams()) -> DataFrame:
-    """Tickers through every gate, with trend, strength, volume and level measures."""
+    """Tickers through every gate, with trend, strength, volume and level measures.
+
+    ``bars`` should be a stored table. The gates' outcome and the bars of the tickers left are
+    settled, so that the measures read only those and the gates run once.
+    """
     from tapeloom.operators.volume import volume_assessment
 
-    passed = gates(bars, p).filter("dip").select(
-        "ticker", "price", "dollar_vol", "po_weeks", "touch_days_ago", "bounced", "ema20", "ema20_dist"
+    passed = settle(
+        gates(bars, p)
+        .filter("dip")
+        .select("ticker", "price", "dollar_vol", "po_weeks", "touch_days_ago", "bounced", "ema20", "ema20_dist")
     )
-    left = bars.join(passed.select("ticker"), "ticker", "left_semi")
+    left = settle(bars.join(passed.select("ticker"), "ticker", "left_semi"))
     last_adx = with_tail(ind.adx(left), 1).select("ticker", "adx", "atr")
     strength = relative_strength(
         left.filter(C("ticker") != benchmark).unionByName(bars.filter(C("ticker") == benchmark)), benchmark

@@ -11,6 +11,7 @@ from tapeloom.plans.screens import pivot_ctes
 from tapeloom.plans.windows import day, rnd
 from tapeloom.sources.bars import daily
 from tapeloom.sources.bars import intraday as raw_bars
+from tapeloom.sources.store import stored
 
 C = F.col
 
@@ -92,7 +93,7 @@ def chart_bars(spark, sf):
         "close",
         "volume",
     )
-    return bars15(spark, sf).unionByName(tail)
+    return stored(bars15(spark, sf).unionByName(tail))
 
 
 def _rounded(lines):

@@ -13,18 +13,11 @@ from tapeloom.operators import signals as sg
 from tapeloom.plans import sql as q
 from tapeloom.plans.registry import query
 from tapeloom.plans.windows import day, rnd
-from tapeloom.session import settle
 from tapeloom.sources.bars import daily, wide
+from tapeloom.sources.store import stored
 
 C = F.col
 DAY = "CAST(dt AS VARCHAR) AS dt"
-
-
-def stored(rows):
-    """Settle a per-ticker table clustered by ticker, as the bar store keeps it."""
-    return settle(rows.repartition("ticker").sortWithinPartitions("ticker", "i"))
-
-
 INDEXES = ("MKT", "NATION_1")
 IDX = "('MKT', 'NATION_1')"
 

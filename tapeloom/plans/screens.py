@@ -10,6 +10,7 @@ from tapeloom.plans import sql as q
 from tapeloom.plans.registry import query
 from tapeloom.plans.windows import ADX_CTES, MACD_CTES, RSI_SIMPLE, TIGHT, day, rnd
 from tapeloom.sources.bars import daily
+from tapeloom.sources.store import stored
 
 C = F.col
 
@@ -211,7 +212,7 @@ def volume_band(spark, sf):
     ),
 )
 def volume_verdict(spark, sf):
-    bars = daily(spark, sf)
+    bars = stored(daily(spark, sf))
     found = volume_assessment(bars, sc.dip_check(bars).select("ticker", "bounced")).filter("volume is not null")
     ups = F.size(F.filter("volume.week_bars", lambda b: b["up"])).cast("bigint")
     return found.select(
@@ -238,7 +239,7 @@ _SCREEN_CTES = (q.BARS, TAIL, LIQUID, WEEKLY, DIP, GATES)
     ),
 )
 def screen_funnel(spark, sf):
-    return sc.funnel(sc.gates(daily(spark, sf), PARAMS))
+    return sc.funnel(sc.gates(stored(daily(spark, sf)), PARAMS))
 
 
 @query(
@@ -263,7 +264,7 @@ def screen_funnel(spark, sf):
     ),
 )
 def screen(spark, sf):
-    return sc.screen(daily(spark, sf), "MKT", PARAMS).select(
+    return sc.screen(stored(daily(spark, sf)), "MKT", PARAMS).select(
         "ticker",
         "price",
         "state",

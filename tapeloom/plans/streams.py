@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tapeloom.plans import sql as q
 from tapeloom.plans.registry import query
 from tapeloom.sources.bars import SCHEMAS
-from tapeloom.streaming.bars import tick_bars
+from tapeloom.streaming.bars import newest_rows, tick_bars
 
 C = F.col
 
@@ -33,16 +33,14 @@ def stream_bars(spark, sf):
             C("event_type").alias("ticker"), C("ts").cast("timestamp").alias("ts"), C("value").alias("price"), "event_id"
         )
     )
+    bars = tick_bars(ticks)
     job = (
-        tick_bars(ticks)
-        .writeStream.outputMode("update")
-        .foreachBatch(lambda batch, n: batch.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+        bars.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     job.awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
-    values = ["open", "high", "low", "close", "volume"]
-    newest = out.groupBy("ticker", "ts").agg(F.max_by(F.struct(*values), "batch").alias("row_"))
-    return newest.select("ticker", F.unix_timestamp("ts").alias("t"), "row_.*")
+    newest = newest_rows(spark, f"{folder}/out", ["ticker", "ts"])
+    return newest.select("ticker", F.unix_timestamp("ts").alias("t"), "open", "high", "low", "close", "volume")

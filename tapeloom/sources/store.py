@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rolling as r
+from tapeloom.session import settle
 
 C = F.col
 
@@ -30,6 +31,11 @@ def upsert_known(current: DataFrame, changes: DataFrame, version: str) -> DataFr
     return upsert(current, usable, ["ticker", "dt"], version)
 
 
+def stored(bars: DataFrame) -> DataFrame:
+    """Settle a table of bars clustered by ticker, for jobs that read it several times."""
+    return settle(bars.repartition("ticker").sortWithinPartitions("ticker", "i"))
+
+
 def trim_history(bars: DataFrame, years: int = 6) -> DataFrame:
     """Keep each ticker's own last ``years`` years."""
     newest = bars.groupBy("ticker").agg(F.add_months(F.max("dt"), -12 * years).alias("from_dt"))

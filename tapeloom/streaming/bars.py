@@ -1,8 +1,8 @@
-"""Streams: bars from ticks, and upserts of daily bars per micro-batch."""
+"""Streams: bars from ticks, and versions of bars kept per micro-batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,38 +36,31 @@ def deduplicated(feed: DataFrame, keys: list[str], late: str = "1 day") -> DataF
     return feed.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def write_upserts(feed: DataFrame, path: str, checkpoint: str, keys: list[str], version: str) -> StreamingQuery:
-    """Upsert every micro-batch into a Parquet table partitioned by ``dt``.
+def write_versions(feed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep every micro-batch under its own number; rows carry their version.
 
-    Only the dates a batch touches are read and replaced. A batch that is delivered again after
-    a failure writes the same rows again, since the newest version of a key wins.
+    A batch delivered again after a failure replaces only itself, and nothing older is touched,
+    so no failure can lose rows. ``newest_rows`` gives the upserted view.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            try:
-                current = spark.read.schema(batch.schema).parquet(path)
-                touched = current.join(batch.select("dt").distinct(), "dt", "left_semi").select(batch.columns)
-                merged = upsert(touched, batch, keys, version)
-            except Exception as exc:  # the table does not exist before the first batch
-                if "PATH_NOT_FOUND" not in str(exc):
-                    raise
-                merged = upsert(batch.limit(0), batch, keys, version)
-            (
-                merged.select(batch.columns)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("dt")
-                .parquet(path)
-            )
-        finally:
-            batch.unpersist()
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        feed.writeStream.foreachBatch(merge)
+        feed.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def newest_rows(spark: SparkSession, path: str, keys: list[str], version: str = "batch") -> DataFrame:
+    """Newest version of every key in a folder of kept batches."""
+    kept = spark.read.parquet(path)
+    return upsert(kept.limit(0), kept, keys, version)
+
+
+def compact(spark: SparkSession, path: str, target: str, keys: list[str], version: str = "batch") -> None:
+    """Write the newest rows as a fresh table partitioned by date."""
+    rows = newest_rows(spark, path, keys, version)
+    rows.repartition("dt").write.mode("overwrite").partitionBy("dt").parquet(target)
