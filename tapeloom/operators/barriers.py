@@ -401,9 +401,13 @@ def label_two_stage(signals: DataFrame, bars: DataFrame, max_hold: int = 30, cos
     after = F.array_min(F.filter("backs", lambda x: x > C("h")))
     rows = rows.withColumns({"half": half, "b": F.when(half, after)})
     rows = rows.withColumn("j", F.when(C("half"), F.least("b", "t", last)).otherwise(F.least("s", "t", last)))
+    fall = F.when(C("half"), C("b")).otherwise(C("s"))
+    fell = fall.isNotNull() & (C("t").isNull() | (fall <= C("t")))
+    # Told from the touching bars, not from the exit bar: a stop raised on the last bar does not count on it.
+    rows = rows.withColumns({"fell_": fell, "won_": ~fell & C("t").isNotNull()})
     rows = _exit_bar(rows, bars).withColumn("floor_", F.when(C("half"), C("entry")).otherwise(C("stop")))
-    gap, fell = C("x_open") <= C("floor_"), C("x_low") <= C("floor_")
-    won = (C("x_open") >= C("target")) | (C("x_high") >= C("target"))
+    fell, won = C("fell_"), C("won_")
+    gap = fell & (C("x_open") <= C("floor_"))
     rows = rows.withColumn(
         "status",
         F.when(gap, F.lit("gap_stop"))

@@ -600,8 +600,8 @@ def staged_signals(rows):
           FROM ts_w w JOIN ts_2 o ON o.ticker = w.ticker AND o.i = w.i GROUP BY ALL),
         ts_4 AS (SELECT v.*, half, s2, t, LEAST(COALESCE(s2, last), COALESCE(t, last)) AS j, CASE WHEN half THEN entry ELSE stop END AS flr
           FROM ts_v v JOIN ts_3 o ON o.ticker = v.ticker AND o.i = v.i),
-        ts_5 AS (SELECT x.*, b.dt AS exit_date, b.open AS xo, CASE WHEN b.open <= flr THEN 'gap_stop' WHEN b.low <= flr AND half THEN 'be' WHEN b.low <= flr THEN 'stop'
-          WHEN b.high >= target THEN 'target' ELSE 'time' END AS status, b.close AS xc FROM ts_4 x JOIN bars b ON b.ticker = x.ticker AND b.i = x.j),
+        ts_5 AS (SELECT x.*, b.dt AS exit_date, b.open AS xo, CASE WHEN s2 <= COALESCE(t, 1000000) AND b.open <= flr THEN 'gap_stop' WHEN s2 <= COALESCE(t, 1000000) AND half THEN 'be'
+          WHEN s2 <= COALESCE(t, 1000000) THEN 'stop' WHEN t IS NOT NULL THEN 'target' ELSE 'time' END AS status, b.close AS xc FROM ts_4 x JOIN bars b ON b.ticker = x.ticker AND b.i = x.j),
         ts_6 AS (SELECT *, CASE WHEN status = 'gap_stop' THEN xo WHEN status IN ('be', 'stop') THEN flr WHEN status = 'target' THEN GREATEST(xo, target) ELSE xc END AS px FROM ts_5),
         ts_7 AS (SELECT *, (px - entry) / risk AS xr, (tp1 - entry) / risk AS pr FROM ts_6),
         two AS (SELECT *, CASE WHEN half THEN 0.5 * pr + 0.5 * xr ELSE xr END - 2 * 10 / 10000.0::DOUBLE * entry / risk AS r FROM ts_7)""",
