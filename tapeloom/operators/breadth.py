@@ -56,19 +56,19 @@ def theme_scores(flags: DataFrame, themes: DataFrame) -> DataFrame:
     )
 
 
-def _packed(scores: DataFrame, key: str, name: str) -> DataFrame:
-    return scores.agg(F.map_from_entries(F.collect_list(F.struct(key, "score"))).alias(name))
+def _packed(scores: DataFrame, key: str) -> Column:
+    """Scores as one map; there are a handful of sectors and themes."""
+    return scores.agg(F.map_from_entries(F.collect_list(F.struct(key, "score")))).scalar()
 
 
 def health_row(flags: DataFrame, universe: DataFrame, themes: DataFrame, today: str, display=None) -> DataFrame:
     """The day's row: overall score and signal, and maps of sector and theme scores."""
-    by_sector = _packed(sector_scores(flags, universe, display), "sector", "sector_scores")
-    by_theme = _packed(theme_scores(flags, themes), "theme", "theme_scores")
-    return (
-        overall(flags)
-        .join(F.broadcast(by_sector))  # one row each
-        .join(F.broadcast(by_theme))
-        .withColumn("date", F.lit(today).cast("date"))
+    return overall(flags).withColumns(
+        {
+            "sector_scores": _packed(sector_scores(flags, universe, display), "sector"),
+            "theme_scores": _packed(theme_scores(flags, themes), "theme"),
+            "date": F.lit(today).cast("date"),
+        }
     )
 
 
@@ -103,13 +103,13 @@ def previous_sectors(sector_history: DataFrame) -> DataFrame:
     """Sector scores of the second newest date."""
     dates = sector_history.select("dt").distinct().orderBy(F.desc("dt")).limit(2)
     before = dates.agg(F.min("dt").alias("dt"), F.count(F.lit(1)).alias("k")).filter(C("k") == 2).select("dt")
-    return sector_history.join(F.broadcast(before), "dt", "left_semi")
+    return sector_history.join(before, "dt", "left_semi")
 
 
 def sector_ma(sector_history: DataFrame, rows: int = 20) -> DataFrame:
     """Mean score and points of each sector over the newest dates; the mean needs two values."""
     dates = sector_history.select("dt").distinct().orderBy(F.desc("dt")).limit(rows)
-    kept = sector_history.join(F.broadcast(dates), "dt", "left_semi").filter(C("score").isNotNull())
+    kept = sector_history.join(dates, "dt", "left_semi").filter(C("score").isNotNull())
     points = F.sort_array(F.collect_list(F.struct("dt", "score")))
     return kept.groupBy("sector").agg(
         F.count(F.lit(1)).alias("n"),
@@ -121,8 +121,8 @@ def sector_ma(sector_history: DataFrame, rows: int = 20) -> DataFrame:
 def last_days(history: DataFrame, today: Column, days: int) -> DataFrame:
     """Rows of the last calendar days, or all rows when that leaves none."""
     inside = C("dt") >= F.date_sub(today, days)
-    found = history.agg(F.count_if(inside).alias("found_"))
-    return history.join(F.broadcast(found)).filter(inside | (C("found_") == 0)).drop("found_")
+    found = history.agg(F.count_if(inside)).scalar()
+    return history.filter(inside | (found == 0))
 
 
 def weekly_scores(history: DataFrame, window: int = 10) -> DataFrame:

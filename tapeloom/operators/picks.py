@@ -125,12 +125,8 @@ def sort_picks(picks: DataFrame, sorts: list[tuple[str, int]], position: str) ->
 
 
 def latest_picks(history: DataFrame) -> DataFrame:
-    newest = history.agg(F.max("scan_date").alias("newest_"))
-    return (
-        history.join(F.broadcast(newest), C("scan_date") == C("newest_"))  # one row
-        .drop("newest_")
-        .orderBy("ticker")
-    )
+    newest = history.agg(F.max("scan_date")).scalar()
+    return history.filter(C("scan_date") == newest).orderBy("ticker")
 
 
 def latest_levels(history: DataFrame) -> DataFrame:

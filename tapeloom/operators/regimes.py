@@ -73,11 +73,11 @@ def price_grid(bars: DataFrame, value: str = "close") -> DataFrame:
     """
     days = bars.select("dt").distinct()
     numbered = days.withColumn("pos", F.row_number().over(Window.orderBy("dt")).cast("bigint") - 1)
-    size = numbered.agg((F.max("pos") + 1).alias("size_"))
+    size = numbered.agg(F.max("pos") + 1).scalar()
     placed = bars.select("ticker", "dt", C(value).alias("value")).join(numbered, "dt")
     own = Window.partitionBy("ticker").orderBy("pos")
-    placed = placed.join(F.broadcast(size)).withColumns(  # one row
-        {"until": F.coalesce(F.lead("pos").over(own), C("size_")) - 1, "rank": F.row_number().over(own)}
+    placed = placed.withColumns(
+        {"until": F.coalesce(F.lead("pos").over(own), size) - 1, "rank": F.row_number().over(own)}
     )
     filled = F.transform(F.sequence("pos", "until"), lambda p: F.struct(p.alias("pos"), C("value").alias("value")))
     ahead = F.when(

@@ -28,11 +28,11 @@ def block_bootstrap(spark: SparkSession, trades: DataFrame, iters: int = 2000, s
         (F.row_number().over(Window.orderBy("m")) - 1).cast("bigint").alias("k"),
         F.count(F.lit(1)).over(Window.partitionBy()).alias("g"),
     ).filter(C("g") >= 5)
-    size = placed.agg(F.max("g").alias("g")).filter(C("g").isNotNull())
+    size = placed.agg(F.max("g")).scalar()
     picks = (
         spark.range(iters)
-        .withColumnRenamed("id", "it")
-        .join(F.broadcast(size))  # one row
+        .select(C("id").alias("it"), size.alias("g"))
+        .filter(C("g").isNotNull())
         .select("it", "g", F.explode(F.sequence(F.lit(0).cast("bigint"), C("g") - 1)).alias("pos"))
         .select("it", (draw(seed, C("it"), C("pos")) % C("g")).alias("k"))
     )
@@ -59,11 +59,11 @@ def stationary_paths(spark: SparkSession, series: DataFrame, iters: int, block:
         F.log1p("ret").alias("step"),
         F.count(F.lit(1)).over(Window.partitionBy()).alias("n"),
     ).filter(C("n") >= 3 * block)
-    size = rets.agg(F.max("n").alias("n")).filter(C("n").isNotNull())
+    size = rets.agg(F.max("n")).scalar()
     steps = (
         spark.range(iters)
-        .withColumnRenamed("id", "it")
-        .join(F.broadcast(size))  # one row
+        .select(C("id").alias("it"), size.alias("n"))
+        .filter(C("n").isNotNull())
         .select("it", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), C("n") - 1)).alias("pos"))
     )
     restart = (C("pos") == 0) | (draw(seed + "-go", C("it"), C("pos")) % block == 0)
@@ -126,7 +126,7 @@ def null_report(means: DataFrame, observed: DataFrame, n_configs: int) -> DataFr
         F.percentile("mean_r", F.lit(0.95)).alias("p95"),
     )
     threshold = C("sd") * math.sqrt(2 * math.log(max(n_configs, 2)))
-    both = null.join(F.broadcast(observed))  # one row each
+    both = null.withColumn("observed", observed.scalar())
     both = both.withColumns({"selection_threshold": threshold, "excess": C("observed") - C("mean")})
     return both.withColumns(
         {

@@ -36,10 +36,8 @@ def with_tail(bars: DataFrame, rows: int | None = None) -> DataFrame:
 def fresh_tickers(bars: DataFrame, max_stale_days: int = 0) -> DataFrame:
     """Per ticker: bars, last date, and whether it is at most ``max_stale_days`` behind the store."""
     each = bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.max("dt").alias("last_dt"))
-    whole = each.agg(F.max("last_dt").alias("store_dt"))
-    return each.join(F.broadcast(whole)).withColumn(  # one row: the latest date of the store
-        "fresh", F.datediff("store_dt", "last_dt") <= max_stale_days
-    )
+    store_dt = each.agg(F.max("last_dt")).scalar()
+    return each.withColumn("fresh", F.datediff(store_dt, "last_dt") <= max_stale_days)
 
 
 def liquidity_gate(bars: DataFrame, p: ScreenParams) -> DataFrame:
@@ -136,9 +134,11 @@ def period_returns(bars: DataFrame, periods: tuple[int, ...] = (63, 126)) -> Dat
 def relative_strength(bars: DataFrame, benchmark: str, periods: tuple[int, ...] = (63, 126)) -> DataFrame:
     """Own return less the benchmark's, each over its own last rows."""
     own = period_returns(bars, periods)
-    base = own.filter(C("ticker") == benchmark).select(*[C(f"ret{n}").alias(f"base{n}") for n in periods])
-    joined = own.join(F.broadcast(base), how="left") if periods else own  # one benchmark row
-    return joined.select("ticker", *[(C(f"ret{n}") - C(f"base{n}")).alias(f"rs{n}") for n in periods])
+    base = period_returns(bars.filter(C("ticker") == benchmark), periods)
+    market = base.agg(F.first(F.struct(*[f"ret{n}" for n in periods]))).scalar()
+    return own.withColumn("market_", market).select(
+        "ticker", *[(C(f"ret{n}") - C(f"market_.ret{n}")).alias(f"rs{n}") for n in periods]
+    )
 
 
 def pivots(bars: DataFrame, k: int = 5, lookback: int | None = 300) -> DataFrame:
@@ -215,10 +215,10 @@ def volume_band(bars: DataFrame, bins: int = 20, window: int = 60) -> DataFrame:
 
 def gates(bars: DataFrame, p: ScreenParams) -> DataFrame:
     """One row per ticker with the cumulative funnel flags universe, liquid, po, dip."""
-    whole = bars.agg(F.max("dt").alias("store_dt"))
-    base = liquidity_gate(bars, p).join(F.broadcast(whole)).withColumn(  # one row
+    store_dt = bars.agg(F.max("dt")).scalar()
+    base = liquidity_gate(bars, p).withColumn(
         "universe",
-        (C("n") >= p.min_history) & (F.datediff("store_dt", "last_dt") <= p.max_stale_days),
+        (C("n") >= p.min_history) & (F.datediff(store_dt, "last_dt") <= p.max_stale_days),
     )
     weekly = weekly_order(bars, p.min_weeks).select("ticker", "po_weeks")
     joined = base.join(weekly, "ticker", "left").join(dip_check(bars, p), "ticker", "left")

@@ -248,11 +248,11 @@ def condition_mining(
     long = F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), C(f).cast("double").alias("value")) for f in features]))
     train = rows.filter(C("part") == "train").select(long)
     cuts = exact_percentiles(train, ["feature"], "value", list(shares))
-    # One row: a map of the fixed feature list to its few thresholds.
+    # A map of the fixed feature list to its few thresholds.
     table = cuts.groupBy("feature").agg(F.sort_array(F.collect_list("quantile")).alias("cuts"))
-    packed = table.agg(F.map_from_entries(F.collect_list(F.struct("feature", "cuts"))).alias("cuts"))
+    packed = table.agg(F.map_from_entries(F.collect_list(F.struct("feature", "cuts")))).scalar()
     r = C("r")
-    slotted = rows.join(F.broadcast(packed)).select("part", "r", *[_slot(f).alias(f) for f in features])
+    slotted = rows.withColumn("cuts", packed).select("part", "r", *[_slot(f).alias(f) for f in features])
     # Each row gives one cell per pair of features, and one per single feature (paired with itself).
     cells = F.inline(
         F.array(

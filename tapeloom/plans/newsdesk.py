@@ -111,7 +111,7 @@ _META = """meta AS (SELECT * FROM (VALUES ('1-URGENT', 'up', '%'), ('2-HIGH', 'd
 )
 def macro_impact(spark, sf):
     last2 = feeds.last_observations(macro_series(spark, sf))
-    rows = nw.macro_rows(last2, F.broadcast(_meta(spark)))  # five fixed rows
+    rows = nw.macro_rows(last2, _meta(spark))
     return rows.withColumn("dt", C("dt").cast("string"))
 
 

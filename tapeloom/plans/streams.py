@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tapeloom.plans import sql as q
 from tapeloom.plans.registry import query
+from tapeloom.session import shared_folder
 from tapeloom.sources.bars import SCHEMAS
 from tapeloom.streaming.bars import newest_rows, tick_bars
 
@@ -23,8 +22,7 @@ C = F.col
 )
 def stream_bars(spark, sf):
     """Every tick of the events table goes through the stream; the watermark closes the last bars at the end."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder = tempfile.mkdtemp(prefix="tapeloom-stream-", dir=shared if "://" not in shared else None)
+    folder = shared_folder(spark, "stream")
     ticks = (
         spark.readStream.schema(SCHEMAS["events"])
         .option("pathGlobFilter", "events.parquet")

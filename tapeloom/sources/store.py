@@ -96,8 +96,7 @@ def retain_dates(history: DataFrame, keep: int) -> DataFrame:
     if keep < 1:
         raise ValueError("keep must be at least 1")
     newest = history.select("scan_date").distinct().orderBy(F.desc("scan_date")).limit(keep)
-    oldest = newest.agg(F.min("scan_date").alias("from_"))
-    return history.join(F.broadcast(oldest), C("scan_date") >= C("from_")).drop("from_")  # one row
+    return history.filter(C("scan_date") >= newest.agg(F.min("scan_date")).scalar())
 
 
 def write_picks(new: DataFrame, path: str) -> None:
