@@ -39,7 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _percent(col: str) -> Column:
-    return F.round(F.col(col) * 100).cast("bigint")
+    """Whole percent of a non-negative fraction; adding a half stays in plain doubles, unlike ``round``."""
+    return F.floor(F.col(col) * 100 + 0.5)
 
 
 def _day_totals(ticks: DataFrame, *keys: str) -> DataFrame:
