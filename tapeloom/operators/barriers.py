@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rolling as r
+from tapeloom.session import safe_unions
 
 C = F.col
 MAX_WALK = 504
@@ -446,6 +447,7 @@ def label_structural(
     ``signals`` carry stop and resistance. A close below ema20 on the touching bar already arms
     the trail, while the raised stop counts from the bar after it.
     """
+    safe_unions(signals.sparkSession)  # the caller's signals are often stacked
     unique = signals.dropDuplicates(["ticker", "i"])
     s = _filled_signals(unique.withColumn("side", F.lit("long")), bars)
     s = s.withColumn("planned_rr", (C("resistance") - C("entry")) / C("risk"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.scalar import number, pct
+from tapeloom.session import safe_unions
 
 C = F.col
 
@@ -100,6 +101,7 @@ def dedup_titles(rows: DataFrame) -> DataFrame:
 
 def merge_feeds(first: DataFrame, second: DataFrame) -> DataFrame:
     """All rows of the first feed plus the second feed's titles the first does not have."""
+    safe_unions(first.sparkSession)
     cols = first.columns
     titles = first.select("title").distinct()
     extra = dedup_titles(second).join(titles, "title", "left_anti")

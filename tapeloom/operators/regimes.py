@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.session import safe_unions
+
 C = F.col
 
 
@@ -50,6 +52,7 @@ def align_forward(rows: DataFrame, calendar: DataFrame, date: str) -> DataFrame:
 
     The distinct dates of the rows are looked up in the calendar, then joined back by equality.
     """
+    safe_unions(rows.sparkSession)
     cal = calendar.select("day").distinct()
     numbered = cal.withColumn("pos", F.row_number().over(Window.orderBy("day")).cast("bigint") - 1)
     wanted = rows.select(C(date).alias("d")).distinct()

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tapeloom.functions import rolling as r
 from tapeloom.functions.recursive import smooth, span
 from tapeloom.operators import indicators as ind
-from tapeloom.session import settle
+from tapeloom.session import safe_unions, settle
+from tapeloom.sources.store import stored
 
 C = F.col
 
@@ -239,12 +240,13 @@ def screen(bars: DataFrame, benchmark: str, p: ScreenParams = ScreenParams()) ->
     """
     from tapeloom.operators.volume import volume_assessment
 
+    safe_unions(bars.sparkSession)
     passed = settle(
         gates(bars, p)
         .filter("dip")
         .select("ticker", "price", "dollar_vol", "po_weeks", "touch_days_ago", "bounced", "ema20", "ema20_dist")
     )
-    left = settle(bars.join(passed.select("ticker"), "ticker", "left_semi"))
+    left = stored(bars.join(passed.select("ticker"), "ticker", "left_semi"))
     last_adx = with_tail(ind.adx(left), 1).select("ticker", "adx", "atr")
     strength = relative_strength(
         left.filter(C("ticker") != benchmark).unionByName(bars.filter(C("ticker") == benchmark)), benchmark

@@ -12,7 +12,7 @@ from tapeloom.plans import research as re_
 from tapeloom.plans import sql as q
 from tapeloom.plans.registry import query
 from tapeloom.plans.windows import day, rnd
-from tapeloom.session import settle
+from tapeloom.session import kept
 from tapeloom.sources.bars import daily
 
 C = F.col
@@ -25,7 +25,7 @@ TRADES = (q.BARS, q.FEATURES, re_.PREP_PLAIN, re_.PULL_SIG, _LABEL)
 def labelled(spark, sf, rule=re_.PULLBACK, bracket=ba.Bracket(2.0, 2.0)):
     feats = re_.feature_rows(spark, sf)
     t = ba.label_brackets(feats, re_.fired(feats, rule), {0: bracket})
-    return settle(t.withColumn("held", C("bars")))
+    return kept(t.withColumn("held", C("bars")), "trades")
 
 
 PF = "SUM(CASE WHEN r > 0 THEN r ELSE 0 END) / NULLIF(-SUM(CASE WHEN r < 0 THEN r END), 0)"
@@ -176,16 +176,16 @@ BRACKETS = dict(enumerate(ba.bracket_grid()))
 
 def grid_cells(prep, feats, rules: dict, brackets: dict, min_signals: int, min_trades: int):
     """Split statistics of every rule x bracket cell; each fired bar is labelled once for all rules."""
-    fired = settle(sg.rule_signals(prep, rules).select("ticker", "i", "rules"))
+    fired = kept(sg.rule_signals(prep, rules).select("ticker", "i", "rules"), "signals")
     labels = ba.label_brackets(feats, fired.select("ticker", "i"), brackets)
     by_rule = fired.select("ticker", "i", F.explode("rules").alias("rule"))
     narrow = labels.select("ticker", "i", "bracket", "entry_date", "exit_date", "r", "risk_pct", "bars", "status")
     signals = by_rule.groupBy("rule").agg(F.count(F.lit(1)).alias("signals"))
     enough = signals.filter(C("signals") >= min_signals)
-    cells = settle(by_rule.join(enough, "rule").join(narrow, ["ticker", "i"]))
+    cells = kept(by_rule.join(enough, "rule").join(narrow, ["ticker", "i"]), "cells")
     sized = cells.groupBy("rule", "bracket").agg(F.count(F.lit(1)).alias("trades")).filter(C("trades") >= min_trades)
-    kept = cells.join(sized.select("rule", "bracket"), ["rule", "bracket"], "left_semi")
-    return tr.split_stats(kept, {s: SPLITS[s] for s in ("train", "valid")}, ["rule", "bracket"]).join(
+    large = cells.join(sized.select("rule", "bracket"), ["rule", "bracket"], "left_semi")
+    return tr.split_stats(large, {s: SPLITS[s] for s in ("train", "valid")}, ["rule", "bracket"]).join(
         enough, "rule"
     )
 
@@ -405,7 +405,7 @@ def permutation_null(spark, sf):
     prep = sg.prepare_rules(feats.withColumn("regime", F.lit(True)))
     signals = prep.filter(sg.fires(re_.BREAKOUT) & (C("ticker") != "MKT")).select("ticker", "i", "n")
     every = ba.label_brackets(feats, feats.select("ticker", "i"), {0: ba.Bracket(3.0, 2.0)})
-    labels = settle(every.select("ticker", "i", "r"))
+    labels = kept(every.select("ticker", "i", "r"), "labels")
     observed = signals.join(labels, ["ticker", "i"]).agg(F.avg("r").alias("observed"))
     report = rs.null_report(rs.permutation_means(signals, labels, 20), observed, 1610)
     cols = ("mean", "sd", "p95", "observed", "excess", "selection_threshold")

@@ -24,9 +24,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    safe_unions(spark)
     return spark
 
 
+def safe_unions(spark: SparkSession) -> None:
+    """Have unions claim no partitioning of their own.
+
+    Spark 4.1 lets a union of equally partitioned inputs skip the shuffle of a following grouping.
+    With adaptive execution the inputs may be coalesced differently, and equal keys then end up in
+    different tasks, which leaves duplicates. Seen with 4.1.2; the setting is read when a plan is made.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; a temporary one only on a single machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,10 +51,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that later plans all read one fixed copy.
 
-    The folder comes from ``spark.checkpoint.dir``; only when the session has none
-    (single-machine tests) is a fresh temporary folder used.
+    For small results (cut points, sketches, lists of tickers); large tables are ``kept``.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession, "settled"))
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends, and readers prune columns."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

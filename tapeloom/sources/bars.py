@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeloom.session import safe_unions
+
 
 # Declared, so that opening a table reads no footer and starts no job.
 SCHEMAS = {
@@ -110,6 +112,7 @@ def daily(spark: SparkSession, sf_dir: str, market: bool = True) -> DataFrame:
     ticks = _ticks(spark, sf_dir)
     totals = _day_totals(ticks.join(home, ticks.l_suppkey == home.s_suppkey), "ticker", "dt")
     if market:
+        safe_unions(spark)
         whole = _fold_totals(totals, "dt").withColumn("ticker", F.lit("MKT"))
         totals = totals.unionByName(whole)
     return _ohlcv(totals)

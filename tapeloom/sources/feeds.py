@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeloom.session import safe_unions
+
 C = F.col
 
 GROUPED_SCHEMA = (
@@ -114,6 +116,7 @@ def read_symbol_file(spark: SparkSession, path: str) -> DataFrame:
 
 def universe_symbols(first: DataFrame, second: DataFrame) -> DataFrame:
     """Distinct operating-company symbols of two directories plus the index tickers."""
+    safe_unions(first.sparkSession)
     cols = ["symbol", "name", "etf", "test"]
     both = first.select(cols).unionByName(second.select(cols)).filter(_symbol_ok()).select("symbol")
     index = first.sparkSession.createDataFrame([(s,) for s in INDEX_SYMBOLS], "symbol string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rolling as r
-from tapeloom.session import settle
+from tapeloom.session import kept, safe_unions
 
 C = F.col
 
@@ -18,6 +18,7 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: str
 
     A grouped ``max_by`` reduces map-side, so many copies of one key never meet in one task.
     """
+    safe_unions(current.sparkSession)
     values = [c for c in current.columns if c not in keys]
     merged = current.unionByName(changes).groupBy(*keys)
     newest = F.max_by(F.struct(*values), version).alias("row_")
@@ -32,8 +33,8 @@ def upsert_known(current: DataFrame, changes: DataFrame, version: str) -> DataFr
 
 
 def stored(bars: DataFrame) -> DataFrame:
-    """Settle a table of bars clustered by ticker, for jobs that read it several times."""
-    return settle(bars.repartition("ticker").sortWithinPartitions("ticker", "i"))
+    """Keep a table of bars clustered by ticker, for jobs that read it several times."""
+    return kept(bars.repartition("ticker").sortWithinPartitions("ticker", "i"), "bars")
 
 
 def trim_history(bars: DataFrame, years: int = 6) -> DataFrame:
@@ -87,6 +88,7 @@ def liquid_admission(
 
 def replaced(history: DataFrame, new: DataFrame) -> DataFrame:
     """Pick history after the scan dates of ``new`` are replaced whole."""
+    safe_unions(history.sparkSession)
     dates = new.select("scan_date").distinct()
     return history.join(dates, "scan_date", "left_anti").unionByName(new, allowMissingColumns=True)
 

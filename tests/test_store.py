@@ -101,3 +101,27 @@ def test_sessions_and_business_days(spark):
     df = spark.createDataFrame(spans, "a string, b string, n int").withColumns({"a": C("a").cast("date"), "b": C("b").cast("date")})
     got = df.withColumn("got", scalar.business_days_between(C("a"), C("b"))).collect()
     assert [x.got for x in got] == [x.n for x in got]
+
+
+def test_stacked_inputs_are_grouped_whole(spark, tmp_path):
+    """Inputs already clustered by ticker, stacked, then upserted: one row per key, whatever AQE coalesces."""
+    df = spark.range(60_000).select(
+        (C("id") % 26).cast("string").alias("ticker"), F.date_add(F.lit("2020-01-01").cast("date"), (C("id") / 26).cast("int")).alias("dt"), F.lit(1.0).alias("close"), F.lit(0).alias("batch")
+    )
+    path = str(tmp_path / "t")
+    df.repartition("ticker").write.parquet(path)
+    from pyspark.sql import Window
+
+    base = spark.read.parquet(path).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ticker").orderBy("dt")))
+    fixes = base.filter(F.dayofmonth("dt") % 2 == 0).withColumns({"batch": F.lit(1), "close": F.lit(2.0)})
+    merged = store.upsert(base, fixes, ["ticker", "dt"], "batch")
+    assert merged.count() == 60_000 and merged.select("ticker", "dt").distinct().count() == 60_000
+
+
+def test_symbol_directories_and_static_lists(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("symbol|name|etf|test\nAAA|Alpha Common Stock|N|N\nABCDW|Alpha Common Stock|N|N\nETF|Fund Common Stock|Y|N\nWRT|Alpha Class A Warrant|N|N\n")
+    (tmp_path / "b.txt").write_text("symbol|name|etf|test\nAAA|Alpha Common Stock|N|N\nBB|Beta Ordinary Shares|N|N\nB.C|Beta Class A|N|N\n")
+    got = feeds.universe_symbols(*[feeds.read_symbol_file(spark, str(tmp_path / f)) for f in ("a.txt", "b.txt")])
+    assert sorted(x.symbol for x in got.collect()) == ["AAA", "BB", "IWM", "QQQ", "SPY"]
+    listed = spark.createDataFrame([("X", 3), ("X", 1), ("Y.Z", 0)], "symbol string, pos int")
+    assert [(x.symbol, x.pos) for x in feeds.dedup_symbols(listed).collect()] == [("X", 1)]
