@@ -14,6 +14,8 @@ from tapeloom.llm.common import find_package, safe_unions, table
 from tapeloom.llm.ftrl import quality
 from tapeloom.llm.mixing import mixed, mixing_sql
 from tapeloom.llm.simhash import near_duplicates
+from tapeloom.llm.urls import URL_SQL, filtered, rule_table
+from tapeloom.llm.warc import WARC_SQL, archived
 
 C = F.col
 
@@ -59,3 +61,20 @@ ORACLES["op2_mixing"] = mixing_sql()
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archived(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "captured_at")
+
+
+ORACLES["op1_warc"] = WARC_SQL
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered(table(spark, sf_dir, "pages"), rule_table(spark))
+
+
+ORACLES["op4_url_filter"] = URL_SQL
