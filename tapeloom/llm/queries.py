@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.bpe import encoded
 from tapeloom.llm.common import find_package, safe_unions, table
+from tapeloom.llm.ctph import fingerprinted
 from tapeloom.llm.ftrl import quality
 from tapeloom.llm.mixing import mixed, mixing_sql
 from tapeloom.llm.simhash import near_duplicates
 from tapeloom.llm.urls import URL_SQL, filtered, rule_table
+from tapeloom.llm.voronoi import TOP_SQL, nearest
 from tapeloom.llm.warc import WARC_SQL, archived
 
 C = F.col
@@ -78,3 +80,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_url_filter"] = URL_SQL
+
+
+@query
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op6_topk"] = TOP_SQL
+
+
+@query
+def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprinted(table(spark, sf_dir, "documents"))
