@@ -14,6 +14,7 @@ from tapeloom.llm.common import find_package, safe_unions, table
 from tapeloom.llm.ctph import fingerprinted
 from tapeloom.llm.ftrl import quality
 from tapeloom.llm.licenses import LICENSE_SQL, scanned, template_table
+from tapeloom.llm.lm import scores
 from tapeloom.llm.mixing import mixed, mixing_sql
 from tapeloom.llm.simhash import near_duplicates
 from tapeloom.llm.urls import URL_SQL, filtered, rule_table
@@ -102,3 +103,8 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_licenses"] = LICENSE_SQL
+
+
+@query
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"))
