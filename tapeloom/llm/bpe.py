@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,7 +29,7 @@ C = F.col
 LEAF = 1 << 15  # code points of a leaf; longer documents are spread over tasks
 PIECE = 1 << 12  # symbols of an unsplit piece that one leaf holds
 RUN = 48  # symbols up to which a run is merged directly
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 SPACE = regex.compile(r"[ \t\n\r\f\v]+")
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -48,53 +48,64 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
-        self.ids: dict[str, int] = model["vocab"]
+        ids: dict[str, int] = dict(model["vocab"])
         self.specials = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.names = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.specials.items()}
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {p: k for k, p in enumerate(pairs)}
+        self.known = 1 + max([*ids.values(), *self.specials.values()])
         self.suffix = model.get("end_of_word_suffix") or ""
+        # Symbols that the vocabulary lacks get ids beyond it, which take part in nothing and vanish at the end.
+        for symbol in byte_symbols():
+            for s in (symbol, symbol + self.suffix):
+                ids.setdefault(s, self.known + len(ids))
+        self.inner = [ids[s] for s in byte_symbols()]
+        self.last = {a: ids[s + self.suffix] for a, s in zip(self.inner, byte_symbols())}
+        self.names = {i: s for s, i in ids.items()} | {i: s for s, i in self.specials.items()}
+        self.ids = ids
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.ranks = {ids[a] << 20 | ids[b]: k for k, (a, b) in enumerate(pairs)}
+        self.made = [ids[a + b] for a, b in pairs]
         split = next(p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or "(?!)")
-        self.symbols = byte_symbols()
         self.words: dict[str, tuple[bytes, int, str]] = {}
-
-    def merge(self, parts: list[str]) -> list[str]:
-        """Apply merges by rank until none fits."""
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(p, 1 << 60), k) for k, p in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 60:
-                break
-            a, b = parts[at], parts[at + 1]
-            merged, k = parts[:at], at
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == a and parts[k + 1] == b:
-                    merged.append(a + b)
-                    k += 2
-                else:
-                    merged.append(parts[k])
-                    k += 1
-            parts = merged
+        self.runs: dict[bytes, list[int]] = {}
+        self.apart: dict[int, list[int]] = {}
+
+    def merge(self, parts: list[int]) -> list[int]:
+        """Apply merges by rank, leftmost first, until none fits."""
+        rank, none, made = self.ranks.get, 1 << 60, self.made
+        parts = list(parts)
+        fits = [rank(a << 20 | b, none) for a, b in zip(parts, parts[1:])]
+        fits.append(none)
+        while (best := min(fits)) != none:
+            at = fits.index(best)
+            new = parts[at] = made[best]
+            del parts[at + 1], fits[at]
+            if at:
+                fits[at - 1] = rank(parts[at - 1] << 20 | new, none)
+            if at + 1 < len(parts):
+                fits[at] = rank(new << 20 | parts[at + 1], none)
         return parts
 
-    def split_symbols(self, tokens: list[str]) -> list[str]:
+    def symbols_of(self, tokens: list[int]) -> list[int]:
         """The symbols that tokens are made of; the last one carries the word's end."""
-        out: list[str] = []
+        out: list[int] = []
         for t in tokens:
-            body = t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) and len(t) > len(self.suffix) else t
-            marks = list(body)
-            if body is not t:
-                marks[-1] += self.suffix
-            out += marks
+            own = self.apart.get(t)
+            if own is None:
+                name = self.names[t]
+                ends = bool(self.suffix) and name.endswith(self.suffix) and len(name) > len(self.suffix)
+                own = [self.ids[c] for c in (name[: -len(self.suffix)] if ends else name)]
+                if ends:
+                    own[-1] = self.last[own[-1]]
+                self.apart[t] = own
+            out += own
         return out
 
-    def join(self, left: list[str], right: list[str]) -> list[str]:
+    def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two encoded neighbours as one run."""
         i, j = min(2, len(left)), min(2, len(right))
         while left and right:
-            window = self.merge(self.split_symbols(left[len(left) - i :] + right[:j]))
+            window = self.merge(self.symbols_of(left[len(left) - i :] + right[:j]))
             fits_left = i == len(left) or window[0] == left[len(left) - i]
             fits_right = j == len(right) or window[-1] == right[j - 1]
             if fits_left and fits_right:
@@ -102,41 +113,60 @@ class Vocabulary:
             i, j = (i if fits_left else min(2 * i, len(left))), (j if fits_right else min(2 * j, len(right)))
         return left + right
 
-    def tree(self, symbols: list[str]) -> list[str]:
+    def tree(self, symbols: list[int]) -> list[int]:
         """Encode a run of symbols: directly if short, else by halves."""
         if len(symbols) <= RUN:
             return self.merge(symbols)
         half = len(symbols) // 2
         return self.join(self.tree(symbols[:half]), self.tree(symbols[half:]))
 
-    def pieces(self, word: str) -> Iterator[str | int]:
-        """Pieces of a text without ASCII white space as symbols; special tokens as ids."""
+    def pieces(self, word: str) -> Iterator[bytes | int]:
+        """Pieces of a text without ASCII white space, as bytes; special tokens as ids."""
         at = 0
         for m in [*self.special.finditer(word), None]:
             plain = word[at : m.start() if m else len(word)]
-            for piece in self.pattern.findall(lowered(unicodedata.normalize("NFC", plain))):
-                yield "".join(self.symbols[b] for b in piece.encode())
+            if not plain.isascii():
+                plain = unicodedata.normalize("NFC", plain)
+            for piece in self.pattern.findall(lowered(plain)):
+                yield piece.encode()
             if m:
                 yield self.specials[m[0]]
                 at = m.end()
 
-    def whole(self, piece: str) -> list[str]:
-        symbols = list(piece)
-        symbols[-1] += self.suffix
-        return self.tree(symbols)
+    def run(self, piece: bytes, ends: bool = True) -> list[int]:
+        """Tokens of a piece, or of a part of one that goes on."""
+        got = self.runs.get(piece) if ends else None
+        if got is None:
+            symbols = list(map(self.inner.__getitem__, piece))
+            if ends:
+                symbols[-1] = self.last[symbols[-1]]
+            got = self.tree(symbols)
+            if ends and len(piece) <= RUN:
+                if len(self.runs) >= REMEMBERED:
+                    self.runs.clear()
+                self.runs[piece] = got
+        return got
 
-    def word(self, word: str) -> tuple[bytes, int, str]:
-        """Ids as bytes, their number and the decoded text of a text without ASCII white space."""
-        ids: list[int] = []
+    def packed(self, tokens: list[int]) -> tuple[bytes, int, str]:
+        """Ids as bytes, their number and the decoded text."""
+        ids = [t for t in tokens if t < self.known]
+        return struct.pack(f"<{len(ids)}I", *ids), len(ids), " ".join([self.names[t] for t in ids])
+
+    def tokens(self, word: str) -> list[int]:
+        known, out = self.runs.get, []
+        if word.isascii() and not self.special.search(word):
+            for piece in self.pattern.findall(word.lower()):
+                piece = piece.encode()
+                out += known(piece) or self.run(piece)
+            return out
         for piece in self.pieces(word):
-            # Symbols that the vocabulary lacks have no id and no unknown token: they vanish.
-            ids += [piece] if isinstance(piece, int) else [k for t in self.whole(piece) if (k := self.ids.get(t)) is not None]
-        return np.array(ids, "<u4").tobytes(), len(ids), " ".join(self.names[k] for k in ids)
+            out += [piece] if isinstance(piece, int) else self.run(piece)
+        return out
 
     def remembered(self, word: str) -> tuple[bytes, int, str]:
         got = self.words.get(word)
         if got is None:
-            got = self.word(word)
+            got = self.packed(self.tokens(word))
             if len(word) <= 64:
                 if len(self.words) >= REMEMBERED:
                     self.words.clear()
@@ -188,14 +218,14 @@ def _leaves(path: str):
         v = vocabulary(path)
         for batch in batches:
             for row, doc_id, text in zip(*(batch.column(k) for k in range(3))):
-                out: list[tuple[str, bool, bool]] = []  # payload, is it a part of a piece, does it go on
+                out: list[tuple[bytes, bool, bool]] = []  # payload, is it a part of a piece, does it go on
                 held: list[str] = []
                 size = 0
 
                 def flush() -> None:
                     nonlocal size
                     if held:
-                        out.append((" ".join(held), False, False))
+                        out.append((" ".join(held).encode(), False, False))
                     held.clear()
                     size = 0
 
@@ -209,10 +239,10 @@ def _leaves(path: str):
                         continue
                     flush()
                     for piece in v.pieces(word):
-                        piece = v.names[piece] if isinstance(piece, int) else piece
-                        special = piece in v.specials
-                        cuts = [0] if special else range(0, len(piece), PIECE)
-                        out += [(piece if special else piece[a : a + PIECE], not special, not special and a + PIECE < len(piece)) for a in cuts]
+                        if isinstance(piece, int):
+                            out.append((v.names[piece].encode(), False, False))
+                        else:
+                            out += [(piece[a : a + PIECE], True, a + PIECE < len(piece)) for a in range(0, len(piece), PIECE)]
                 flush()
                 n = len(out)
                 yield pa.RecordBatch.from_pydict(
@@ -220,7 +250,7 @@ def _leaves(path: str):
                         "row": pa.array([row.as_py()] * n, pa.int64()),
                         "doc_id": pa.array([doc_id.as_py()] * n, pa.int64()),
                         "leaf": pa.array(range(n), pa.int64()),
-                        "payload": pa.array([x[0] for x in out], pa.string()),
+                        "payload": pa.array([x[0] for x in out], pa.binary()),
                         "part": pa.array([x[1] for x in out], pa.bool_()),
                         "goes_on": pa.array([x[2] for x in out], pa.bool_()),
                     }
@@ -235,11 +265,9 @@ def _leaf_tokens(path: str):
         for batch in batches:
             done = []
             for text, part, goes_on in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
-                if part:
-                    done.append(" ".join(v.tree(list(text)) if goes_on else v.whole(text)))
-                else:
-                    done.append(v.encode(text)[2])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(done, pa.string()), *batch.columns[4:]], batch.schema.names)
+                tokens = v.run(text, not goes_on) if part else [t for w in text.decode().split(" ") for t in v.tokens(w)]
+                done.append(struct.pack(f"<{len(tokens)}I", *tokens))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(done, pa.binary()), *batch.columns[4:]], batch.schema.names)
 
     return encode
 
@@ -251,16 +279,16 @@ def _joined(path: str):
         v = vocabulary(path)
         for batch in batches:
             for doc_id, leaves in zip(batch.column(0), batch.column(1)):
-                parts = [(x["payload"].split(" ") if x["payload"] else [], x["goes_on"]) for x in sorted(leaves.as_py(), key=lambda x: x["leaf"])]
+                ordered = sorted(leaves.as_py(), key=lambda x: x["leaf"])
+                parts = [(list(struct.unpack(f"<{len(x['payload']) // 4}I", x["payload"])), x["goes_on"]) for x in ordered]
                 while len(parts) > 1:
                     pairs = []
                     for k in range(0, len(parts) - 1, 2):
                         (left, on), (right, after) = parts[k], parts[k + 1]
                         pairs.append((v.join(left, right) if on else left + right, after))
                     parts = pairs + parts[len(pairs) * 2 :]
-                tokens = [t for t in (parts[0][0] if parts else []) if t in v.ids or t in v.specials]
-                ids = np.array([v.specials.get(t, v.ids.get(t)) for t in tokens], "<u4").tobytes()
-                got = (len(tokens), *_digests(ids, " ".join(tokens)))
+                ids, n, decoded = v.packed(parts[0][0] if parts else [])
+                got = (n, *_digests(ids, decoded))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array([doc_id.as_py()], pa.int64()),
@@ -286,7 +314,7 @@ def encoded(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     short = rows.filter(size <= leaf).mapInArrow(_encoded(path, pa.int64()), f"doc_id bigint, {SCHEMA}")
     row = fresh(rows, "row")
     long = rows.filter(size > leaf).select(F.monotonically_increasing_id().alias(row), "doc_id", "text")
-    kinds = "row bigint, doc_id bigint, leaf bigint, payload string, part boolean, goes_on boolean"
+    kinds = "row bigint, doc_id bigint, leaf bigint, payload binary, part boolean, goes_on boolean"
     leaves = long.mapInArrow(_leaves(path), kinds).repartition(parallelism(spark), "row", "leaf").mapInArrow(_leaf_tokens(path), kinds)
     gathered = leaves.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("leaf", "payload", "goes_on")).alias("leaves")

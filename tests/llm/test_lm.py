@@ -37,7 +37,7 @@ def same(got, rows):
     got, want = sorted((tuple(r) for r in got), key=key), sorted(brute(rows), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for a, b in zip(got, want):
-        assert a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-4, abs=1e-6)
+        assert a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9, abs=2e-6 * a[2])
 
 
 def test_edges(edges, nothing):
