@@ -161,17 +161,17 @@ def with_bottoms(chart: DataFrame, tol: float = 0.015, ratio: float = 0.15) -> D
             (head["value"] < left["value"])
             & (head["value"] < right["value"])
             & _alike(left["value"], right["value"], tol)
+            & _wide_enough(left["pos"], right["pos"], ratio)  # before the searches below, which cost most
             & _neck(left["pos"], head["pos"]).isNotNull()
             & _neck(head["pos"], right["pos"]).isNotNull()
-            & _wide_enough(left["pos"], right["pos"], ratio)
         )
 
     def twin(r: Column) -> Column:
         a, b = r["p0"], r["p1"]
         return (
             _alike(a["value"], b["value"], tol)
-            & _neck(a["pos"], b["pos"]).isNotNull()
             & _wide_enough(a["pos"], b["pos"], ratio)
+            & _neck(a["pos"], b["pos"]).isNotNull()
         )
 
     found = chart.withColumns(

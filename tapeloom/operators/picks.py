@@ -114,14 +114,14 @@ def facet_counts(picks: DataFrame, adx_min: float | None, selection: dict[str, t
     return row.select(F.inline(F.array(*pairs)))
 
 
-def sort_picks(picks: DataFrame, sorts: list[tuple[str, int]], position: str) -> DataFrame:
+def sort_picks(picks: DataFrame, sorts: list[tuple[str, int]], *position: str) -> DataFrame:
     """Order by up to three keys, missing values last in both directions, then by input position."""
     weights = F.create_map(*[F.lit(x) for pair in VERDICT_WEIGHT.items() for x in pair])
     order = []
     for key, direction in sorts:
         col = F.coalesce(weights[C("volume.verdict")], F.lit(0)) if key == "verdict" else C(key)
         order.append(col.asc_nulls_last() if direction > 0 else col.desc_nulls_last())
-    return picks.orderBy(*order, C(position).asc())
+    return picks.orderBy(*order, *[C(p).asc() for p in position])
 
 
 def latest_picks(history: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.session import settle
+from tapeloom.session import kept
 
 C = F.col
 
@@ -43,51 +43,49 @@ def deepest_fall(rows: DataFrame, keys: list[str], order: list[str], value: Colu
     )
 
 
-def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
+def positions(ordered: DataFrame, name: str) -> DataFrame:
+    """Adds each row's place, from 1, in a sorted table; only one count per sorted partition meets in one task."""
+    at = F.monotonically_increasing_id()  # partition number and place in it
+    placed = kept(ordered.withColumn(name, at), "placed").withColumn("part_", F.shiftright(name, 33))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part_").agg(F.count(F.lit(1)).alias("held_"))
+    starts = starts.select("part_", F.coalesce(F.sum("held_").over(before), F.lit(0)).alias("start_"))
+    place = C("start_") + C(name).bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(starts, "part_").withColumn(name, place.cast("bigint")).drop("part_", "start_")
+
+
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """Exact interpolated percentiles per key: columns keys, share, quantile.
 
-    An approximate sketch, whose rank error is bounded by 1/accuracy, narrows each percentile to
-    a thin slice of values; ranks are then counted exactly, and only the slice is ordered.
+    Equal values are counted first. Distinct values are range-partitioned by key and value, so that a key
+    holding most of them is spread; a value's rank is what lies in the ranges before plus what lies
+    before it in its own. Nulls are left out, and a key without values has no row.
     """
-    slack = 3.0 / accuracy
-    edges = [e for s in shares for e in (max(s - slack, 0.0), min(s + slack, 1.0))]
     known = rows.filter(C(value).isNotNull())
-    sketch = settle(
-        known.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(value, edges, accuracy).alias("edges"),
-            F.min(value).alias("least"),
-            F.max(value).alias("most"),
-        )
-    )
-    small = C("n") <= accuracy
-    slices = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("share"),
-                # A small group is its own slice; the sketch's own ends are replaced by the exact ones.
-                F.when(small | F.lit(s <= slack), C("least")).otherwise(C("edges")[2 * k]).alias("lo"),
-                F.when(small | F.lit(s >= 1 - slack), C("most")).otherwise(C("edges")[2 * k + 1]).alias("hi"),
-            )
-            for k, s in enumerate(shares)
-        ]
-    )
-    wanted = sketch.select(*keys, "n", F.inline(slices))
-    tied = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    # One row per value and percentile: `shares` is a short fixed list.
-    near = tied.join(wanted, keys).filter(C(value) <= C("hi"))
-    under = near.groupBy(*keys, "share").agg(
-        F.sum(F.when(C(value) < C("lo"), C("ties")).otherwise(0)).alias("under")
+    tied = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties_"))
+    pieces = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = tied.repartitionByRange(pieces, *keys, value).withColumn("piece_", F.spark_partition_id())
+    ranged = kept(ranged, "ranged")
+    held = ranged.groupBy(*keys, "piece_").agg(F.sum("ties_").alias("held_"))
+    # One row per key and range that holds the key.
+    each = Window.partitionBy(*keys)
+    held = held.select(
+        *keys,
+        "piece_",
+        F.sum("held_").over(each).alias("n_"),
+        F.coalesce(F.sum("held_").over(each.orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"),
     )
-    inside = near.filter(C(value) >= C("lo"))
-    so_far = Window.partitionBy(*keys, "share").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("upto", F.sum("ties").over(so_far)).join(under, [*keys, "share"])
-    place = (C("n") - 1) * C("share")
-    seen = C("under") + C("upto")
-    ends = ranked.groupBy(*keys, "share").agg(
-        F.first("n").alias("n"),
-        F.min(F.when(seen > F.floor(place), C(value))).alias("v0"),
-        F.min(F.when(seen > F.ceil(place), C(value))).alias("v1"),
+    inside = Window.partitionBy(*keys, "piece_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "piece_"]]
+    ranked = ranged.withColumn("within_", F.sum("ties_").over(inside)).alias("a").join(held.alias("b"), same).select("a.*", "n_", "before_")
+    upto = C("before_") + C("within_")
+    place = (C("n_") - 1) * C("share")
+    # One row per value and share that it can be an end of: ``shares`` is a short fixed list.
+    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    near = ranked.select(*keys, value, "ties_", "n_", upto.alias("upto_"), wanted)
+    near = near.filter((C("upto_") > F.floor(place)) & (C("upto_") - C("ties_") <= F.ceil(place)))
+    ends = near.groupBy(*keys, "share").agg(
+        F.first("n_").alias("n_"), F.min(value).alias("v0"), F.min(F.when(C("upto_") > F.ceil(place), C(value))).alias("v1")
     )
     return ends.select(*keys, "share", (C("v0") + (C("v1") - C("v0")) * (place - F.floor(place))).alias("quantile"))
 

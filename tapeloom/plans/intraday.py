@@ -34,8 +34,7 @@ def intraday_bars(spark, sf):
 
 # Patterns are looked for on two kinds of charts: intraday bars, and each ticker's daily bars.
 CHARTS = f"""src AS (SELECT ticker, i, time, open, high, low, close FROM bars
-  UNION ALL SELECT 'D' || ticker, i, epoch(CAST(dt AS TIMESTAMP))::BIGINT, open, high, low, close FROM
-    (SELECT *, COUNT(*) OVER (PARTITION BY ticker) - 130 AS cut FROM dbars) WHERE i >= cut),
+  UNION ALL SELECT 'D' || ticker, i, epoch(CAST(dt AS TIMESTAMP))::BIGINT, open, high, low, close FROM dbars),
 numbered AS (SELECT ticker, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY i) - 1 AS i, time AS dt, open, high, low, close FROM src),
 cb AS MATERIALIZED (SELECT *, COUNT(*) OVER (PARTITION BY ticker) AS n FROM numbered),
 lastbar AS (SELECT ticker, MAX(n) AS n, ARG_MAX(close, i) AS last_close, MAX(dt) AS last_t FROM cb GROUP BY ticker),
@@ -79,13 +78,10 @@ _LINES = "ticker, type, label, t1, ROUND(p1, 6) AS p1, t2, ROUND(p2, 6) AS p2"
 
 
 def chart_bars(spark, sf):
-    """Intraday charts, and daily charts of the last 130 days (named D + ticker)."""
-    d = daily(spark, sf)
-    n = F.count(F.lit(1)).over(pt.Window.partitionBy("ticker"))
-    tail = d.withColumn("n", n).filter(C("i") >= C("n") - 130)
-    tail = tail.select(
+    """Intraday charts, and daily charts of each ticker's whole history (named D + ticker)."""
+    days = daily(spark, sf).select(
         F.concat(F.lit("D"), "ticker").alias("ticker"),
-        (C("i") - F.greatest(C("n") - 130, F.lit(0))).alias("i"),
+        "i",
         F.unix_timestamp(C("dt").cast("timestamp")).alias("time"),
         "open",
         "high",
@@ -93,16 +89,16 @@ def chart_bars(spark, sf):
         "close",
         "volume",
     )
-    return stored(bars15(spark, sf).unionByName(tail))
+    return stored(bars15(spark, sf).unionByName(days))
 
 
 def _rounded(lines):
     return lines.withColumns({"p1": rnd("p1"), "p2": rnd("p2")})
 
 
-@query("trendline", q.with_ctes(*_BASE, TREND.replace("* 0.15", "* 0.03"), select=f"SELECT {_LINES} FROM trend"))
+@query("trendline", q.with_ctes(*_BASE, TREND, select=f"SELECT {_LINES} FROM trend"))
 def trendline(spark, sf):
-    found = pt.with_descending_pair(pt.charts(chart_bars(spark, sf))).select("ticker", pt.trendline(0.03).alias("lines"))
+    found = pt.with_descending_pair(pt.charts(chart_bars(spark, sf))).select("ticker", pt.trendline().alias("lines"))
     return _rounded(pt.explode_lines(found))
 
 

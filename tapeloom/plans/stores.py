@@ -10,6 +10,7 @@ from tapeloom.functions import rolling as r
 from tapeloom.functions.maps import SECTOR_DISPLAY
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import picks as pk
+from tapeloom.operators import scale
 from tapeloom.operators import screen as sc
 from tapeloom.plans import sql as q
 from tapeloom.plans.inputs import PICKS, picks
@@ -347,15 +348,15 @@ def facet_counts(spark, sf):
     q.with_ctes(
         q.BARS,
         PICKS,
-        select="""SELECT CAST(scan_date AS VARCHAR) AS scan_date, ticker, verdict, rs126 FROM picks
-        ORDER BY CASE verdict WHEN 'bounce_confirmed' THEN 3 WHEN 'accumulation' THEN 2 WHEN 'healthy_pullback' THEN 2 ELSE 0 END DESC,
-        rs126 DESC NULLS LAST, id LIMIT 500""",
+        select="""SELECT CAST(scan_date AS VARCHAR) AS scan_date, ticker, verdict, rs126, ROW_NUMBER() OVER (
+          ORDER BY CASE verdict WHEN 'bounce_confirmed' THEN 3 WHEN 'accumulation' THEN 2 WHEN 'healthy_pullback' THEN 2 ELSE 0 END DESC,
+          rs126 DESC NULLS LAST, id, ticker) AS rank FROM picks""",
     ),
 )
 def sort_picks(spark, sf):
     order = pk.checked_sorts([("verdict", -1), ("rs126", -1), ("nonsense", 1)])
-    best = pk.sort_picks(picks(daily(spark, sf)), order, "id").limit(500)  # the report's top 500
-    return best.select(day("scan_date"), "ticker", "volume.verdict", "rs126")
+    ranked = scale.positions(pk.sort_picks(picks(daily(spark, sf)), order, "id", "ticker"), "rank")
+    return ranked.select(day("scan_date"), "ticker", "volume.verdict", "rs126", "rank")
 
 
 @query(

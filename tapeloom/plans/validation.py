@@ -190,13 +190,13 @@ def grid_cells(prep, feats, rules: dict, brackets: dict, min_signals: int, min_t
     )
 
 
-def _grid(spark, sf, rules, brackets):
+def _grid(spark, sf, rules, brackets, min_signals=300, min_trades=100):
     feats = re_.feature_rows(spark, sf)
     prep = sg.prepare_rules(re_.rg.with_regime(feats, re_.rg.regime_all(feats, ("MKT",))))
-    return grid_cells(prep.filter(C("ticker") != "MKT"), feats, rules, brackets, 300, 100)
+    return grid_cells(prep.filter(C("ticker") != "MKT"), feats, rules, brackets, min_signals, min_trades)
 
 
-def grid_sql(rules: dict, brackets: dict) -> tuple[str, ...]:
+def grid_sql(rules: dict, brackets: dict, min_signals: int = 300, min_trades: int = 100) -> tuple[str, ...]:
     signals = " UNION ALL ".join(
         f"SELECT {k} AS rule, ticker, i FROM prep WHERE {re_.rule_sql(rule)} AND ticker <> 'MKT'" for k, rule in rules.items()
     )
@@ -207,10 +207,10 @@ def grid_sql(rules: dict, brackets: dict) -> tuple[str, ...]:
         re_.PREPARED,
         f"gsig AS MATERIALIZED ({signals})",
         re_.bracket_sql("gsig", legs, "glab"),
-        "enough AS (SELECT rule, COUNT(*) AS signals FROM gsig GROUP BY rule HAVING COUNT(*) >= 300)",
+        f"enough AS (SELECT rule, COUNT(*) AS signals FROM gsig GROUP BY rule HAVING COUNT(*) >= {min_signals})",
         """cells AS MATERIALIZED (SELECT s.rule, g.bracket, s.ticker, s.i, entry_date, exit_date, r, risk_pct, bars_held, status
           FROM gsig s JOIN enough USING (rule) JOIN glab g ON g.ticker = s.ticker AND g.i = s.i)""",
-        "big AS (SELECT rule, bracket FROM cells GROUP BY rule, bracket HAVING COUNT(*) >= 100)",
+        f"big AS (SELECT rule, bracket FROM cells GROUP BY rule, bracket HAVING COUNT(*) >= {min_trades})",
         "gt AS MATERIALIZED (SELECT * FROM cells SEMI JOIN big USING (rule, bracket))",
         _SPLIT_ROWS.replace("splits AS (SELECT * FROM", "splits AS (SELECT * FROM").replace(", ('hold', DATE '2000-07-01', DATE '2002-01-01')", ""),
         split_sql("rule, bracket", "gt", "gsp"),
@@ -236,21 +236,22 @@ def grid_stats(spark, sf):
 
 TIER_RULES = dict(enumerate(x for tier in sg.tier_rules(min_ddv=1_000.0).values() for x in tier))
 TIER_BRACKETS = dict(enumerate(ba.tier_brackets()))
+TIER_LIMITS = (200, 80)  # signals and trades that a cell needs
 
 
 @query(
     "tier_grid",
     q.with_ctes(
-        *grid_sql(TIER_RULES, TIER_BRACKETS),
+        *grid_sql(TIER_RULES, TIER_BRACKETS, *TIER_LIMITS),
         select="SELECT rule, bracket, signals, split, n, ROUND(avg_r, 5) + 0 AS avg_r FROM gsp JOIN enough USING (rule)",
     ),
 )
 def tier_grid(spark, sf):
-    g = _grid(spark, sf, TIER_RULES, TIER_BRACKETS)
+    g = _grid(spark, sf, TIER_RULES, TIER_BRACKETS, *TIER_LIMITS)
     return g.select("rule", "bracket", "signals", "split", "n", rnd("avg_r", 5).alias("avg_r"))
 
 
-PLATEAU_RULES = {k: re_.GRID[k] for k in (0, 12, 13, 30)}
+PLATEAU_TRADES = (500, 250)  # trades that a cell needs on the train and on the valid split
 _STOPS, _TARGETS = (1.0, 1.5, 2.0, 2.5, 3.0), (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0)
 _PAR = "par AS (SELECT * FROM (VALUES " + ", ".join(
     f"({k}, {b.sl_atr}, {b.rr}, {_STOPS.index(b.sl_atr)}, {_TARGETS.index(b.rr)})" for k, b in BRACKETS.items()
@@ -260,9 +261,10 @@ _PAR = "par AS (SELECT * FROM (VALUES " + ", ".join(
 @query(
     "plateau",
     q.with_ctes(
-        *grid_sql(PLATEAU_RULES, BRACKETS),
+        *grid_sql(re_.GRID, BRACKETS),
         _PAR,
-        """cell AS (SELECT rule, bracket, MAX(ann_est) FILTER (split = 'train') AS a, MAX(ann_est) FILTER (split = 'valid') AS b FROM gsp GROUP BY rule, bracket),
+        f"""cell AS (SELECT rule, bracket, MAX(ann_est) FILTER (split = 'train' AND n >= {PLATEAU_TRADES[0]}) AS a,
+          MAX(ann_est) FILTER (split = 'valid' AND n >= {PLATEAU_TRADES[1]}) AS b FROM gsp GROUP BY rule, bracket),
         pl AS (SELECT c.*, sl_atr, rr, si, ri FROM cell c JOIN par USING (bracket) WHERE a IS NOT NULL AND b IS NOT NULL),
         near AS (SELECT x.rule, x.bracket, MIN(y.a) AS amin, MIN(y.b) AS bmin, COUNT(*) AS n FROM pl x JOIN pl y ON y.rule = x.rule
           AND ABS(x.si - y.si) <= 1 AND ABS(x.ri - y.ri) <= 1 GROUP BY x.rule, x.bracket)""",
@@ -272,7 +274,9 @@ _PAR = "par AS (SELECT * FROM (VALUES " + ", ".join(
     ),
 )
 def plateau(spark, sf):
-    g = _grid(spark, sf, PLATEAU_RULES, BRACKETS)
+    g = _grid(spark, sf, re_.GRID, BRACKETS)
+    train, valid = PLATEAU_TRADES
+    g = g.filter(C("n") >= F.when(C("split") == "train", train).otherwise(valid))
     wide = g.groupBy("rule", "bracket").pivot("split", ["train", "valid"]).agg(F.max("ann_est"))
     stop = F.create_map(*[F.lit(x) for k, b in BRACKETS.items() for x in (k, b.sl_atr)])
     target = F.create_map(*[F.lit(x) for k, b in BRACKETS.items() for x in (k, b.rr)])
@@ -282,7 +286,28 @@ def plateau(spark, sf):
     return p.select("rule", "sl_atr", "rr", *[rnd(c, 5).alias(c) for c in cols], "neigh_n", "survives")
 
 
-MINED = ["rsi2", "rsi", "ret21", "atr_ratio", "vol_ratio", "dist_ema20"]
+_RANGE = "greatest(high - low, 1e-9)"
+#: Features of a labelled trade, as SQL over its signal bar. The index is the market ticker.
+MINED = {
+    "rsi14": "rsi",
+    "mom21": "ret21",
+    "mom63": "ret63",
+    "mom126": "ret126",
+    "rs63": "rank63",
+    "atr_pct": "atr_pct",
+    "ema20_dist": "dist_ema20",
+    "ema50_dist": "dist_ema50",
+    "vol_ratio": "vol_ratio",
+    "body_pct": f"(close - open) / {_RANGE}",
+    "lower_wick": f"(least(open, close) - low) / {_RANGE}",
+    "close_location": f"(close - low) / {_RANGE}",
+    "index_strength": "index_strength",
+    "stop_pct": "risk_pct",
+}
+_MINED_ROWS = """rk AS (SELECT ticker, i, (RANK() OVER w + (COUNT(*) OVER (PARTITION BY dt, ret63 + 0.0) - 1) / 2.0::DOUBLE) / COUNT(*) OVER (PARTITION BY dt) AS rank63
+  FROM feats WHERE ret63 IS NOT NULL WINDOW w AS (PARTITION BY dt ORDER BY ret63 + 0.0)),
+ix AS (SELECT dt, close / ema200 - 1 AS index_strength FROM feats WHERE ticker = 'MKT'),
+mined AS MATERIALIZED (SELECT lab.*, rank63, index_strength FROM lab LEFT JOIN rk USING (ticker, i) LEFT JOIN ix USING (dt))"""
 _SUMS = "COUNT(*) AS n, COUNT(*) FILTER (r > 0) AS w, SUM(r) AS s, SUM(CASE WHEN r > 0 THEN r ELSE 0 END) AS g, SUM(CASE WHEN r < 0 THEN -r ELSE 0 END) AS l"
 
 
@@ -290,8 +315,9 @@ _SUMS = "COUNT(*) AS n, COUNT(*) FILTER (r > 0) AS w, SUM(r) AS s, SUM(CASE WHEN
     "cond_mining",
     q.with_ctes(
         *TRADES,
-        """mr AS (SELECT *, CASE WHEN entry_date < DATE '1999-01-01' THEN 'train' WHEN entry_date < DATE '2000-07-01' THEN 'valid' ELSE 'hold' END AS part,
-          ROW_NUMBER() OVER () AS id FROM lab)""",
+        _MINED_ROWS,
+        f"""mr AS MATERIALIZED (SELECT CASE WHEN entry_date < DATE '1999-01-01' THEN 'train' WHEN entry_date < DATE '2000-07-01' THEN 'valid' ELSE 'hold' END AS part,
+          ROW_NUMBER() OVER () AS id, r, {', '.join(f'{e} AS {f}' for f, e in MINED.items())} FROM mined)""",
         "mc AS (" + " UNION ALL ".join(
             f"SELECT {k} AS f, '{f}' AS name, {j} AS k, QUANTILE_CONT({f}, {p}) AS v FROM mr WHERE part = 'train'"
             for k, f in enumerate(MINED)
@@ -319,8 +345,14 @@ _SUMS = "COUNT(*) AS n, COUNT(*) FILTER (r > 0) AS w, SUM(r) AS s, SUM(CASE WHEN
 def cond_mining(spark, sf):
     d = C("entry_date")
     part = F.when(d < "1999-01-01", "train").when(d < "2000-07-01", "valid").otherwise("hold")
-    rows = labelled(spark, sf).select("r", part.alias("part"), *MINED)
-    m = tr.condition_mining(rows, MINED)
+    feats = re_.feature_rows(spark, sf)
+    ranks = sg.average_rank(feats.select("ticker", "i", "dt", "ret63"), "dt", "ret63", min_names=1)
+    index = feats.filter(C("ticker") == "MKT").select("dt", (C("close") / C("ema200") - 1).alias("index_strength"))
+    bar = feats.select("ticker", "i", "open", "high", "low", "close", "ret63", "dist_ema50")
+    trades = labelled(spark, sf).join(bar, ["ticker", "i"]).join(ranks.select("ticker", "i", C("rank").alias("rank63")), ["ticker", "i"], "left")
+    trades = trades.join(index, trades["signal_date"] == index["dt"], "left").drop(index["dt"])
+    rows = trades.select("r", part.alias("part"), *[F.expr(e).alias(f) for f, e in MINED.items()])
+    m = tr.condition_mining(rows, list(MINED))
     return m.select(
         "fa", C("ca.op").alias("oa"), C("ca.k").alias("ka"), "fb", C("cb.op").alias("ob"), C("cb.k").alias("kb"),
         "train_n", rnd("train_win").alias("train_win"), rnd("train_avg").alias("train_avg"), "valid_n",
@@ -342,14 +374,14 @@ def draw_sql(seed: str, *at: str) -> str:
         *TRADES,
         "m AS (SELECT DATE_TRUNC('month', entry_date) AS m, SUM(r) AS s, COUNT(*) AS n FROM lab GROUP BY 1)",
         "mm AS (SELECT *, ROW_NUMBER() OVER (ORDER BY m) - 1 AS k, COUNT(*) OVER () AS g FROM m)",
-        f"""picks AS (SELECT it, {draw_sql('block', 'it', 'pos')} % (SELECT MAX(g) FROM mm) AS k FROM RANGE(500) a(it), RANGE((SELECT COUNT(*) FROM mm)) b(pos)),
+        f"""picks AS (SELECT it, {draw_sql('block', 'it', 'pos')} % (SELECT MAX(g) FROM mm) AS k FROM RANGE(2000) a(it), RANGE((SELECT COUNT(*) FROM mm)) b(pos)),
         means AS (SELECT it, SUM(s) / SUM(n) AS mean FROM picks JOIN mm USING (k) GROUP BY it)""",
         select="""SELECT COUNT(*) AS iters, ROUND(QUANTILE_CONT(mean, 0.025), 6) + 0 AS ci_lo, ROUND(QUANTILE_CONT(mean, 0.975), 6) + 0 AS ci_hi,
         ROUND(AVG(CASE WHEN mean <= 0 THEN 1.0 ELSE 0 END), 6) AS p_le_zero FROM means HAVING COUNT(*) > 0""",
     ),
 )
 def block_bootstrap(spark, sf):
-    b = rs.block_bootstrap(spark, labelled(spark, sf), iters=500)
+    b = rs.block_bootstrap(spark, labelled(spark, sf), iters=2000)
     return b.select("iters", *[rnd(c).alias(c) for c in ("ci_lo", "ci_hi", "p_le_zero")])
 
 
@@ -361,7 +393,7 @@ def block_bootstrap(spark, sf):
         "d AS (SELECT LN(1 + ret) AS step, ROW_NUMBER() OVER (ORDER BY dt) - 1 AS k, COUNT(*) OVER () AS n FROM d0 WHERE ret IS NOT NULL)",
         "size AS (SELECT MAX(n) AS n FROM d)",
         f"""st AS (SELECT it, pos, n, pos = 0 OR {draw_sql('path-go', 'it', 'pos')} % 40 = 0 AS go, {draw_sql('path-to', 'it', 'pos')} % n AS d
-          FROM RANGE(100) a(it), size, RANGE((SELECT n FROM size)) b(pos)),
+          FROM RANGE(2000) a(it), size, RANGE((SELECT n FROM size)) b(pos)),
         held AS (SELECT *, LAST_VALUE(CASE WHEN go THEN pos END IGNORE NULLS) OVER w AS p0, LAST_VALUE(CASE WHEN go THEN d END IGNORE NULLS) OVER w AS d0
           FROM st WINDOW w AS (PARTITION BY it ORDER BY pos ROWS UNBOUNDED PRECEDING)),
         lv AS (SELECT it, pos, h.n, SUM(step) OVER (PARTITION BY it ORDER BY pos ROWS UNBOUNDED PRECEDING) AS level FROM held h JOIN d ON d.k = (d0 + pos - p0) % h.n),
@@ -375,7 +407,7 @@ def block_bootstrap(spark, sf):
 )
 def stationary_bootstrap(spark, sf):
     series = daily(spark, sf).filter(C("ticker") == "MKT").select("dt", C("close").alias("value"))
-    report = rs.path_report(rs.stationary_paths(spark, series, iters=100))
+    report = rs.path_report(rs.stationary_paths(spark, series, iters=2000))
     cols = ("dd_p50", "dd_p95", "cagr_p05", "cagr_p50", "cagr_p95", "p_ruin", "p_within_30")
     return report.select("iters", *[rnd(c).alias(c) for c in cols])
 
@@ -391,7 +423,7 @@ def stationary_bootstrap(spark, sf):
         re_.bracket_sql("every", [(0, "entry - 3.0 * atr", 2.0)], "lab"),
         "sn AS (SELECT b.ticker, b.i, n FROM bsig b JOIN prep p ON p.ticker = b.ticker AND p.i = b.i)",
         f"""mv AS (SELECT it, ticker, (i + CASE WHEN n > 600 THEN 260 + {draw_sql('shift', 'it', 'ticker')} % GREATEST(n - 520, 1) ELSE 0 END) % n AS i
-          FROM sn, RANGE(20) a(it)),
+          FROM sn, RANGE(200) a(it)),
         means AS (SELECT it, COUNT(*) AS n, AVG(r) AS m FROM mv JOIN lab ON lab.ticker = mv.ticker AND lab.i = mv.i GROUP BY it),
         obs AS (SELECT AVG(r) AS observed FROM bsig JOIN lab ON lab.ticker = bsig.ticker AND lab.i = bsig.i),
         nul AS (SELECT COUNT(*) AS iters, AVG(m) AS mean, STDDEV_SAMP(m) AS sd, QUANTILE_CONT(m, 0.95) AS p95 FROM means)""",
@@ -407,6 +439,6 @@ def permutation_null(spark, sf):
     every = ba.label_brackets(feats, feats.select("ticker", "i"), {0: ba.Bracket(3.0, 2.0)})
     labels = kept(every.select("ticker", "i", "r"), "labels")
     observed = signals.join(labels, ["ticker", "i"]).agg(F.avg("r").alias("observed"))
-    report = rs.null_report(rs.permutation_means(signals, labels, 20), observed, 1610)
+    report = rs.null_report(rs.permutation_means(signals, labels, 200), observed, 1610)
     cols = ("mean", "sd", "p95", "observed", "excess", "selection_threshold")
     return report.select("iters", *[rnd(c).alias(c) for c in cols], "clears")
