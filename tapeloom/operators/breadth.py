@@ -107,9 +107,10 @@ def previous_sectors(sector_history: DataFrame) -> DataFrame:
 
 
 def sector_ma(sector_history: DataFrame, rows: int = 20) -> DataFrame:
-    """Mean score and points of each sector over the newest dates; the mean needs two values."""
+    """Mean score and points over the newest dates of each sector that the newest date has; the mean needs two values."""
     dates = sector_history.select("dt").distinct().orderBy(F.desc("dt")).limit(rows)
-    kept = sector_history.join(dates, "dt", "left_semi").filter(C("score").isNotNull())
+    listed = sector_history.filter(C("dt") == sector_history.agg(F.max("dt")).scalar()).select("sector").distinct()
+    kept = sector_history.join(dates, "dt", "left_semi").join(listed, "sector", "left_semi").filter(C("score").isNotNull())
     points = F.sort_array(F.collect_list(F.struct("dt", "score")))
     return kept.groupBy("sector").agg(
         F.count(F.lit(1)).alias("n"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rolling as r
+from tapeloom.operators.regimes import with_regime
 
 C = F.col
 
@@ -395,7 +396,7 @@ def momentum_candidates(rows: DataFrame, regime: DataFrame, m: Momentum) -> Data
         }
     )
     ranks = average_rank(panel_momentum(rows, m.formation, m.skip), "dt", "momentum", m.min_names)
-    ranked = df.join(ranks, ["ticker", "dt"]).join(regime, "dt", "left")
+    ranked = with_regime(df, regime, ("bull", "bear")).join(ranks, ["ticker", "dt"])
     start = max(205, m.formation + 1, m.breakout + 1, m.stop_lookback + 1)
     base = (
         (C("i") >= start)

@@ -138,7 +138,7 @@ def cluster_tstat(trades: DataFrame, keys: list[str]) -> DataFrame:
     With under three months only the mean and counts are given.
     """
     months = trades.groupBy(*keys, F.trunc("entry_date", "month").alias("m")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), F.sum(C("r") * C("r")).alias("ss")
+        F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), (F.var_pop("r") * F.count("r")).alias("inside")
     )
     whole = Window.partitionBy(*keys)
     mean = F.sum("s").over(whole) / F.sum("n").over(whole)
@@ -149,12 +149,13 @@ def cluster_tstat(trades: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("clusters"),
         F.sum(off * off).alias("q"),
-        F.sum("ss").alias("ss"),
+        # Squares around the common mean: inside each month, and of the months' means.
+        F.sum(C("inside") + off * off / C("n")).alias("ss"),
     )
     n, k = C("n"), C("clusters")
     enough = k >= 3
     se = F.when(enough, F.sqrt(C("q") / (n * n) * k / (k - 1)))
-    naive = F.when(enough, F.sqrt((C("ss") - n * C("avg_r") * C("avg_r")) / (n - 1) / n))
+    naive = F.when(enough, F.sqrt(C("ss") / (n - 1) / n))
     g = g.withColumns({"se_cluster": se, "se_naive": naive})
     effect = F.pow(F.try_divide("se_cluster", "se_naive"), F.lit(2))
     return g.withColumns(

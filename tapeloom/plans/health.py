@@ -162,7 +162,8 @@ def previous_sectors(spark, sf):
         SECTOR_HISTORY,
         "recent AS (SELECT DISTINCT dt FROM shist ORDER BY dt DESC LIMIT 20)",
         select="""SELECT sector, COUNT(*) AS n, CASE WHEN COUNT(*) >= 2 THEN ROUND(AVG(score), 1) END AS ma,
-        COUNT(*) AS points FROM shist WHERE dt IN (SELECT dt FROM recent) GROUP BY sector""",
+        COUNT(*) AS points FROM shist WHERE dt IN (SELECT dt FROM recent)
+        AND sector IN (SELECT sector FROM shist WHERE dt = (SELECT MAX(dt) FROM shist)) GROUP BY sector""",
     ),
 )
 def sector_ma(spark, sf):

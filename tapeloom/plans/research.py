@@ -306,7 +306,8 @@ MOM = sg.Momentum(rank_pct=0.4, min_volume=10.0, min_dollar_volume=1_000.0, min_
         ANY,
         PANEL,
         panel_sql(126, 21),
-        f"""xr AS (SELECT s.*, xs.rank, xs.momentum, bull, bear, {q.full('MAX', 'high', 20, 1)} AS ph, {q.full('MIN', 'low', 20, 1)} AS pl,
+        f"""xr AS (SELECT s.*, xs.rank, xs.momentum, COALESCE(LAST_VALUE(bull IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY i ROWS UNBOUNDED PRECEDING), FALSE) AS bull,
+        COALESCE(LAST_VALUE(bear IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY i ROWS UNBOUNDED PRECEDING), FALSE) AS bear, {q.full('MAX', 'high', 20, 1)} AS ph, {q.full('MIN', 'low', 20, 1)} AS pl,
         {q.full('MIN', 'low', 20)} AS sl, {q.full('MAX', 'high', 20)} AS sh FROM sw s
         LEFT JOIN xs ON xs.ticker = s.ticker AND xs.dt = s.dt AND names >= 5 LEFT JOIN rany r ON r.dt = s.dt)""".replace(
             "PARTITION BY ticker ORDER BY i", "PARTITION BY s.ticker ORDER BY s.i"

@@ -8,7 +8,7 @@ from tapeloom.plans import sql as q
 from tapeloom.plans.registry import query
 from tapeloom.session import shared_folder
 from tapeloom.sources.bars import SCHEMAS
-from tapeloom.streaming.bars import newest_rows, tick_bars
+from tapeloom.streaming.bars import newest_rows, tick_bars, write_versions
 
 C = F.col
 
@@ -32,13 +32,6 @@ def stream_bars(spark, sf):
         )
     )
     bars = tick_bars(ticks)
-    job = (
-        bars.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
+    write_versions(bars, f"{folder}/out", f"{folder}/checkpoint", "update").awaitTermination()
     newest = newest_rows(spark, f"{folder}/out", ["ticker", "ts"])
     return newest.select("ticker", F.unix_timestamp("ts").alias("t"), "open", "high", "low", "close", "volume")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rolling as r
@@ -13,23 +14,36 @@ from tapeloom.session import kept, safe_unions
 C = F.col
 
 
-def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Newest version of every key; ``changes`` must carry higher versions than ``current``.
+def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: str, *position: str) -> DataFrame:
+    """Newest version of every key. Of equal versions the change wins over what is stored, then the later
+    ``position`` in the feed, then the largest values, so that one input has one result.
 
     A grouped ``max_by`` reduces map-side, so many copies of one key never meet in one task.
     """
     safe_unions(current.sparkSession)
     values = [c for c in current.columns if c not in keys]
-    merged = current.unionByName(changes).groupBy(*keys)
-    newest = F.max_by(F.struct(*values), version).alias("row_")
-    return merged.agg(newest).select(*keys, "row_.*")
+    both = current.withColumn("side_", F.lit(0)).unionByName(changes.withColumn("side_", F.lit(1)))
+    order = F.struct(version, "side_", *position, *[c for c in values if c != version])
+    newest = F.max_by(F.struct(*values), order).alias("row_")
+    return both.groupBy(*keys).agg(newest).select(*keys, "row_.*")
 
 
-def upsert_known(current: DataFrame, changes: DataFrame, version: str) -> DataFrame:
-    """As ``upsert`` on (ticker, dt), but only for tickers the store already has."""
+def upsert_known(current: DataFrame, changes: DataFrame, version: str, *position: str) -> DataFrame:
+    """As ``upsert`` on (ticker, dt), but only for tickers the store already has; bars are numbered anew."""
     known = current.select("ticker").distinct()
     usable = changes.filter(C("close").isNotNull()).join(known, "ticker", "left_semi")
-    return upsert(current, usable, ["ticker", "dt"], version)
+    return renumbered(upsert(current, usable, ["ticker", "dt"], version, *position))
+
+
+def numbered(bars: DataFrame) -> DataFrame:
+    """Bars with ``i``, their place from 0 among the ticker's dates, which windows and screens rely on."""
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy("dt"))
+    return bars.withColumn("i", place.cast("bigint") - 1)
+
+
+def renumbered(bars: DataFrame) -> DataFrame:
+    """Numbers bars that carry ``i`` again, after some were added or dropped."""
+    return numbered(bars) if "i" in bars.columns else bars
 
 
 def stored(bars: DataFrame) -> DataFrame:
@@ -38,9 +52,9 @@ def stored(bars: DataFrame) -> DataFrame:
 
 
 def trim_history(bars: DataFrame, years: int = 6) -> DataFrame:
-    """Keep each ticker's own last ``years`` years."""
+    """Keep each ticker's own last ``years`` years; bars are numbered anew."""
     newest = bars.groupBy("ticker").agg(F.add_months(F.max("dt"), -12 * years).alias("from_dt"))
-    return bars.join(newest, "ticker").filter(C("dt") >= C("from_dt")).drop("from_dt")
+    return renumbered(bars.join(newest, "ticker").filter(C("dt") >= C("from_dt")).drop("from_dt"))
 
 
 def upsert_universe(current: DataFrame, listing: DataFrame) -> DataFrame:
@@ -86,10 +100,13 @@ def liquid_admission(
     return each.filter((C("best_dollar_vol") >= min_dollar_volume) & ~collapsed)
 
 
-def replaced(history: DataFrame, new: DataFrame) -> DataFrame:
-    """Pick history after the scan dates of ``new`` are replaced whole."""
+def replaced(history: DataFrame, new: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """Pick history after whole scan dates are replaced: those in ``scanned(scan_date)``, also where a scan
+    found nothing, and those of ``new``.
+    """
     safe_unions(history.sparkSession)
-    dates = new.select("scan_date").distinct()
+    dates = new.select("scan_date")
+    dates = (dates if scanned is None else dates.unionByName(scanned.select("scan_date"))).distinct()
     return history.join(dates, "scan_date", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -101,23 +118,34 @@ def retain_dates(history: DataFrame, keep: int) -> DataFrame:
     return history.filter(C("scan_date") >= newest.agg(F.min("scan_date")).scalar())
 
 
-def write_picks(new: DataFrame, path: str) -> None:
-    """Replace the scan dates of ``new`` in a table partitioned by scan date."""
+def write_picks(new: DataFrame, path: str, scanned: Sequence[dt.date] = ()) -> None:
+    """Replace scan dates in a table partitioned by scan date: those of ``new``, and ``scanned`` dates without picks."""
     (
         new.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("scan_date")
         .parquet(path)
     )
+    if scanned:
+        found = new.filter(C("scan_date").isin(list(scanned))).select("scan_date").distinct()
+        drop_dates(new.sparkSession, path, sorted(set(scanned) - {r.scan_date for r in found.collect()}))
+
+
+def drop_dates(spark: SparkSession, path: str, dates: Iterable[dt.date]) -> None:
+    """Delete the partitions of scan dates from a table that ``write_picks`` made."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for date in dates:
+        folder = hadoop.Path(f"{path.rstrip('/')}/scan_date={date}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def save_then_prune(new: DataFrame, path: str, keep: int, drop: Callable[[list], None]) -> list:
-    """Write first; only after that hand the outdated scan dates to ``drop``. A failed write prunes nothing."""
+def save_then_prune(new: DataFrame, path: str, keep: int, drop: Callable[[list], None] | None = None) -> list:
+    """Write first; only after that drop the outdated scan dates. A failed write prunes nothing."""
     write_picks(new, path)
-    dates = new.sparkSession.read.parquet(path).select("scan_date").distinct()  # one row per scan date
-    kept = {x.scan_date for x in retain_dates(dates, keep).collect()}
-    outdated = sorted(x.scan_date for x in dates.collect() if x.scan_date not in kept)
-    drop(outdated)
+    spark = new.sparkSession
+    dates = spark.read.parquet(path).select("scan_date").distinct().withColumn("age_", F.rank().over(Window.orderBy(F.desc("scan_date"))))
+    outdated = sorted(r.scan_date for r in dates.filter(C("age_") > keep).collect())  # one row per scan date
+    drop_dates(spark, path, outdated) if drop is None else drop(outdated)
     return outdated
 
 

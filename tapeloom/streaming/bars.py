@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,31 +38,34 @@ def deduplicated(feed: DataFrame, keys: list[str], late: str = "1 day") -> DataF
     return feed.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def write_versions(feed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep every micro-batch under its own number; rows carry their version.
+def write_versions(feed: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Keep every micro-batch under the time its run began and its number; rows carry both as their version.
 
-    A batch delivered again after a failure replaces only itself, and nothing older is touched,
-    so no failure can lose rows. ``newest_rows`` gives the upserted view.
+    Batch numbers start over when a checkpoint is lost, start times do not: what a later run delivers is
+    newer than all before. Within a run a batch delivered again replaces only itself. A batch that was
+    cut short by a failure comes again in the next run, before anything newer.
     """
+    began = time.time_ns() // 1_000_000
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/run={began}/batch={batch_id}")
 
     return (
-        feed.writeStream.foreachBatch(keep)
+        feed.writeStream.outputMode(mode)
+        .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def newest_rows(spark: SparkSession, path: str, keys: list[str], version: str = "batch") -> DataFrame:
-    """Newest version of every key in a folder of kept batches."""
-    kept = spark.read.parquet(path)
-    return upsert(kept.limit(0), kept, keys, version)
+def newest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Newest version of every key in a folder of kept batches; the version is in ``run`` and ``batch``."""
+    held = spark.read.parquet(path).withColumn("version_", F.struct("run", "batch"))
+    return upsert(held.limit(0), held, keys, "version_").drop("version_")
 
 
-def compact(spark: SparkSession, path: str, target: str, keys: list[str], version: str = "batch") -> None:
+def compact(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
     """Write the newest rows as a fresh table partitioned by date."""
-    rows = newest_rows(spark, path, keys, version)
+    rows = newest_rows(spark, path, keys)
     rows.repartition("dt").write.mode("overwrite").partitionBy("dt").parquet(target)

@@ -125,3 +125,40 @@ def test_symbol_directories_and_static_lists(spark, tmp_path):
     assert sorted(x.symbol for x in got.collect()) == ["AAA", "BB", "IWM", "QQQ", "SPY"]
     listed = spark.createDataFrame([("X", 3), ("X", 1), ("Y.Z", 0)], "symbol string, pos int")
     assert [(x.symbol, x.pos) for x in feeds.dedup_symbols(listed).collect()] == [("X", 1)]
+
+
+def test_trimmed_bars_are_numbered_anew(spark, make_bars):
+    from tapeloom.operators.screen import period_returns, with_tail
+
+    bars = make_bars({"A": [(10, 11, 9, 10 + k / 100, 100) for k in range(900)]}, start="2018-01-01")
+    cut = store.trim_history(bars, 1)
+    rows = cut.orderBy("dt").collect()
+    assert [x.i for x in rows] == list(range(len(rows))) and len(rows) < 400
+    assert [x.back for x in with_tail(cut, 2).orderBy("i").collect()] == [2, 1]
+    gap = bars.filter("i <> 500").withColumn("close", F.expr("if(i % 7 = 3, null, close)"))
+    (got,) = period_returns(gap).collect()
+    closes = [10 + k / 100 for k in range(900) if k != 500 and k % 7 != 3]
+    assert abs(got.ret63 - (closes[-1] / closes[-64] - 1)) < 1e-12
+
+
+def test_equal_versions_and_positions(spark):
+    schema = "ticker string, dt string, close double, batch int, at int"
+    base = spark.createDataFrame([("A", "d", 1.0, 1, 0)], schema)
+    fixes = [("A", "d", 3.0, 1, 1), ("A", "d", 2.0, 1, 2)]
+    for rows in (fixes, fixes[::-1]):
+        got = store.upsert(base, spark.createDataFrame(rows, schema), ["ticker", "dt"], "batch", "at").collect()
+        assert [x.close for x in got] == [2.0]
+
+
+def test_an_empty_scan_replaces_its_date(spark, tmp_path):
+    day, other = dt.date(2024, 1, 2), dt.date(2024, 1, 3)
+    path = str(tmp_path / "e")
+    history = picks(spark, [day], "OLD").unionByName(picks(spark, [other], "KEEP"))
+    none = history.limit(0)
+    left = store.replaced(history, none, history.filter("ticker = 'OLD'"))
+    assert [x.ticker for x in left.collect()] == ["KEEP"]
+    store.write_picks(history, path)
+    store.write_picks(none, path, [day])
+    assert [x.ticker for x in spark.read.parquet(path).collect()] == ["KEEP"]
+    store.save_then_prune(picks(spark, [dt.date(2024, 1, 4)], "NEW"), path, 1)
+    assert [x.ticker for x in spark.read.parquet(path).collect()] == ["NEW"]

@@ -1,8 +1,6 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
-from tapeloom.streaming.bars import newest_rows, tick_bars, write_versions
+from tapeloom.streaming.bars import compact, deduplicated, newest_rows, tick_bars, write_versions
 
 
 def test_tick_bars_and_versions(spark, tmp_path):
@@ -12,12 +10,7 @@ def test_tick_bars_and_versions(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     ticks = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    job = (
-        tick_bars(ticks).writeStream.outputMode("update")
-        .foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
+    write_versions(tick_bars(ticks), out, str(tmp_path / "ck"), "update").awaitTermination()
     got = newest_rows(spark, out, ["ticker", "ts"]).orderBy("ts").collect()
     assert [x.volume for x in got] == [5, 5, 5, 5] and got[0].open == 0.0 and got[0].close == 0.0 and got[1].high == 3.0
 
@@ -29,6 +22,27 @@ def test_redelivered_batches_change_nothing(spark, tmp_path):
     feed = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     for run in ("one", "two"):  # the second run starts over, as after a lost checkpoint
         write_versions(feed, str(tmp_path / "t"), str(tmp_path / run)).awaitTermination()
-    df.filter("close = 2").withColumn("close", F.lit(5.0)).write.parquet(str(tmp_path / "t" / "batch=7"))
+    got = newest_rows(spark, str(tmp_path / "t"), ["ticker", "dt"]).orderBy("dt").collect()
+    assert [x.close for x in got] == [1.0, 2.0]
+
+
+def test_a_restart_from_nothing_wins_over_higher_batch_numbers(spark, tmp_path):
+    schema = "ticker string, dt string, close double"
+    old = spark.createDataFrame([("A", "2024-01-02", 1.0), ("A", "2024-01-03", 2.0)], schema)
+    old.write.parquet(str(tmp_path / "t" / "run=1" / "batch=7"))
+    spark.createDataFrame([("A", "2024-01-03", 5.0)], schema).write.parquet(str(tmp_path / "in"))
+    feed = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    write_versions(feed, str(tmp_path / "t"), str(tmp_path / "lost")).awaitTermination()
     got = newest_rows(spark, str(tmp_path / "t"), ["ticker", "dt"]).orderBy("dt").collect()
     assert [x.close for x in got] == [1.0, 5.0]
+    compact(spark, str(tmp_path / "t"), str(tmp_path / "c"), ["ticker", "dt"])
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+
+
+def test_repeated_deliveries_are_dropped(spark, tmp_path):
+    schema = "ticker string, ts timestamp, close double"
+    at = dt.datetime(2024, 1, 2)
+    spark.createDataFrame([("A", at, 1.0), ("A", at, 1.0), ("B", at, 2.0)], schema).write.parquet(str(tmp_path / "in"))
+    feed = deduplicated(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["ticker", "ts"])
+    write_versions(feed, str(tmp_path / "t"), str(tmp_path / "ck")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
