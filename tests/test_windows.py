@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.functions.recursive import Smooth, smooth, span
@@ -51,3 +52,16 @@ def test_adx_against_pandas(make_bars):
     pdi, mdi = 100 * w(plus) / w(tr), 100 * w(minus) / w(tr)
     dx = (100 * (pdi - mdi).abs() / (pdi + mdi)).where(pdi + mdi != 0, 0.0).fillna(0.0)
     np.testing.assert_allclose(out.adx, w(dx), rtol=1e-9)
+
+
+@pytest.mark.parametrize("alpha", [0.05, 0.5, 0.6, 0.9, 0.999, 1.0])
+def test_smoothing_with_gaps_as_pandas(spark, alpha):
+    rng = np.random.default_rng(3)
+    values = [None if rng.random() < 0.15 else float(rng.uniform(-5, 50)) for _ in range(1300)]
+    values = [None, None, *values, *[None] * 700, 4.0, None, 6.0]
+    bars = spark.createDataFrame([("A", k, v) for k, v in enumerate(values)], "ticker string, i bigint, close double")
+    got = smooth(bars, {"e": Smooth(F.col("close"), alpha), "late": Smooth(F.col("close"), alpha, 5)}).orderBy("i").toPandas()
+    want = pd.Series(values, dtype=float).ewm(alpha=alpha, adjust=False).mean()
+    late = pd.Series(values, dtype=float).ewm(alpha=alpha, adjust=False, min_periods=5).mean()
+    pd.testing.assert_series_equal(got["e"], want, check_names=False, rtol=1e-9)
+    pd.testing.assert_series_equal(got["late"], late, check_names=False, rtol=1e-9)
