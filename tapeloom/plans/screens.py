@@ -9,6 +9,7 @@ from tapeloom.operators.volume import volume_assessment
 from tapeloom.plans import sql as q
 from tapeloom.plans.registry import query
 from tapeloom.plans.windows import ADX_CTES, MACD_CTES, RSI_SIMPLE, TIGHT, day, rnd
+from tapeloom.sources import feeds, store
 from tapeloom.sources.bars import daily
 from tapeloom.sources.store import stored
 
@@ -242,29 +243,35 @@ def screen_funnel(spark, sf):
     return sc.funnel(sc.gates(stored(daily(spark, sf)), PARAMS))
 
 
-@query(
-    "screen",
-    q.with_ctes(
-        *_SCREEN_CTES,
-        ADX_CTES,
-        STRENGTH,
-        PIVOTS,
-        DOW,
-        BAND,
-        VOLUME,
-        "last_adx AS (SELECT ticker, ARG_MAX(adx, i) AS adx, ARG_MAX(atr, i) AS atr FROM adx_rows GROUP BY ticker)",
-        select="""SELECT g.ticker, g.price, CASE WHEN g.bounced THEN 'bounced' ELSE 'pulling' END AS state,
-        g.touch_days_ago, dow_trend, ROUND(adx, 4) AS adx, rs63, rs126, ROUND(atr / g.price, 6) AS atr_pct,
-        ROUND(g.dollar_vol, 5) AS dollar_vol, ROUND(g.ema20_dist, 6) AS ema20_dist, g.po_weeks,
-        v.verdict, v.price_zone, ROUND(g.ema20, 4) AS ema20, high_1 AS swing_high, low_1 AS swing_low,
-        ROUND(band_low, 6) AS band_low, ROUND(band_high, 6) AS band_high
-        FROM gates g JOIN last_adx a ON a.ticker = g.ticker JOIN strength s ON s.ticker = g.ticker
-        JOIN dow ON dow.ticker = g.ticker JOIN band b ON b.ticker = g.ticker
-        LEFT JOIN vol v ON v.ticker = g.ticker WHERE g.dip""",
-    ),
+_SCREENED = (
+    *_SCREEN_CTES[1:],
+    ADX_CTES,
+    STRENGTH,
+    PIVOTS,
+    DOW,
+    BAND,
+    VOLUME,
+    "last_adx AS (SELECT ticker, ARG_MAX(adx, i) AS adx, ARG_MAX(atr, i) AS atr FROM adx_rows GROUP BY ticker)",
 )
-def screen(spark, sf):
-    return sc.screen(stored(daily(spark, sf)), "MKT", PARAMS).select(
+_SCREEN_SELECT = """SELECT g.ticker, g.price, CASE WHEN g.bounced THEN 'bounced' ELSE 'pulling' END AS state,
+  g.touch_days_ago, dow_trend, ROUND(adx, 4) AS adx, rs63, rs126, ROUND(atr / g.price, 6) AS atr_pct,
+  ROUND(g.dollar_vol, 5) AS dollar_vol, ROUND(g.ema20_dist, 6) AS ema20_dist, g.po_weeks,
+  v.verdict, v.price_zone, ROUND(g.ema20, 4) AS ema20, high_1 AS swing_high, low_1 AS swing_low,
+  ROUND(band_low, 6) AS band_low, ROUND(band_high, 6) AS band_high
+  FROM gates g JOIN last_adx a ON a.ticker = g.ticker JOIN strength s ON s.ticker = g.ticker
+  JOIN dow ON dow.ticker = g.ticker JOIN band b ON b.ticker = g.ticker
+  LEFT JOIN vol v ON v.ticker = g.ticker WHERE g.dip"""
+# The stored table after a feed of corrections and a cut to the last six years, numbered anew.
+_STORE_CTES = (
+    q.BARS.replace("bars AS", "base AS", 1),
+    """cut AS (SELECT ticker, CAST(MAX(dt) - INTERVAL 72 MONTH AS DATE) AS from_dt FROM base GROUP BY ticker),
+bars AS MATERIALIZED (SELECT b.* REPLACE (ROW_NUMBER() OVER (PARTITION BY b.ticker ORDER BY dt) - 1 AS i,
+  CASE WHEN i % 50 = 0 THEN close * 1.001 ELSE close END AS close) FROM base b JOIN cut ON cut.ticker = b.ticker WHERE dt >= from_dt)""",
+)
+
+
+def _screened(bars):
+    return sc.screen(bars, "MKT", PARAMS).select(
         "ticker",
         "price",
         "state",
@@ -287,6 +294,25 @@ def screen(spark, sf):
     )
 
 
+@query("screen", q.with_ctes(_SCREEN_CTES[0], *_SCREENED, select=_SCREEN_SELECT))
+def screen(spark, sf):
+    return _screened(stored(daily(spark, sf)))
+
+
+@query("store_screen", q.with_ctes(*_STORE_CTES, *_SCREENED, select=_SCREEN_SELECT))
+def store_screen(spark, sf):
+    """From feed to screen: corrections are taken in twice, upserted, cut to six years and screened."""
+    bars = daily(spark, sf)
+    raw = bars.filter(C("i") % 50 == 0).select(
+        F.concat(F.lit(" "), F.lower("ticker")).alias("T"), "dt", C("open").alias("o"), C("high").alias("h"), C("low").alias("l"),
+        (C("close") * 1.001).alias("c"), C("volume").alias("v"),
+    )
+    feed = feeds.ingest_grouped(raw.unionByName(raw), bars.select("ticker").distinct())
+    feed = feed.withColumns({"i": F.lit(None).cast("bigint"), "volume": C("volume").cast("double"), "batch": F.lit(1)})
+    held = store.upsert_known(bars.withColumn("batch", F.lit(0)), feed, "batch").drop("batch")
+    return _screened(stored(store.trim_history(held)))
+
+
 STAGE2 = ",\n".join(
     [
         RSI_SIMPLE,

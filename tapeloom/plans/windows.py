@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rolling as r
-from tapeloom.functions.recursive import smooth, span
+from tapeloom.functions.recursive import Smooth, smooth, span
 from tapeloom.operators import indicators as ind
 from tapeloom.plans import sql as q
 from tapeloom.plans.registry import query
@@ -57,6 +57,39 @@ def ema(spark, sf):
     return df.select("ticker", day(), *[rnd(c, 4).alias(c) for c in ("ema10", "ema21", "ema200")])
 
 
+_GAPPED = {"slow": 0.1, "fast": 0.9}
+
+
+def _walked(name: str, alpha: float) -> str:
+    """The definition, bar by bar: the value stands over a gap, which weighs against it afterwards."""
+    keep = 1.0 - alpha
+    return f"""walk_{name} AS (
+  WITH RECURSIVE w AS (
+    SELECT ticker, i, dt, x AS y, 1 AS g FROM gapped WHERE i = 0
+    UNION ALL
+    SELECT n.ticker, n.i, n.dt, CASE WHEN n.x IS NULL THEN y WHEN y IS NULL THEN n.x
+        ELSE (POW({keep!r}::DOUBLE, g) * y + {alpha!r}::DOUBLE * n.x) / (POW({keep!r}::DOUBLE, g) + {alpha!r}::DOUBLE) END,
+      CASE WHEN n.x IS NULL THEN g + 1 ELSE 1 END
+    FROM w JOIN gapped n ON n.ticker = w.ticker AND n.i = w.i + 1)
+  SELECT * FROM w)"""
+
+
+@query(
+    "ema_gaps",
+    q.with_ctes(
+        q.BARS,
+        "gapped AS MATERIALIZED (SELECT ticker, i, dt, CASE WHEN i % 17 NOT IN (3, 4, 11) THEN close END AS x FROM bars)",
+        *[_walked(k, a) for k, a in _GAPPED.items()],
+        select=f"""SELECT ticker, {DAY}, ROUND(s.y, 7) AS slow, ROUND(f.y, 7) AS fast
+        FROM walk_slow s JOIN walk_fast f USING (ticker, i, dt)""",
+    ),
+)
+def ema_gaps(spark, sf):
+    gapped = daily(spark, sf).withColumn("close", F.expr("if(i % 17 not in (3, 4, 11), close, null)"))
+    df = smooth(gapped, {k: Smooth(C("close"), a) for k, a in _GAPPED.items()})
+    return df.select("ticker", day(), *[rnd(k, 7).alias(k) for k in _GAPPED])
+
+
 @query(
     "true_range",
     q.with_ctes(q.BARS, select=f"SELECT ticker, {DAY}, {q.TRUE_RANGE} AS tr FROM bars"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,14 +40,37 @@ def safe_unions(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+SCOPES: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; a temporary one only on a single machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        return tempfile.mkdtemp(prefix=f"tapeloom-{name}-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if shared is not None:
+        folder = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    elif spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix=f"tapeloom-{name}-")
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if SCOPES:
+        SCOPES[-1].append(folder)
+    return folder
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that operators make inside are deleted at the end, and only those; results must be written before.
+
+    Without a scope they stay, since a result may still have to read them.
+    """
+    SCOPES.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for folder in SCOPES.pop():
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -55,7 +80,10 @@ def settle(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
+        # For the whole session, so no scope may own it.
+        held, SCOPES[:] = list(SCOPES), []
         sc.setCheckpointDir(shared_folder(df.sparkSession, "settled"))
+        SCOPES[:] = held
     return df.checkpoint(eager=True)
 
 

@@ -38,3 +38,35 @@ def test_average_rank_with_ties_matches_pandas(spark):
     want = pdf.groupby("d").v.rank(pct=True)
     want.index = pdf.name
     np.testing.assert_allclose(got.sort_index(), want.dropna().sort_index(), rtol=1e-12)
+
+
+def test_a_scope_leaves_no_folder(spark):
+    import os
+
+    from tapeloom import session
+
+    outside = session.shared_folder(spark, "outside")
+    spark.range(1).write.mode("overwrite").parquet(outside)
+    with session.scratch(spark):
+        rows = scale.exact_percentiles(spark.range(50).withColumn("k", F.lit(1)), ["k"], "id", [0.5]).collect()
+        made = list(session.SCOPES[-1])
+        assert made and all(map(os.path.exists, made))
+    assert [x.quantile for x in rows] == [24.5]
+    assert not any(map(os.path.exists, made)) and os.path.exists(outside)
+
+
+def test_one_key_with_nearly_all_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(x)) for x in rng.integers(0, 300, 5000)] + [(None, 2.0), ("one", 7.0), ("none", None)]
+    table = spark.createDataFrame(rows, "k string, v double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(x.k, x.share): x.quantile for x in scale.exact_percentiles(table, ["k"], "v", [0.0, 0.2, 0.75, 1.0]).collect()}
+        ranked = scale.positions(table.orderBy("k", "v"), "place").orderBy("place").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hot = [v for k, v in rows if k == "hot"]
+    want = {("hot", s): float(np.quantile(hot, s)) for s in (0.0, 0.2, 0.75, 1.0)}
+    want |= {(k, s): v for k, v in ((None, 2.0), ("one", 7.0)) for s in (0.0, 0.2, 0.75, 1.0)}
+    assert got == want
+    assert [x.place for x in ranked] == list(range(1, len(rows) + 1))
