@@ -588,6 +588,30 @@ def staged_signals(rows):
     )
 
 
+RR_WINDOW = (1.5, 2.0)
+
+
+@query(
+    "barrier_rr_window",
+    q.with_ctes(
+        q.BARS,
+        SWING,
+        STAGED_SIG,
+        "tsig AS (SELECT 'rr' AS variant, side, 0 AS min_rr, ticker, i, stop, resistance AS target FROM ssig)",
+        TIMED.replace("b.i < v.e + 10", "b.i < v.e + 30"),
+        select=f"""SELECT {_TRADE_COLS.replace("status,", "CASE status WHEN 'gap_target' THEN 'target' ELSE status END AS status,")}, held,
+        ROUND(planned_rr, 5) AS planned_rr FROM timed WHERE planned_rr BETWEEN {RR_WINDOW[0]} AND {RR_WINDOW[1]}""",
+    ),
+)
+def barrier_rr_window(spark, sf):
+    """Targets at the resistance, where it pays 1.5 to 2 times the risk; an open beyond the target counts as the target."""
+    rows = swing_table(spark, sf)
+    signals = staged_signals(rows).withColumns({"side": F.lit("long"), "target": C("resistance")})
+    t = ba.label_timed(signals, rows, max_hold=30, rr_window=RR_WINDOW)
+    t = t.withColumn("status", F.when(C("status") == "gap_target", "target").otherwise(C("status")))
+    return _trade_out(t, "held", rnd("planned_rr", 5).alias("planned_rr"))
+
+
 @query(
     "barrier_two_stage",
     q.with_ctes(
