@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
+import sys
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -30,7 +33,7 @@ LEAF = 1 << 15  # code points of a leaf; longer documents are spread over tasks
 PIECE = 1 << 12  # symbols of an unsplit piece that one leaf holds
 RUN = 48  # symbols up to which a run is merged directly
 REMEMBERED = 400_000
-SPACE = regex.compile(r"[ \t\n\r\f\v]+")
+WORD = re.compile(r"[^ \t\n\r\f\v]+")
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -67,7 +70,7 @@ class Vocabulary:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or "(?!)")
         self.words: dict[str, tuple[bytes, int, str]] = {}
-        self.runs: dict[bytes, list[int]] = {}
+        self.runs: dict[bytes, tuple[int, ...]] = {}
         self.apart: dict[int, list[int]] = {}
 
     def merge(self, parts: list[int]) -> list[int]:
@@ -133,7 +136,7 @@ class Vocabulary:
                 yield self.specials[m[0]]
                 at = m.end()
 
-    def run(self, piece: bytes, ends: bool = True) -> list[int]:
+    def run(self, piece: bytes, ends: bool = True) -> Sequence[int]:
         """Tokens of a piece, or of a part of one that goes on."""
         got = self.runs.get(piece) if ends else None
         if got is None:
@@ -144,13 +147,17 @@ class Vocabulary:
             if ends and len(piece) <= RUN:
                 if len(self.runs) >= REMEMBERED:
                     self.runs.clear()
-                self.runs[piece] = got
+                got = self.runs[piece] = tuple(got)  # which the garbage collector need not visit
         return got
 
     def packed(self, tokens: list[int]) -> tuple[bytes, int, str]:
         """Ids as bytes, their number and the decoded text."""
-        ids = [t for t in tokens if t < self.known]
-        return struct.pack(f"<{len(ids)}I", *ids), len(ids), " ".join([self.names[t] for t in ids])
+        if tokens and max(tokens) >= self.known:
+            tokens = [t for t in tokens if t < self.known]
+        ids = array("I", tokens)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes(), len(ids), " ".join(map(self.names.__getitem__, tokens))
 
     def tokens(self, word: str) -> list[int]:
         known, out = self.runs.get, []
@@ -164,18 +171,17 @@ class Vocabulary:
         return out
 
     def remembered(self, word: str) -> tuple[bytes, int, str]:
-        got = self.words.get(word)
-        if got is None:
-            got = self.packed(self.tokens(word))
-            if len(word) <= 64:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[word] = got
+        got = self.packed(self.tokens(word))
+        if len(word) <= 64:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            self.words[word] = got
         return got
 
     def encode(self, text: str) -> tuple[bytes, int, str]:
-        parts = [self.remembered(w) for w in SPACE.split(text) if w]
-        return b"".join(p[0] for p in parts), sum(p[1] for p in parts), " ".join(p[2] for p in parts if p[2])
+        known, new = self.words.get, self.remembered
+        parts = [known(w) or new(w) for w in WORD.findall(text)]
+        return b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts if p[2]])
 
 
 def lowered(text: str) -> str:
@@ -229,7 +235,7 @@ def _leaves(path: str):
                     held.clear()
                     size = 0
 
-                for m in regex.finditer(r"[^ \t\n\r\f\v]+", text.as_py()):
+                for m in WORD.finditer(text.as_py()):
                     word = m[0]
                     if len(word) <= PIECE:
                         held.append(word)

@@ -20,6 +20,7 @@ SHINGLE = 5
 #: Two shingles in a row give equal windows, which every band finds.
 BANDS = 8
 LEAST = 0.8
+SENT = 32 << 20  # bytes of templates that are sent whole to every executor, at most
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: Identifiers and the notices they stand for.
 TEMPLATES = [
@@ -66,11 +67,23 @@ def _hashed(rows: DataFrame, bands: int) -> DataFrame:
 
 
 def template_bands(templates: DataFrame, bands: int = BANDS) -> DataFrame:
-    """license, parts (its distinct shingles), n (their number), band, value. Templates under five words have no row."""
+    """license, n (number of its distinct shingles), band, value. Templates under five words have no row."""
     found = _hashed(templates.select("license", "text"), bands)
     place = found.select("license", "shingles", F.posexplode_outer("signatures").alias("pos", "value")).filter(C("value").isNotNull())
-    parts = F.array_distinct("shingles")
-    return place.select("license", parts.alias("parts"), F.size(parts).alias("n"), F.expr("pos div size(shingles)").alias("band"), "value").distinct()
+    n = F.size(F.array_distinct("shingles"))
+    return place.select("license", n.alias("n"), F.expr("pos div size(shingles)").alias("band"), "value").distinct()
+
+
+def template_parts(templates: DataFrame) -> DataFrame:
+    """license, parts: the distinct shingles of each template."""
+    words = templates.select("license", _words(C("text")).alias("words"))
+    return words.select("license", F.array_distinct(_shingles("words")).alias("parts"))
+
+
+def _small(table: DataFrame, size: Column) -> DataFrame:
+    """The table, sent to every executor if its summed size allows; else the planner joins it by shuffles."""
+    held = table.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(table) if held <= SENT else table
 
 
 def scanned(docs: DataFrame, templates: DataFrame, bands: int = BANDS, least: float = LEAST) -> DataFrame:
@@ -86,9 +99,9 @@ def scanned(docs: DataFrame, templates: DataFrame, bands: int = BANDS, least: fl
     rows = _hashed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), bands)
     # The outer form keeps the planner from repeating the whole computation in a filter below.
     places = rows.select("doc_id", "shingles", F.posexplode_outer("signatures").alias("pos", "value"))
-    # Written first, so that the planner knows the template side's true size.
-    known = kept(template_bands(templates, bands), "templates")
-    hits = places.join(known, "value").filter(F.expr("pos div size(shingles)") == C("band"))
+    known = _small(kept(template_bands(templates, bands), "bands"), F.length("license") + 48)
+    parts = _small(kept(template_parts(templates), "parts"), F.length("license") + 8 * F.size("parts") + 48)
+    hits = places.join(known, "value").filter(F.expr("pos div size(shingles)") == C("band")).join(parts, "license")
     at = F.expr("pos % size(shingles)")
     stretch = F.slice("shingles", F.greatest(at - C("n") + 1, F.lit(0)) + 1, at + C("n") - F.greatest(at - C("n") + 1, F.lit(0)) + 1)
     share = F.size(F.array_intersect(stretch, "parts")) / C("n")

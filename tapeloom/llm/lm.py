@@ -26,7 +26,7 @@ from tapeloom.llm.common import fold_of, kept, parallelism, safe_unions
 
 C = F.col
 BATCH = 1 << 20  # tokens of a batch; a longer document is a batch of its own
-SHARD = 1 << 20  # tokens of the corpus for each shard
+SHARD = 1 << 19  # tokens of the corpus for each shard
 MASS = 10.0  # weight of the unigram level in the smoothed probability of a pair
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # stand-ins for the hashes of both ends of a text
 SPLIT = np.uint64(15)  # a context's successors are spread over this many shards and one more
@@ -203,7 +203,7 @@ def restored(codes: np.ndarray) -> np.ndarray:
 
 def hashed(text: bytes | None) -> list[int]:
     words = (text or b"").lower().split()
-    if len(HASHES) > 400_000:
+    if len(HASHES) > 150_000:
         HASHES.clear()
     digest, known, out = xxhash.xxh64_intdigest, HASHES.get, []
     for w in words:

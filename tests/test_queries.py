@@ -4,10 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tapeloom.plans.catalog import ORACLES, QUERIES
 from tools.check import TABLES, norm
 
 FOLDER = "/root/testdata/sf0.001"
 CHOSEN = "ema screen upsert_bars universe_symbols facet_counts sector_breadth news_table detect_all rule_signals xs_rank barrier_labels stream_bars cond_mining".split()
+CHOSEN += ["ema_gaps", "store_screen", "sort_picks", "barrier_rr_window", "replace_picks"]
 
 
 @pytest.fixture(scope="module")
@@ -19,8 +21,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
-    assert len(entry_points.queries()) > 100
+    assert set(QUERIES) == set(ORACLES) and len(QUERIES) > 100
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", CHOSEN)
