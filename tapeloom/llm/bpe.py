@@ -32,7 +32,7 @@ C = F.col
 LEAF = 1 << 15  # code points of a leaf; longer documents are spread over tasks
 PIECE = 1 << 12  # symbols of an unsplit piece that one leaf holds
 RUN = 48  # symbols up to which a run is merged directly
-REMEMBERED = 400_000
+REMEMBERED = 200_000  # words and pieces that a worker remembers
 WORD = re.compile(r"[^ \t\n\r\f\v]+")
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -178,6 +178,11 @@ class Vocabulary:
             self.words[word] = got
         return got
 
+    def forget(self) -> None:
+        """Give the memory back at the end of a task; the worker may serve other work next."""
+        self.words.clear()
+        self.runs.clear()
+
     def encode(self, text: str) -> tuple[bytes, int, str]:
         known, new = self.words.get, self.remembered
         parts = [known(w) or new(w) for w in WORD.findall(text)]
@@ -213,6 +218,7 @@ def _encoded(path: str, doc_type: pa.DataType):
                 rows.append((n, *_digests(ids, decoded)))
             columns = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        v.forget()
 
     return encode
 
@@ -274,6 +280,7 @@ def _leaf_tokens(path: str):
                 tokens = v.run(text, not goes_on) if part else [t for w in text.decode().split(" ") for t in v.tokens(w)]
                 done.append(struct.pack(f"<{len(tokens)}I", *tokens))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(done, pa.binary()), *batch.columns[4:]], batch.schema.names)
+        v.forget()
 
     return encode
 
