@@ -59,7 +59,8 @@ def align_forward(rows: DataFrame, calendar: DataFrame, date: str) -> DataFrame:
     points = wanted.select("d", F.lit(None).cast("date").alias("day"), F.lit(None).cast("bigint").alias("pos")).unionByName(
         numbered.select(C("day").alias("d"), "day", "pos")
     )
-    ahead = Window.orderBy(F.unix_date("d")).rangeBetween(0, Window.unboundedFollowing)
+    # Latest first, so that the frame only grows.
+    ahead = Window.orderBy(F.desc("d")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = points.select(
         "d",
         F.min("day").over(ahead).alias("cal_day"),
