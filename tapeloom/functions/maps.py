@@ -1,4 +1,4 @@
-"""Sector display names, sector funds, index names, themes."""
+"""Sector display names."""
 
 from __future__ import annotations
 
@@ -21,21 +21,3 @@ SECTOR_DISPLAY = {
     "Consumer Defensive": "生活必需品",
     "Basic Materials": "素材",
 }
-
-# Sector fund -> display name.
-SECTOR_FUNDS = {
-    "XLK": "テクノロジー",
-    "XLF": "金融",
-    "XLE": "エネルギー",
-    "XLV": "ヘルスケア",
-    "XLI": "資本財",
-    "XLY": "一般消費財",
-    "XLP": "生活必需品",
-    "XLU": "公益",
-    "XLRE": "不動産",
-    "XLB": "素材",
-    "XLC": "通信・メディア",
-}
-
-# Index fund -> label.
-INDEX_FUNDS = {"SPY": "S&P 500", "QQQ": "NASDAQ 100", "IWM": "Russell 2000"}

@@ -26,9 +26,11 @@ MAX_WALK = 504
 ENTRY_TIERS = ((25e6, 35.0), (100e6, 22.0), (500e6, 13.0))
 ENTRY_TOP = 8.0
 EXIT_BPS = {"target": 3.0, "gap_target": 12.0, "stop": 18.0, "gap_stop": 55.0, "unresolved": 15.0}
+# How far a price must pass a target to fill it (basis points), and the share of a gap that is kept.
 QUEUE_BPS = 10.0
 GIVEBACK = 0.5
 
+# Features that candidates are ranked by.
 RANK_FEATURES = (
     "ret252 ret126 ret21 rsi2 rsi atr_ratio vol_ratio dist_hh60 dist_ema20 ddv atr_pct".split()
 )
@@ -51,11 +53,13 @@ class Bracket:
         return C("entry") + self.rr * (C("entry") - self.stop())
 
 
+# The grid of brackets.
 def bracket_grid() -> list[Bracket]:
     """The 35 brackets of the full search."""
     return [Bracket(s, rr) for s, rr in product((1.0, 1.5, 2.0, 2.5, 3.0), (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0))]
 
 
+# The brackets of the volatility tiers.
 def tier_brackets() -> list[Bracket]:
     """The 24 brackets of the tier search."""
     return [Bracket(s, rr) for s, rr in product((1.0, 1.5, 2.0, 3.0), (0.5, 1.0, 2.0, 3.0, 4.0, 6.0))]

@@ -30,8 +30,7 @@ class ScreenParams:
 
 def with_tail(bars: DataFrame, rows: int | None = None) -> DataFrame:
     """Adds ``n`` (bars of the ticker) and ``back`` (1 = last bar), counted from the end; optionally keeps the last rows."""
-    last_first = Window.partitionBy("ticker").orderBy(F.desc("i"))
-    out = bars.withColumn("n", r.bars_count()).withColumn("back", F.row_number().over(last_first).cast("bigint"))
+    out = bars.withColumn("n", r.bars_count()).withColumn("back", r.rows_from_end().cast("bigint"))
     return out if rows is None else out.filter(C("back") <= rows)
 
 

@@ -14,6 +14,7 @@ from tapeloom.operators.regimes import with_regime
 C = F.col
 
 
+# What a rule checks and its defaults.
 @dataclass(frozen=True)
 class Rule:
     """Long entry rule: thresholds on the feature table, a family, and optional filters."""
@@ -43,6 +44,7 @@ class Rule:
         return ":".join([self.family, *set_])
 
 
+# The grid of 46 rules.
 def rule_grid(**common) -> list[Rule]:
     """The 46 rules of the full search."""
     rules = [
@@ -74,6 +76,7 @@ TIERS = {
 }
 
 
+# The rules of each volatility tier.
 def tier_rules(**common) -> dict[str, list[Rule]]:
     """The six coarse rules of the tier search, per volatility tier."""
     base = [
@@ -160,6 +163,7 @@ def rule_signals(prepared: DataFrame, rules: dict[int, Rule]) -> DataFrame:
     return prepared.withColumn("rules", F.filter(ids, lambda x: x.isNotNull())).filter(F.size("rules") > 0)
 
 
+# The parameters of a variant and their defaults.
 @dataclass(frozen=True)
 class Variant:
     """Long or short variant of pullback, reversion, retest or breakout."""
@@ -180,6 +184,7 @@ class Variant:
     momentum_min: float = 0.0
 
 
+# The 36 variants.
 def variant_grid() -> list[Variant]:
     """The 36 reversion variants."""
     return [
@@ -357,6 +362,7 @@ def average_rank(rows: DataFrame, by: str, value: str, min_names: int = 100, buc
     return known.join(ranks, [by, value])
 
 
+# The momentum settings and their defaults.
 @dataclass(frozen=True)
 class Momentum:
     formation: int = 126
@@ -372,6 +378,7 @@ class Momentum:
     min_names: int = 100
 
 
+# The 16 momentum settings.
 def momentum_grid() -> list[Momentum]:
     """The 16 cross-sectional settings."""
     return [

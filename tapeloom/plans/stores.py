@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rolling as r
+from tapeloom.functions import scalar
 from tapeloom.functions.maps import SECTOR_DISPLAY
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import picks as pk
@@ -127,6 +128,22 @@ def universe_filter(spark, sf):
     return feeds.universe_filter(_listing(spark, sf)).select("symbol", "exchange")
 
 
+@query(
+    "clean_ticker",
+    q.with_ctes(
+        """raw AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN ' ' || lower(p_type) WHEN 1 THEN 'a.' || CAST(p_partkey AS VARCHAR) || ' '
+          WHEN 2 THEN p_name ELSE lower(p_brand) END AS symbol FROM part),
+        up AS (SELECT p_partkey, upper(trim(symbol)) AS t FROM raw)""",
+        select="SELECT p_partkey, CASE WHEN regexp_matches(t, '^[A-Z0-9.\\-]{1,15}$') THEN t END AS ticker FROM up",
+    ),
+)
+def clean_ticker(spark, sf):
+    size, key = C("p_size") % 4, C("p_partkey").cast("string")
+    symbol = F.when(size == 0, F.concat(F.lit(" "), F.lower("p_type"))).when(size == 1, F.concat(F.lit("a."), key, F.lit(" ")))
+    symbol = symbol.when(size == 2, C("p_name")).otherwise(F.lower("p_brand"))
+    return table(spark, sf, "part").select("p_partkey", scalar.clean_ticker(symbol).alias("ticker"))
+
+
 _NAMES = ("common stock", "Class B units", "Ordinary Share", "warrant", "Class A", "Common Shares ETF", "notes due")
 
 
