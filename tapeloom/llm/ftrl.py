@@ -18,22 +18,13 @@ C = F.col
 BITS = 18
 SAMPLE = 8192  # labelled rows that the model is fitted on, at most
 TOKEN = re.compile(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+")
-CACHE: dict[bytes, int] = {}
 
 
 def features(text: bytes | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words, runs of signs and pairs of neighbours of a text, and values of unit length."""
     tokens = TOKEN.findall(text or b"")
-    if len(CACHE) > 400_000:
-        CACHE.clear()
-    digest, known = xxhash.xxh64_intdigest, CACHE.get
-    own = []
-    for t in tokens:
-        h = known(t)
-        if h is None:
-            h = CACHE[t] = digest(t, 7)
-        own.append(h)
-    words = np.array(own, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    words = np.array([digest(t, 7) for t in tokens], np.uint64)
     pairs = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
     shift = np.uint64(64 - bits)
     buckets = np.concatenate((words, pairs * np.uint64(0xD6E8FEB86659FD93))) >> shift
