@@ -32,7 +32,6 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # stand-ins for the h
 SPLIT = np.uint64(15)  # a context's successors are spread over this many shards and one more
 STEPS = float(1 << 20)  # quantiser: steps of a count's decimal logarithm
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-HASHES: dict[bytes, int] = {}
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -202,16 +201,7 @@ def restored(codes: np.ndarray) -> np.ndarray:
 
 
 def hashed(text: bytes | None) -> list[int]:
-    words = (text or b"").lower().split()
-    if len(HASHES) > 150_000:
-        HASHES.clear()
-    digest, known, out = xxhash.xxh64_intdigest, HASHES.get, []
-    for w in words:
-        h = known(w)
-        if h is None:
-            h = HASHES[w] = digest(w)
-        out.append(h)
-    return out
+    return [xxhash.xxh64_intdigest(w) for w in (text or b"").lower().split()]
 
 
 BATCHES = "doc_id array<bigint>, held array<boolean>, sizes array<bigint>, n bigint, train bigint, blob binary"
