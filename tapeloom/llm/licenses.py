@@ -17,7 +17,8 @@ C = F.col
 SHINGLE = 5
 #: Bands of one row each over windows of two shingles. A shingle stands in two windows; with its
 #: two neighbours it is missed only if it is the largest of the three in every band: 3**-8 = 0.015 %.
-#: Two shingles in a row give equal windows, which every band finds.
+#: Two shingles in a row give equal windows, which every band finds. Templates of one shingle are
+#: found by the shingle itself, which follows as one more band.
 BANDS = 8
 LEAST = 0.8
 SENT = 32 << 20  # bytes of templates that are sent whole to every executor, at most
@@ -51,13 +52,13 @@ def _shingles(words: str) -> Column:
 
 
 def _signatures(shingles: str, bands: int) -> Column:
-    """Band after band, the smallest rehashed value of each window of two shingles (the last window has one)."""
+    """Band after band, the smallest rehashed value of each window of two shingles (the last window has one); then the shingles."""
 
     def band(number: int) -> Column:
         own = F.transform(shingles, lambda h: F.xxhash64(h, F.lit(number)))
         return F.zip_with(own, F.slice(own, 2, F.size(shingles)), lambda a, b: F.least(a, b))
 
-    return F.flatten(F.array(*[band(k) for k in range(bands)]))
+    return F.flatten(F.array(*[band(k) for k in range(bands)], C(shingles)))
 
 
 def _hashed(rows: DataFrame, bands: int) -> DataFrame:
@@ -71,7 +72,8 @@ def template_bands(templates: DataFrame, bands: int = BANDS) -> DataFrame:
     found = _hashed(templates.select("license", "text"), bands)
     place = found.select("license", "shingles", F.posexplode_outer("signatures").alias("pos", "value")).filter(C("value").isNotNull())
     n = F.size(F.array_distinct("shingles"))
-    return place.select("license", n.alias("n"), F.expr("pos div size(shingles)").alias("band"), "value").distinct()
+    found = place.select("license", n.alias("n"), F.expr("pos div size(shingles)").alias("band"), "value").distinct()
+    return found.filter((C("band") < bands) | (C("n") == 1))
 
 
 def template_parts(templates: DataFrame) -> DataFrame:
@@ -80,6 +82,16 @@ def template_parts(templates: DataFrame) -> DataFrame:
     return words.select("license", F.array_distinct(_shingles("words")).alias("parts"))
 
 
+def inner(templates: DataFrame) -> DataFrame:
+    """The templates from their first word to their last.
+
+    Splitting a text that ends in a full stop leaves an empty word there, which a document has only at its
+    own end; without it a notice holds the same shingles anywhere.
+    """
+    text = F.regexp_replace(F.lower("text"), f"^{NOT_WORD}|{NOT_WORD}$", "")
+    return templates.withColumn("text", text)
+
+
 def _small(table: DataFrame, size: Column) -> DataFrame:
     """The table, sent to every executor if its summed size allows; else the planner joins it by shuffles."""
     held = table.agg(F.sum(size)).first()[0] or 0
@@ -91,7 +103,8 @@ def scanned(docs: DataFrame, templates: DataFrame, bands: int = BANDS, least: fl
 
     Containment is the largest share of a template's distinct five-word shingles found in a stretch of twice
     its length around a retrieved window. Words are runs of ASCII letters and digits and of
-    non-ASCII characters, in lower case. Whole texts are scanned; null, empty and very short texts
+    non-ASCII characters, in lower case. A template's closing full stop counts as a word, as at the end of a
+    text; ``inner`` removes it. Whole texts are scanned; null, empty and very short texts
     hold no license. Rows that repeat a doc_id are taken together, rows without id likewise. Other
     columns are ignored; empty tables give an empty result.
     """

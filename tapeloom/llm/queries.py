@@ -13,7 +13,7 @@ from tapeloom.llm.bpe import encoded
 from tapeloom.llm.common import find_package, safe_unions, table
 from tapeloom.llm.ctph import fingerprinted
 from tapeloom.llm.ftrl import quality
-from tapeloom.llm.licenses import LICENSE_SQL, scanned, template_table
+from tapeloom.llm.licenses import LICENSE_SQL, inner, scanned, template_table
 from tapeloom.llm.lm import scores
 from tapeloom.llm.mixing import mixed, mixing_sql
 from tapeloom.llm.simhash import near_duplicates
@@ -99,7 +99,7 @@ def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(table(spark, sf_dir, "documents"), template_table(spark))
+    return scanned(table(spark, sf_dir, "documents"), inner(template_table(spark)))
 
 
 ORACLES["op3_licenses"] = LICENSE_SQL
