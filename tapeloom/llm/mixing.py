@@ -15,6 +15,9 @@ AXES = ("source", "lang", "topic")
 #: Targets are each value's token share to this power, brought to sum 1: 1 keeps the mix, 0 levels it.
 DAMPING = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 ROUNDS = 8
+#: Rounds of raking below the bound, at most, and the part of the budget by which a share may miss its target.
+MOST = 32
+CLOSE = 1e-4
 SHARE = 0.6
 WORD = r"[^\x20\x09-\x0D]+"
 LONG = 8000
@@ -88,6 +91,39 @@ def calibrated(cells: DataFrame, share: float = SHARE) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), C("rate") * scale)).drop("rate")
 
 
+def attainable(cells: DataFrame, axis: str, power: float, share: float = SHARE) -> DataFrame:
+    """axis value, target: tokens of the sample by ``damped`` shares; what a value has too little for is asked of the others alike."""
+    own = cells.groupBy(axis).agg(F.sum("tokens").alias("tokens")).filter(C("tokens") > 0)
+    asked = own.join(damped(cells, axis, power).withColumnRenamed("share", "weight"), axis)
+    return calibrated(asked, share).select(axis, (C("probability") * C("tokens")).alias("target"))
+
+
+def raked_below(cells: DataFrame, targets: dict[str, DataFrame], share: float = SHARE, most: int = MOST, close: float = CLOSE) -> DataFrame:
+    """``cells`` with ``weight``: tokens expected in the sample, raked to each axis' ``target`` and nowhere above the cell's tokens.
+
+    Full cells count with their tokens and the rest is raked to what is left of each target; a full cell's
+    own weight moves along, so that it opens again where that is too much. Rounds end when no target was
+    missed by more than ``close`` of the budget; one row a round reaches the driver.
+    """
+    cells = cells.withColumn("weight", C("tokens") * F.lit(float(share)))
+    for _ in range(most):
+        cells = cells.withColumn("missed", F.lit(0.0))
+        for axis, target in targets.items():
+            full = C("weight") >= C("tokens")
+            held, rest = F.sum(F.when(full, C("tokens")).otherwise(0)).cast("double"), F.sum(F.when(full, 0.0).otherwise(C("weight")))
+            now = cells.groupBy(axis).agg(held.alias("held"), rest.alias("rest")).join(target, axis)
+            got = C("held") + C("rest")
+            factor = F.when((C("target") >= got) & (C("rest") > 0), (C("target") - C("held")) / C("rest")).when(got > 0, C("target") / got)
+            now = now.select(axis, F.coalesce(factor, F.lit(0.0)).alias("factor"), F.abs(C("target") - got).alias("off"))
+            cells = cells.join(now, axis, "left").withColumn("weight", C("weight") * F.coalesce("factor", F.lit(0.0)))
+            cells = cells.withColumn("missed", F.greatest("missed", "off")).drop("factor", "off")
+        cells = kept(cells, "cells")
+        row = cells.agg(F.max("missed").alias("missed"), F.sum("tokens").alias("tokens")).first()
+        if (row["missed"] or 0) <= close * share * (row["tokens"] or 0):
+            break
+    return cells.withColumn("weight", F.least("weight", C("tokens").cast("double"))).drop("missed")
+
+
 def drawn(key: Column) -> Column:
     """A number in [0, 1) from the md5 of the key as text; null counts as the empty text."""
     text = F.coalesce(key.cast("string"), F.lit(""))
@@ -98,35 +134,41 @@ def cell_table(described: DataFrame) -> DataFrame:
     return described.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
-def _mix(described: DataFrame, share: float, rounds: int) -> DataFrame:
+def _mix(described: DataFrame, share: float, rounds: int, bounded: bool) -> DataFrame:
     cells = kept(cell_table(described), "cells")
+    if bounded:
+        reach = {axis: kept(attainable(cells, axis, power, share), "targets") for axis, power in DAMPING.items()}
+        return kept(calibrated(raked_below(cells, reach, share), share), "mix").select(*AXES, "probability")
     targets = {axis: kept(damped(cells, axis, power), "targets") for axis, power in DAMPING.items()}
     return kept(calibrated(raked(cells, targets, rounds), share), "mix").select(*AXES, "probability")
 
 
-def mixed(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def mixed(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS, bounded: bool = True) -> DataFrame:
     """doc_id, source, lang, topic, tokens, probability, selected for every row.
 
     Tokens are words between ASCII white space. Null sources and languages form the value ``(none)``,
     null texts count as empty. The draw depends on doc_id alone, so repeated rows share their fate; a
     null doc_id draws as the empty text. Empty texts cost nothing and are sampled like their cell, a
     cell without any token is not sampled. An empty table gives an empty result.
+
+    ``bounded`` rakes below probability 1, so that the sample has the target shares as far as the tokens
+    reach; without it ``rounds`` of free raking are cut at 1 afterwards, as in ``mixing_sql``.
     """
     safe_unions(docs.sparkSession)
     described = kept(docs.select("doc_id", *_described(docs)), "described")
-    out = described.join(_mix(described, share, rounds), list(AXES))
+    out = described.join(_mix(described, share, rounds, bounded), list(AXES))
     return out.select(
         "doc_id", *AXES, "tokens", F.round("probability", 9).alias("probability"), (drawn(C("doc_id")) < C("probability")).alias("selected")
     )
 
 
-def sampled(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of ``docs``, all columns, that are drawn."""
+def sampled(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS, bounded: bool = True) -> DataFrame:
+    """The rows of ``docs``, all columns, that are drawn; by the probabilities of ``mixed``."""
     safe_unions(docs.sparkSession)
     described = kept(docs.select("doc_id", *_described(docs)), "described")
     names = {axis: fresh(docs, f"{axis}_of_cell") for axis in AXES}
     chance = fresh(docs, "chance")
-    mix = _mix(described, share, rounds).select(*[C(a).alias(n) for a, n in names.items()], C("probability").alias(chance))
+    mix = _mix(described, share, rounds, bounded).select(*[C(a).alias(n) for a, n in names.items()], C("probability").alias(chance))
     cell = {n: c for n, c in zip(names.values(), _described(docs))}
     rows = docs.withColumns(cell).join(mix, list(names.values()))
     return rows.filter(drawn(C("doc_id")) < C(chance)).select(*docs.columns)

@@ -56,7 +56,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))
+    # Its SQL cuts free raking at probability 1; the pipeline rakes below that bound.
+    return mixed(table(spark, sf_dir, "documents"), bounded=False)
 
 
 ORACLES["op2_mixing"] = mixing_sql()
