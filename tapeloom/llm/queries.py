@@ -20,6 +20,7 @@ from tapeloom.llm.simhash import near_duplicates
 from tapeloom.llm.urls import URL_SQL, filtered, rule_table
 from tapeloom.llm.voronoi import TOP_SQL, nearest
 from tapeloom.llm.warc import WARC_SQL, archived
+from tapeloom.llm.wrapper import extracted
 
 C = F.col
 
@@ -109,3 +110,8 @@ ORACLES["op3_licenses"] = LICENSE_SQL
 @query
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
