@@ -16,7 +16,9 @@ from tapeloom.llm.ftrl import quality
 from tapeloom.llm.licenses import LICENSE_SQL, inner, scanned, template_table
 from tapeloom.llm.lm import scores
 from tapeloom.llm.mixing import mixed, mixing_sql
+from tapeloom.llm.phrases import PHRASE_SQL, collocations
 from tapeloom.llm.simhash import near_duplicates
+from tapeloom.llm.spelling import SPELLING_SQL, variants
 from tapeloom.llm.urls import URL_SQL, filtered, rule_table
 from tapeloom.llm.voronoi import TOP_SQL, nearest
 from tapeloom.llm.warc import WARC_SQL, archived
@@ -115,3 +117,19 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_phrases"] = PHRASE_SQL
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_spelling"] = SPELLING_SQL
