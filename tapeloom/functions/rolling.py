@@ -36,8 +36,15 @@ def rolling_min(x: Column, n: int, skip: int = 0) -> Column:
     return _full(x, n, F.min(x).over(last_rows(n, skip)), skip)
 
 
-def rolling_median(x: Column, n: int) -> Column:
-    return _full(x, n, F.percentile(x, F.lit(0.5)).over(last_rows(n)))
+def rolling_median(x: Column, n: int, least: int | None = None) -> Column:
+    """Median of the values among the last ``n`` rows, null with fewer than ``least`` (all, if not given).
+
+    The frame is one array of values, sorted as primitives; its middle is read off.
+    """
+    frame = F.sort_array(F.collect_list(x).over(last_rows(n)))
+    size = F.count(x).over(last_rows(n))
+    low, high = F.get(frame, ((size - 1) / 2).cast("int")), F.get(frame, (size / 2).cast("int"))
+    return F.when(size >= (n if least is None else least), low + (high - low) * 0.5)
 
 
 def prev(x: Column, n: int = 1) -> Column:

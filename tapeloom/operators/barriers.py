@@ -1,22 +1,23 @@
 """Outcome of entry signals: which exit is reached first on the bars after the fill.
 
-A signal fills at the next bar's open and is followed for a bounded number of bars. Bars and
-signals are cut into ranges of that length per ticker and joined by equality on (ticker,
-range), so a signal meets at most two ranges and never all bars of its ticker. For every exit
-leg the first touching bar is a plain ``min(position)``, reduced before the shuffle; the exit
-bar itself is then fetched by one equality join. All legs of all brackets are found in the
-same pass.
+A signal fills at the next bar's open and is followed for a bounded number of bars. The first bar
+that touches each exit's level is found through block extremes (``touch``), for all legs of all
+brackets in the same pass; closes beyond an average do not depend on the signal and are looked up
+per bar. The exit bar itself is then fetched by one equality join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rolling as r
+from tapeloom.operators.touch import Touch, extremes, first_touches, next_where
 from tapeloom.session import safe_unions
 
 C = F.col
@@ -89,18 +90,9 @@ def with_fill(bars: DataFrame) -> DataFrame:
     )
 
 
-def _paths(signals: DataFrame, bars: DataFrame, horizon: int, columns: tuple[str, ...]) -> DataFrame:
-    """Signals (with ``e``) against their following bars, columns prefixed with b\\_."""
-    first = F.floor(C("e") / horizon)
-    last = F.floor((C("e") + horizon - 1) / horizon)
-    spread = signals.withColumn("range_", F.explode(F.sequence(first, last)))
-    side = bars.select(
-        C("ticker"),
-        F.floor(C("i") / horizon).alias("range_"),
-        *[C(c).alias(f"b_{c}") for c in ("i", *columns)],
-    )
-    joined = spread.join(side, ["ticker", "range_"])
-    return joined.filter((C("b_i") >= C("e")) & (C("b_i") < C("e") + horizon)).drop("range_")
+def _path(horizon: int | Column) -> list[Column]:
+    """Positions of the first and last bar that a filled signal is followed over."""
+    return [C("e").alias("from_"), (F.least(C("e") + horizon, C("n")) - 1).alias("upto_")]
 
 
 def _exit_bar(found: DataFrame, bars: DataFrame) -> DataFrame:
@@ -118,7 +110,7 @@ def label_brackets(
     features: DataFrame,
     signals: DataFrame,
     brackets: dict[int, Bracket],
-    eval_end: str | None = None,
+    eval_end: str | Column | None = None,
     min_risk: float = 0.005,
     max_risk: float = 0.50,
     max_gap_days: int = 4,
@@ -127,6 +119,7 @@ def label_brackets(
     """Label each signal (ticker, i) once for every bracket: exit, status and net R.
 
     ``features`` is the feature table; ``signals`` may carry further columns named in ``carry``.
+    Signals after ``eval_end`` are left out: they may lack the bars to reach an exit (``evaluation_end``).
     """
     filled = with_fill(features)
     keep = ["ticker", "i", *carry]
@@ -138,20 +131,17 @@ def label_brackets(
         & (C("entry") > 0)
     )
     if eval_end is not None:
-        ok = ok & (C("dt") <= F.lit(eval_end).cast("date"))
+        ok = ok & (C("dt") <= (F.lit(eval_end).cast("date") if isinstance(eval_end, str) else eval_end))
     s = s.filter(ok)
 
     # First touching bar of every distinct stop and target, in one pass over the paths.
-    narrow = s.select("ticker", "i", "e", "entry", "atr", *[c for c in ("ll10", "ll20") if _uses(brackets, c)])
-    paths = _paths(narrow, features, MAX_WALK, ("open", "high", "low"))
-    later = C("b_i") > C("e")
+    narrow = s.select("ticker", "i", *_path(MAX_WALK), "entry", "atr", *[c for c in ("ll10", "ll20") if _uses(brackets, c)])
     touches = {}
     for k, b in brackets.items():
         sl, tp = b.stop(), b.target()
-        touches.setdefault(_stop_name(b), F.min(F.when((C("b_low") <= sl) | (later & (C("b_open") <= sl)), C("b_i"))))
-        hit = (C("b_high") >= tp * (1 + QUEUE_BPS / 10000.0)) | (later & (C("b_open") >= tp))
-        touches[f"t{k}"] = F.min(F.when(hit, C("b_i")))
-    first = paths.groupBy("ticker", "i").agg(*[v.alias(c) for c, v in touches.items()])
+        touches.setdefault(_stop_name(b), Touch(low=sl, low_open=sl, entry_open=False))
+        touches[f"t{k}"] = Touch(high=tp * (1 + QUEUE_BPS / 10000.0), high_open=tp, entry_open=False)
+    first = first_touches(narrow, features, touches, ["ticker", "i"], MAX_WALK)
 
     legs = F.array(
         *[
@@ -212,6 +202,11 @@ def label_brackets(
     )
 
 
+def evaluation_end(bars: DataFrame, buffer_days: int = 120) -> Column:
+    """The last signal date to label, so many days before the newest bar, as a scalar subquery."""
+    return F.date_sub(bars.agg(F.max("dt")).scalar(), buffer_days)
+
+
 def _uses(brackets: dict[int, Bracket], column: str) -> bool:
     return any(b.sl_mode != "atr" and column == f"ll{b.swing_lookback}" for b in brackets.values())
 
@@ -228,22 +223,19 @@ def _sided(value_long: Column, value_short: Column) -> Column:
     return F.when(C("side") == "long", value_long).otherwise(value_short)
 
 
-def _filled_signals(signals: DataFrame, bars: DataFrame) -> DataFrame:
-    fill = with_fill(bars).select("ticker", "i", "entry", "entry_date", "e", "n")
+def _filled_signals(signals: DataFrame, bars: DataFrame, events: dict[str, Column] | None = None) -> DataFrame:
+    """Signals with their fill; of ``events`` the position of the first bar from the fill on where each holds."""
+    ahead = {name: next_where(event) for name, event in (events or {}).items()}
+    fill = with_fill(bars).withColumns(ahead).select("ticker", "i", "entry", "entry_date", "e", "n", *ahead)
     s = signals.join(fill, ["ticker", "i"]).filter(C("e") < C("n"))
     s = s.withColumn("risk", _sided(C("entry") - C("stop"), C("stop") - C("entry")))
     return s.filter(C("risk") > 0)
 
 
-def _first(hit: Column) -> Column:
-    return F.min(F.when(hit, C("b_i")))
-
-
-def _stopped() -> Column:
-    """Bar touching the stop: its open already beyond, or its extreme."""
-    return _sided(
-        (C("b_open") <= C("stop")) | (C("b_low") <= C("stop")), (C("b_open") >= C("stop")) | (C("b_high") >= C("stop"))
-    )
+def _stopped() -> Touch:
+    """The stop, touched by an open or an extreme."""
+    long, short = F.when(C("side") == "long", C("stop")), F.when(C("side") == "short", C("stop"))
+    return Touch(low=long, low_open=long, high=short, high_open=short)
 
 
 def _net_r(px: Column, cost_bps: float) -> Column:
@@ -293,11 +285,10 @@ def label_timed(
     s = s.filter(reward > 0).withColumn("planned_rr", reward / C("risk"))
     if rr_window is not None:
         s = s.filter(C("planned_rr").between(*rr_window))
-    reached = _sided(C("b_high") >= C("target"), C("b_low") <= C("target"))
+    reached = Touch(high=F.when(C("side") == "long", C("target")), low=F.when(C("side") == "short", C("target")))
     group = [*keys, "i"]
-    narrow = s.select(*group, "e", "stop", "target")
-    paths = _paths(narrow, bars, max_hold, ("open", "high", "low"))
-    first = paths.groupBy(*group).agg(_first(_stopped()).alias("s"), _first(reached).alias("t"))
+    narrow = s.select(*dict.fromkeys([*group, "side"]), *_path(max_hold), "stop", "target")
+    first = first_touches(narrow, bars, {"s": _stopped(), "t": reached}, group, max_hold)
     rows = s.join(first, group).withColumn("j", F.least("s", "t", F.least(C("e") + max_hold, C("n")) - 1))
     rows = _exit_bar(rows, bars)
     o, stop, target = C("x_open"), C("stop"), C("target")
@@ -344,42 +335,54 @@ def _stop_or(rows: DataFrame, bars: DataFrame, status: str, limit: Column) -> tu
     return rows, px
 
 
-def label_reversion(signals: DataFrame, bars: DataFrame, max_hold: int, cost_bps: float = 10.0) -> DataFrame:
-    """Stop, or the open after the first close beyond ema5, which may lie past ``max_hold``."""
+def label_reversion(
+    signals: DataFrame, bars: DataFrame, max_hold: int, cost_bps: float = 10.0, carry: tuple[str, ...] = (), own_hold: bool = False
+) -> DataFrame:
+    """Stop, or the open after the first close beyond ema5, which may lie past ``max_hold``.
+
+    With ``own_hold`` each signal has its own ``max_hold``, at most the given one.
+    """
     keys = _keys(signals)
-    s = _filled_signals(signals, bars)
-    group = [*keys, "i"]
-    paths = _paths(s.select(*group, "e", "n", "stop"), bars, max_hold, ("open", "high", "low", "close", "ema5"))
-    back = _sided(C("b_close") > C("b_ema5"), C("b_close") < C("b_ema5")) & (C("b_i") + 1 < C("n"))
-    first = paths.groupBy(*group).agg(_first(_stopped()).alias("s"), _first(back).alias("a"))
-    rows = s.join(first, group).withColumn("hold_", F.lit(max_hold))
+    s = _filled_signals(signals, bars, {"above_": C("close") > C("ema5"), "below_": C("close") < C("ema5")})
+    rows = _with_stops(s, bars, keys, max_hold, _sided(C("above_"), C("below_")), C("max_hold") if own_hold else None)
+    rows = rows.withColumn("a", F.when(C("a") + 1 < C("n"), C("a")))
     rows, px = _stop_or(rows, bars, "ema5_recovery", C("n"))
-    return _trade(rows, px, cost_bps, keys)
+    return _trade(rows, px, cost_bps, keys, carry)
+
+
+def _with_stops(s: DataFrame, bars: DataFrame, keys: list[str], longest: int, event: Column, hold: Column | None = None) -> DataFrame:
+    """Adds ``s``, the first bar at the stop, and ``a``, the event's bar, both inside ``hold`` bars."""
+    group, hold = [*keys, "i"], F.lit(longest) if hold is None else hold
+    paths = s.select(*dict.fromkeys([*group, "side"]), *_path(hold), "stop")
+    first = first_touches(paths, bars, {"s": _stopped()}, group, longest)
+    inside = F.when(event < C("e") + hold, event)
+    return s.join(first, group).withColumns({"hold_": hold, "a": inside})
 
 
 def label_trail(
-    signals: DataFrame, bars: DataFrame, trail: str, max_hold: int, cost_bps: float = 10.0, max_risk: float = 0.15
+    signals: DataFrame, bars: DataFrame, trail: str | tuple[str, ...], max_hold: int, cost_bps: float = 10.0, max_risk: float = 0.15
 ) -> DataFrame:
     """Stop, or the open after a close beyond the trailing average, inside ``max_hold``; adds ``mfe_r``.
 
-    The best excursion counts the bars up to the exit, without the bar sold at its open.
+    With several averages each signal names its own in ``trail``; all share one pass. The best
+    excursion counts the bars up to the exit, without the bar sold at its open.
     """
     keys = _keys(signals)
-    s = _filled_signals(signals, bars).filter(C("risk") / C("entry") <= max_risk)
+    trails = (trail,) if isinstance(trail, str) else trail
+    events = {f"above_{t}_": C("close") > C(t) for t in trails} | {f"below_{t}_": C("close") < C(t) for t in trails}
+    s = _filled_signals(signals, bars, events)
+    s = s.filter(C("risk") / C("entry") <= max_risk)
     group = [*keys, "i"]
-    paths = _paths(s.select(*group, "e", "stop"), bars, max_hold, ("open", "high", "low", "close", trail))
-    crossed = _sided(C("b_close") < C(f"b_{trail}"), C("b_close") > C(f"b_{trail}"))
-    first = paths.groupBy(*group).agg(_first(_stopped()).alias("s"), _first(crossed).alias("a"))
+    crossed = [_sided(C(f"below_{t}_"), C(f"above_{t}_")) for t in trails]
+    crossing = crossed[0] if isinstance(trail, str) else F.coalesce(*[F.when(C("trail") == t, c) for t, c in zip(trails, crossed)])
     limit = F.least(C("e") + max_hold, C("n"))
-    rows = s.join(first, group).withColumn("hold_", F.lit(max_hold))
+    rows = _with_stops(s, bars, keys, max_hold, crossing)
     rows, px = _stop_or(rows, bars, "ema_trail", limit)
     rows = rows.withColumn("px", px)
     upto = F.when(C("moved_"), C("j") - 1).otherwise(C("j"))
-    seen = _paths(
-        rows.select(*group, "e", "entry", "risk", upto.alias("upto")), bars, max_hold, ("high", "low")
-    ).filter(C("b_i") <= C("upto"))
-    best = _sided(C("b_high") - C("entry"), C("entry") - C("b_low")) / C("risk")
-    mfe = seen.groupBy(*group).agg(F.greatest(F.max(best), F.lit(0.0)).alias("mfe_r"))
+    seen = extremes(rows.select(*group, C("e").alias("from_"), upto.alias("upto_")), bars, group, max_hold)
+    best = _sided(C("top") - C("entry"), C("entry") - C("bottom")) / C("risk")
+    mfe = rows.select(*dict.fromkeys([*group, "side"]), "entry", "risk").join(seen, group).select(*group, F.greatest(best, F.lit(0.0)).alias("mfe_r"))
     return _trade(rows.join(mfe, group), C("px"), cost_bps, keys, ("mfe_r",))
 
 
@@ -388,23 +391,14 @@ def label_two_stage(signals: DataFrame, bars: DataFrame, max_hold: int = 30, cos
     s = _filled_signals(signals.withColumn("side", F.lit("long")), bars)
     s = s.filter(C("risk") / C("entry") <= max_risk)
     group = ["ticker", "i"]
-    paths = _paths(s.select(*group, "e", "stop", "tp1", "target", "entry"), bars, max_hold, ("open", "high", "low"))
-    touch = lambda level: (C("b_open") >= level) | (C("b_high") >= level)
-    fell = (C("b_open") <= C("stop")) | (C("b_low") <= C("stop"))
-    back = (C("b_open") <= C("entry")) | (C("b_low") <= C("entry"))
-    first = paths.groupBy(*group).agg(
-        _first(fell).alias("s"),
-        _first(touch(C("target"))).alias("t"),
-        _first(touch(C("tp1"))).alias("h"),
-        # At most max_hold positions per signal: the bars that would stop a trade at its entry.
-        F.collect_list(F.when(back, C("b_i"))).alias("backs"),
-    )
-    rows = s.join(first, group)
+    reach = lambda level: Touch(high=C(level), high_open=C(level))
+    touches = {"s": Touch(low=C("stop"), low_open=C("stop")), "t": reach("target"), "h": reach("tp1")}
+    first = first_touches(s.select(*group, *_path(max_hold), "stop", "tp1", "target"), bars, touches, group, max_hold)
+    rows = _back_at_entry(s.join(first, group), bars, group, max_hold)
     last = F.least(C("e") + max_hold, C("n")) - 1
     early = F.least("s", "t")
     half = C("h").isNotNull() & (early.isNull() | (C("h") < early))
-    after = F.array_min(F.filter("backs", lambda x: x > C("h")))
-    rows = rows.withColumns({"half": half, "b": F.when(half, after)})
+    rows = rows.withColumns({"half": half, "b": F.when(half, C("b"))})
     rows = rows.withColumn("j", F.when(C("half"), F.least("b", "t", last)).otherwise(F.least("s", "t", last)))
     fall = F.when(C("half"), C("b")).otherwise(C("s"))
     fell = fall.isNotNull() & (C("t").isNull() | (fall <= C("t")))
@@ -438,6 +432,13 @@ def label_two_stage(signals: DataFrame, bars: DataFrame, max_hold: int = 30, cos
     )
 
 
+def _back_at_entry(rows: DataFrame, bars: DataFrame, group: list[str], max_hold: int) -> DataFrame:
+    """Adds ``b``, the first bar after ``h`` that falls back to the entry price."""
+    after = rows.filter(C("h").isNotNull()).select(*group, (C("h") + 1).alias("from_"), _path(max_hold)[1], "entry")
+    back = {"b": Touch(low=C("entry"), low_open=C("entry"))}
+    return rows.join(first_touches(after.filter(C("from_") <= C("upto_")), bars, back, group, max_hold), group, "left")
+
+
 def label_structural(
     signals: DataFrame,
     bars: DataFrame,
@@ -457,26 +458,18 @@ def label_structural(
     s = s.withColumn("planned_rr", (C("resistance") - C("entry")) / C("risk"))
     s = s.filter((C("i") >= 60) & (C("risk") / C("entry") <= max_risk) & (C("planned_rr") >= min_rr))
     group = ["ticker", "i"]
-    narrow = s.select(*group, "e", "stop", "resistance", "entry")
-    paths = _paths(narrow, bars, max_hold, ("open", "high", "low", "close", "ema20"))
-    reach = (C("b_open") >= C("resistance")) | (C("b_high") >= C("resistance"))
-    fell = (C("b_open") <= C("stop")) | (C("b_low") <= C("stop"))
-    back = (C("b_open") <= C("entry")) | (C("b_low") <= C("entry"))
-    # At most max_hold positions per signal each.
-    first = paths.groupBy(*group).agg(
-        _first(fell).alias("s"),
-        _first(reach).alias("h"),
-        F.collect_list(F.when(back, C("b_i"))).alias("backs"),
-        F.collect_list(F.when(C("b_close") < C("b_ema20"), C("b_i"))).alias("unders"),
-    )
-    rows = s.join(first, group)
+    touches = {"s": Touch(low=C("stop"), low_open=C("stop")), "h": Touch(high=C("resistance"), high_open=C("resistance"))}
+    first = first_touches(s.select(*group, *_path(max_hold), "stop", "resistance"), bars, touches, group, max_hold)
+    rows = _back_at_entry(s.join(first, group), bars, group, max_hold)
+    # From the touching bar on, the first close below the average.
+    under = bars.select("ticker", C("i").alias("h"), next_where(C("close") < C("ema20"), own=True).alias("a"))
+    rows = rows.join(under, ["ticker", "h"], "left")
     limit = F.least(C("e") + max_hold, C("n"))
     hit = C("h").isNotNull() & (C("s").isNull() | (C("h") < C("s")))
     rows = rows.withColumns(
         {
             "hit_target": hit,
-            "b": F.array_min(F.filter("backs", lambda x: x > C("h"))),
-            "a": F.array_min(F.filter("unders", lambda x: x >= C("h"))),
+            "a": F.when(C("a") < C("e") + max_hold, C("a")),
             "limit_": limit,
         }
     )
@@ -512,23 +505,35 @@ def label_structural(
     return rows.select("ticker", "i", "entry_date", "exit_date", r_.alias("r"), "planned_rr", "status", "hit_target")
 
 
+def _walked(names: list[str], start: int) -> Callable:
+    """Keeps a sorted stream of (keys, i, held) rows that start when the one kept before has ended."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, free = None, start
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            mask = []
+            for *now, i, held in zip(*columns):
+                if now != key:
+                    key, free = now, start
+                mask.append(i >= free)
+                if mask[-1]:
+                    free = i + held + 1
+            yield batch.filter(pa.array(mask, pa.bool_())).select([*names, "i"])
+
+    return walk
+
+
 def non_overlap(trades: DataFrame, keys: list[str], start: int = 0) -> DataFrame:
     """Per key, keep a trade only when the one kept before has ended: next start > i + held.
 
-    A ticker's signals are bounded by its calendar; each group folds over its sorted starts.
+    Trades of a key that start on one bar are first reduced to the shortest, which alone decides,
+    so a key has at most one row per bar of the calendar however many tickers share it. Those are
+    read once in order; a task remembers one key and where it is free again.
     """
-    spans = trades.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "held"))).alias("spans"))
-    empty = F.array().cast("array<bigint>")
-    zero = F.struct(F.lit(start).cast("bigint").alias("free"), empty.alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.when(
-            x["i"] >= acc["free"],
-            F.struct(
-                (x["i"] + x["held"] + 1).cast("bigint").alias("free"),
-                F.array_append(acc["kept"], x["i"].cast("bigint")).alias("kept"),
-            ),
-        ).otherwise(acc)
-
-    kept = spans.select(*keys, F.explode(F.aggregate("spans", zero, step, lambda acc: acc["kept"])).alias("i"))
-    return trades.join(kept, [*keys, "i"], "left_semi")
+    starts = trades.groupBy(*keys, "i").agg(F.min("held").alias("held"))
+    ordered = starts.select(*keys, C("i").cast("bigint").alias("i"), C("held").cast("bigint").alias("held"))
+    ordered = (ordered.repartition(*keys) if keys else ordered.coalesce(1)).sortWithinPartitions(*keys, "i")
+    found = ordered.mapInArrow(_walked(keys, start), ordered.drop("held").schema)
+    same = [C(f"a.{k}").eqNullSafe(C(f"b.{k}")) for k in [*keys, "i"]]
+    return trades.alias("a").join(found.alias("b"), same, "left_semi")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,18 +104,50 @@ def path_report(paths: DataFrame, ruin: float = 0.10) -> DataFrame:
     )
 
 
+def _rotated(iters: int, seed: str) -> Callable:
+    """Per ticker and iteration: how many labels its rotated signals meet, how many hold a value, and their sum."""
+
+    def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, held = np.zeros(iters, np.int64), np.zeros(iters, np.int64)
+        total = np.zeros(iters)
+        for batch in batches:
+            for ticker, n, signals, at, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:]):
+                where = signals.values.to_numpy(zero_copy_only=False)
+                labelled, value = np.zeros(n, np.int64), np.zeros(n)
+                known = np.zeros(n, np.int64)
+                spots, values = at.values.to_numpy(zero_copy_only=False), r.values.to_numpy(zero_copy_only=False).astype(float)
+                inside = spots < n
+                spots, values = spots[inside], values[inside]
+                there = ~np.isnan(values)
+                np.add.at(labelled, spots, 1)
+                np.add.at(known, spots[there], 1)
+                np.add.at(value, spots[there], values[there])
+                for it in range(iters):
+                    drawn = int(hashlib.md5(f"{seed}/{it}/{ticker}".encode()).hexdigest()[:8], 16)
+                    spot = (where + (260 + drawn % max(n - 520, 1) if n > 600 else 0)) % n
+                    met[it] += labelled[spot].sum()
+                    held[it] += known[spot].sum()
+                    total[it] += value[spot].sum()
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, (np.arange(iters), met, held, total))), ["it", "met", "held", "total"])
+
+    return rotate
+
+
 def permutation_means(signals: DataFrame, labels: DataFrame, iters: int, seed: str = "shift") -> DataFrame:
     """Mean R per iteration when each ticker's signals are shifted around its own bars.
 
     signals(ticker, i, n) and labels(ticker, i, r), where every bar was labelled once. A ticker
-    of over 600 bars shifts by 260 or more from both ends, a shorter one not at all.
+    of over 600 bars shifts by 260 or more from both ends, a shorter one not at all. A ticker's
+    signals and labels, at most one calendar each, are arrays of one row, and a shift rotates
+    positions inside it: nothing is multiplied by iterations, and each task gives one row for each.
     """
-    its = signals.select("ticker", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("it"))
-    shift = F.when(C("n") > 600, 260 + draw(seed, C("it"), C("ticker")) % F.greatest(C("n") - 520, F.lit(1))).otherwise(0)
-    moved = its.select("it", "ticker", ((C("i") + shift) % C("n")).alias("i"))
-    return moved.join(labels.select("ticker", "i", "r"), ["ticker", "i"]).groupBy("it").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_r")
-    )
+    spots = signals.groupBy("ticker").agg(F.max("n").alias("n"), F.collect_list("i").alias("signals"))
+    pair = F.sort_array(F.collect_list(F.struct("i", "r")))
+    known = labels.groupBy("ticker").agg(pair.alias("labels")).select("ticker", C("labels.i").alias("at"), C("labels.r").alias("r"))
+    rows = spots.join(known, "ticker").select("ticker", "n", "signals", "at", "r")
+    sums = rows.mapInArrow(_rotated(iters, seed), "it bigint, met bigint, held bigint, total double")
+    each = sums.groupBy("it").agg(F.sum("met").alias("n"), (F.try_divide(F.sum("total"), F.sum("held"))).alias("mean_r"))
+    return each.filter(C("n") > 0)
 
 
 def null_report(means: DataFrame, observed: DataFrame, n_configs: int) -> DataFrame:

@@ -215,19 +215,31 @@ def volume_band(bars: DataFrame, bins: int = 20, window: int = 60) -> DataFrame:
 
 
 def gates(bars: DataFrame, p: ScreenParams) -> DataFrame:
-    """One row per ticker with the cumulative funnel flags universe, liquid, po, dip."""
+    """One row per ticker with the cumulative funnel flags universe, liquid, po, dip.
+
+    The gates run one after the other: each is settled, and the next reads the bars of the tickers
+    left by a semi join below its windows, so the dear stages see survivors only. What a dropped
+    ticker would have measured further on is null.
+    """
     store_dt = bars.agg(F.max("dt")).scalar()
     base = liquidity_gate(bars, p).withColumn(
         "universe",
         (C("n") >= p.min_history) & (F.datediff(store_dt, "last_dt") <= p.max_stale_days),
     )
-    weekly = weekly_order(bars, p.min_weeks).select("ticker", "po_weeks")
-    joined = base.join(weekly, "ticker", "left").join(dip_check(bars, p), "ticker", "left")
-    joined = joined.withColumn("liquid", C("universe") & C("liquid"))
+    base = settle(base.withColumn("liquid", C("universe") & C("liquid")))
+    weekly = weekly_order(survivors(bars, base.filter("liquid")), p.min_weeks).select("ticker", "po_weeks")
+    weekly = settle(weekly)
+    dips = dip_check(survivors(bars, weekly.filter(C("po_weeks") > 0)), p)
+    joined = base.join(weekly, "ticker", "left").join(dips, "ticker", "left")
     joined = joined.withColumn("po", C("liquid") & F.coalesce(C("po_weeks") > 0, F.lit(False)))
     return joined.withColumn("dip", C("po") & C("touch_days_ago").isNotNull())
 
 
+def survivors(bars: DataFrame, left: DataFrame) -> DataFrame:
+    """The bars of the tickers left."""
+    return bars.join(left.select("ticker"), "ticker", "left_semi")
+
+
 def funnel(gated: DataFrame) -> DataFrame:
     return gated.agg(*[F.count_if(C(c)).alias(c) for c in ("universe", "liquid", "po", "dip")])
 

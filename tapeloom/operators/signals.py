@@ -201,12 +201,8 @@ def variant_grid() -> list[Variant]:
     ]
 
 
-def variant_signals(rows: DataFrame, variants: list[Variant], min_volume: float = 1e6) -> DataFrame:
-    """Signals of all variants with stop and target, from one pass over the bars.
-
-    ``rows`` carry ema20/50/200, rsi, rsi2, atr, vol3, vol20 and the regime flags bull, bear.
-    Short variants mirror long ones: signs are flipped, highs and lows swapped.
-    """
+def _variant_rows(rows: DataFrame, variants: list[Variant], min_volume: float) -> DataFrame:
+    """Bars on which a variant may fire, with all levels the variants look at."""
     c = C("close")
     levels: dict[str, Column] = {}
 
@@ -238,11 +234,67 @@ def variant_signals(rows: DataFrame, variants: list[Variant], min_volume: float
     known = (
         C("ema200").isNotNull() & C("rsi").isNotNull() & C("atr").isNotNull() & (C("vol20") >= min_volume)
     )
-    df = df.filter((C("i") >= 201) & (C("i") < C("n") - 1) & known)
+    return df.filter((C("i") >= 201) & (C("i") < C("n") - 1) & known)
+
+
+def variant_signals(rows: DataFrame, variants: list[Variant], min_volume: float = 1e6) -> DataFrame:
+    """Signals of all variants with stop and target, from one pass over the bars.
+
+    ``rows`` carry ema20/50/200, rsi, rsi2, atr, vol3, vol20 and the regime flags bull, bear.
+    Short variants mirror long ones: signs are flipped, highs and lows swapped.
+    """
+    df = _variant_rows(rows, variants, min_volume)
     fired = F.filter(F.array(*[_variant_struct(v) for v in variants]), lambda x: x.isNotNull())
     return df.select("ticker", "dt", "i", "close", F.inline(fired))
 
 
+def shared_legs(variants: list[Variant]) -> dict[str, list[Variant]]:
+    """Variants by what their outcome depends on: those of one leg differ only in when they fire."""
+    legs: dict[str, list[Variant]] = {}
+    for v in variants:
+        leg = f"{v.strategy}_{v.side}_stop{v.stop_lookback}_atr{v.atr_buffer}_target{v.target_lookback}_hold{v.max_hold}"
+        legs.setdefault(leg, []).append(v)
+    return legs
+
+
+def leg_signals(rows: DataFrame, variants: list[Variant], min_volume: float = 1e6) -> DataFrame:
+    """One row per bar and leg on which any variant of the leg fires, with ``fired``, the bitmap of those that do.
+
+    Columns are those of ``variant_signals`` with the leg as ``variant``; a leg holds at most 62 variants.
+    """
+    df = _variant_rows(rows, variants, min_volume)
+    found = []
+    for leg, same in shared_legs(variants).items():
+        if len(same) > 62:
+            raise ValueError("a leg holds at most 62 variants")
+        parts = [_variant_parts(v) for v in same]
+        bits = sum((F.when(signal, F.lit(1 << k)).otherwise(F.lit(0)) for k, (signal, _, _) in enumerate(parts)), F.lit(0).cast("bigint"))
+        _, stop, target = parts[0]
+        found.append(
+            F.struct(
+                F.lit(leg).alias("variant"),
+                F.lit(same[0].side).alias("side"),
+                F.lit(same[0].max_hold).alias("max_hold"),
+                stop.alias("stop"),
+                target.alias("target"),
+                bits.alias("fired"),
+            )
+        )
+    return df.select("ticker", "dt", "i", "close", F.inline(F.filter(F.array(*found), lambda x: x["fired"] > 0)))
+
+
+def of_variants(trades: DataFrame, variants: list[Variant]) -> DataFrame:
+    """Trades of legs, with ``variant`` and ``fired``, as trades of the variants that fired."""
+    names = [
+        F.struct(F.lit(leg).alias("leg"), F.lit(1 << k).cast("bigint").alias("bit"), F.lit(v.name).alias("name"))
+        for leg, same in shared_legs(variants).items()
+        for k, v in enumerate(same)
+    ]
+    mine = F.filter(F.array(*names), lambda x: (x["leg"] == C("variant")) & (C("fired").bitwiseAND(x["bit"]) > 0))
+    rest = [c for c in trades.columns if c not in ("variant", "fired")]
+    return trades.select(*rest, F.explode(F.transform(mine, lambda x: x["name"])).alias("variant"))
+
+
 def _near(v: Variant, skip: int) -> Column:
     return C(f"{'lo' if v.side == 'long' else 'hi'}_{v.stop_lookback}_{skip}")
 
@@ -265,7 +317,8 @@ def _breakout_mark(v: Variant) -> Column:
     return F.when(broke, F.struct(_far(v).alias("level"), "mom", _near(v, 1).alias("base")))
 
 
-def _variant_struct(v: Variant) -> Column:
+def _variant_parts(v: Variant) -> tuple[Column, Column, Column]:
+    """Whether the variant fires, its stop and its target."""
     long = v.side == "long"
     c, o, h, lo = C("close"), C("open"), C("high"), C("low")
     e20, e50, e200, atr = C("ema20"), C("ema50"), C("ema200"), C("atr")
@@ -299,8 +352,13 @@ def _variant_struct(v: Variant) -> Column:
         if v.require_reversal:
             signal = signal & beyond(c, o) & beyond(c, C("ph" if long else "pl"))
     start = max(201, v.target_lookback + 1, v.stop_lookback + 1)
+    return signal & (C("i") >= start), stop, target
+
+
+def _variant_struct(v: Variant) -> Column:
+    signal, stop, target = _variant_parts(v)
     return F.when(
-        signal & (C("i") >= start),
+        signal,
         F.struct(
             F.lit(v.name).alias("variant"),
             F.lit(v.side).alias("side"),
@@ -379,10 +437,10 @@ class Momentum:
 
 
 # The 16 momentum settings.
-def momentum_grid() -> list[Momentum]:
+def momentum_grid(**common) -> list[Momentum]:
     """The 16 cross-sectional settings."""
     return [
-        Momentum(formation=f, breakout=b, stop_lookback=s, trail_ema=t)
+        Momentum(formation=f, breakout=b, stop_lookback=s, trail_ema=t, **common)
         for f, b, s, t in product((126, 252), (20, 55), (20, 40), (10, 20))
     ]
 
@@ -425,6 +483,50 @@ def momentum_candidates(rows: DataFrame, regime: DataFrame, m: Momentum) -> Data
     )
 
 
+def momentum_signals(rows: DataFrame, regime: DataFrame, settings: dict[str, Momentum]) -> DataFrame:
+    """Candidates of several settings at once: ticker, dt, i, variant, side, stop, trail, rank, momentum.
+
+    Every distinct formation is ranked once and every distinct level is one window; a bar's settings are
+    conditions on those, opened only where they hold.
+    """
+    c = C("close")
+    df = rows
+    levels: dict[str, Column] = {}
+    for m in settings.values():
+        levels[f"top_{m.breakout}"] = r.rolling_max(C("high"), m.breakout, skip=1)
+        levels[f"floor_{m.breakout}"] = r.rolling_min(C("low"), m.breakout, skip=1)
+        levels[f"low_{m.stop_lookback}"] = r.rolling_min(C("low"), m.stop_lookback)
+        levels[f"high_{m.stop_lookback}"] = r.rolling_max(C("high"), m.stop_lookback)
+    df = with_regime(df.withColumns(levels | {"n": r.bars_count()}), regime, ("bull", "bear"))
+    for formation, skip, least in sorted({(m.formation, m.skip, m.min_names) for m in settings.values()}):
+        ranks = average_rank(panel_momentum(rows, formation, skip), "dt", "momentum", least)
+        name = f"{formation}_{skip}_{least}"
+        df = df.join(ranks.select("ticker", "dt", C("rank").alias(f"rank_{name}"), C("momentum").alias(f"mom_{name}")), ["ticker", "dt"], "left")
+
+    def one(name: str, m: Momentum) -> Column:
+        own = f"{m.formation}_{m.skip}_{m.min_names}"
+        rank = C(f"rank_{own}")
+        start = max(205, m.formation + 1, m.breakout + 1, m.stop_lookback + 1)
+        base = (C("i") >= start) & (C("i") < C("n") - 1) & rank.isNotNull() & (C("vol20") >= m.min_volume)
+        base = base & (c * C("vol20") >= m.min_dollar_volume) & (C("volume") >= 0.8 * C("vol20"))
+        up = (rank >= 1 - m.rank_pct) & C("bull") & (c > C("ema200")) & (C("ema50") > C("ema200")) & (c > C(f"top_{m.breakout}"))
+        down = (rank <= m.rank_pct) & C("bear") & (c < C("ema200")) & (C("ema50") < C("ema200")) & (c < C(f"floor_{m.breakout}"))
+        away = m.atr_buffer * C("atr")
+        stop = F.when(up, C(f"low_{m.stop_lookback}") - away).otherwise(C(f"high_{m.stop_lookback}") + away)
+        found = F.struct(
+            F.lit(name).alias("variant"),
+            F.when(up, F.lit("long")).otherwise(F.lit("short")).alias("side"),
+            stop.alias("stop"),
+            F.lit(f"ema{m.trail_ema}").alias("trail"),
+            rank.alias("rank"),
+            C(f"mom_{own}").alias("momentum"),
+        )
+        return F.when(base & (up | down), found)
+
+    fired = F.filter(F.array(*[one(name, m) for name, m in settings.items()]), lambda x: x.isNotNull())
+    return df.select("ticker", "dt", "i", F.inline(fired))
+
+
 def candle_features(bars: DataFrame) -> DataFrame:
     """Shape of each candle: body, lower wick and place of the close, as shares of its range."""
     height = F.greatest(C("high") - C("low"), F.lit(1e-9))

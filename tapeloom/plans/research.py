@@ -238,10 +238,14 @@ def variant_sql(v: sg.Variant) -> str:
     AND vol20 >= 10 AND ticker NOT IN {IDX} AND {cond}"""
 
 
-VARIANT_ROWS = f"""vrows AS MATERIALIZED (SELECT s.*, COALESCE(LAST_VALUE(bull IGNORE NULLS) OVER w, FALSE) AS bull,
+def variant_rows_sql(variants: list[sg.Variant]) -> str:
+    return f"""vrows AS MATERIALIZED (SELECT s.*, COALESCE(LAST_VALUE(bull IGNORE NULLS) OVER w, FALSE) AS bull,
   COALESCE(LAST_VALUE(bear IGNORE NULLS) OVER w, FALSE) AS bear FROM sw s LEFT JOIN rany r ON r.dt = s.dt
   WINDOW w AS (PARTITION BY ticker ORDER BY s.dt ROWS UNBOUNDED PRECEDING)),
-vsig AS MATERIALIZED ({' UNION ALL '.join(variant_sql(v) for v in VARIANTS)})"""
+vsig AS MATERIALIZED ({' UNION ALL '.join(variant_sql(v) for v in variants)})"""
+
+
+VARIANT_ROWS = variant_rows_sql(VARIANTS)
 
 
 def variant_input(spark, sf):

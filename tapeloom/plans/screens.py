@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from tapeloom.operators import daily_screen as ds
 from tapeloom.operators import screen as sc
 from tapeloom.operators.volume import volume_assessment
 from tapeloom.plans import sql as q
@@ -398,28 +401,74 @@ def drawdown(spark, sf):
     return daily(spark, sf).select("ticker", day(), dd(C("close")).alias("drawdown"))
 
 
+AS_OF = f"""day_rows AS (
+  SELECT ticker, dt, i, open, low, close, volume, CAST(DATE_TRUNC('week', dt + 2) AS DATE) AS week,
+    LEAD(dt) OVER (PARTITION BY ticker ORDER BY i) AS next_dt FROM bars),
+ended AS (
+  SELECT ticker, week, ARG_MAX(close, dt) AS close, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY week) AS w
+  FROM day_rows GROUP BY ticker, week),
+placed_rows AS (SELECT d.*, e.w FROM day_rows d JOIN ended e ON e.ticker = d.ticker AND e.week = d.week),
+sums AS (
+  SELECT p.ticker, p.i, {", ".join(f"SUM(e.close) FILTER (e.w > p.w - {n}) AS s{n}, SUM(e.close) FILTER (e.w BETWEEN p.w - {n + 3} AND p.w - 4) AS b{n}" for n in (20, 50, 200))}
+  FROM placed_rows p JOIN ended e ON e.ticker = p.ticker AND e.w < p.w AND e.w >= p.w - 203 GROUP BY p.ticker, p.i),
+orders AS (
+  SELECT p.ticker, p.i, p.w >= 210 AND close > (s20 + close) / 20 AND (s20 + close) / 20 > (s50 + close) / 50
+    AND (s50 + close) / 50 > (s200 + close) / 200 AND (s20 + close) / 20 > b20 / 20 AND (s50 + close) / 50 > b50 / 50
+    AND (s200 + close) / 200 > b200 / 200 AS ordered
+  FROM placed_rows p LEFT JOIN sums s ON s.ticker = p.ticker AND s.i = p.i),
+{q.ema("day_rows", "day_e", {"ema20": q.span("close", 20)})},
+judged AS (
+  SELECT e.*, o.ordered, low <= ema20 * {PARAMS.touch_band} AS touched,
+    QUANTILE_CONT(close * volume, 0.5) OVER {q.rows(PARAMS.dollar_window)} AS dollar_vol,
+    close / LAG(close, 126) OVER ({q.W}) - 1 AS ret FROM day_e e JOIN orders o USING (ticker, i)),
+strength_of AS (
+  SELECT j.*, COALESCE(j.ret > m.ret, FALSE) AS strong,
+    BOOL_OR(j.touched) OVER (PARTITION BY j.ticker ORDER BY j.i ROWS BETWEEN {PARAMS.touch_rows - 1} PRECEDING AND CURRENT ROW) AS lately
+  FROM judged j LEFT JOIN judged m ON m.ticker = 'MKT' AND m.dt = j.dt),
+flags AS MATERIALIZED (
+  SELECT ticker, dt, LEAST(dt + {PARAMS.max_stale_days}, next_dt - 1) AS until, i + 1 >= {PARAMS.min_history} AS universe,
+    i + 1 >= {PARAMS.min_history} AND dollar_vol >= {PARAMS.min_dollar_volume} AND close >= {PARAMS.min_price} AS liquid,
+    COALESCE(ordered, FALSE) AS ordered, lately AND close > ema20 AS dipped, touched AND close > ema20 AND close > open AND strong AS strict
+  FROM strength_of),
+calendar AS (SELECT DISTINCT dt FROM bars),
+per_day AS MATERIALIZED (
+  SELECT c.dt, COUNT(*) FILTER (universe) AS universe, COUNT(*) FILTER (liquid) AS liquid, COUNT(*) FILTER (liquid AND ordered) AS po,
+    COUNT(*) FILTER (liquid AND ordered AND dipped) AS dip, COUNT(*) FILTER (liquid AND ordered AND strict) AS strict
+  FROM calendar c LEFT JOIN flags f ON f.dt <= c.dt AND f.until >= c.dt GROUP BY c.dt)"""
+
+
+@query(
+    "funnel_per_day",
+    q.with_ctes(q.BARS, AS_OF, select="SELECT CAST(dt AS VARCHAR) AS dt, universe, liquid, po, dip FROM per_day"),
+)
+def funnel_per_day(spark, sf):
+    per_day = ds.funnel_per_day(ds.gates_as_of(daily(spark, sf), PARAMS))
+    return per_day.select(day(), *ds.GATES)
+
+
 @query(
     "candidates_per_day",
     q.with_ctes(
         q.BARS,
-        """c0 AS (SELECT *, COUNT(*) OVER (PARTITION BY ticker ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS k,
-        AVG(close) OVER (PARTITION BY ticker ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM bars),
-        c1 AS (SELECT dt, COUNT(*) FILTER (k = 20 AND close > m AND low <= m * 1.02) AS n FROM c0 GROUP BY dt)""",
-        select="""SELECT COUNT(*) AS days, QUANTILE_CONT(n, 0.5) AS median, QUANTILE_CONT(n, 0.1) AS p10,
-        QUANTILE_CONT(n, 0.9) AS p90, ROUND(AVG(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END), 6) AS none_share FROM c1""",
+        AS_OF,
+        select=" UNION ALL ".join(
+            f"""SELECT '{kind}' AS kind, COUNT(*) AS days, QUANTILE_CONT({c}, 0.5) AS median, QUANTILE_CONT({c}, 0.1) AS p10,
+        QUANTILE_CONT({c}, 0.9) AS p90, ROUND(AVG({c}), 6) AS mean, ROUND(AVG(CASE WHEN {c} = 0 THEN 1.0 ELSE 0.0 END), 6) AS none_share FROM per_day"""
+            for kind, c in (("window", "dip"), ("strict", "strict"))
+        ),
     ),
 )
 def candidates_per_day(spark, sf):
-    from tapeloom.functions import rolling as r
-
-    mean = r.sma(C("close"), 20)
-    flagged = daily(spark, sf).select("dt", "ticker", "close", "low", mean.alias("m"))
-    fired = (C("close") > C("m")) & (C("low") <= C("m") * 1.02)
-    per_day = flagged.groupBy("dt").agg(F.count_if(fired).alias("n"))  # one row per calendar day
-    return per_day.agg(
-        F.count(F.lit(1)).alias("days"),
-        F.percentile("n", F.lit(0.5)).alias("median"),
-        F.percentile("n", F.lit(0.1)).alias("p10"),
-        F.percentile("n", F.lit(0.9)).alias("p90"),
-        F.round(F.avg(F.when(C("n") == 0, 1.0).otherwise(0.0)), 6).alias("none_share"),
-    )
+    """Both forms of the dip: touched within three rows; or on the day, on a rising day of a strong ticker."""
+    bars = stored(daily(spark, sf))
+    forms = {
+        "window": ds.gates_as_of(bars, PARAMS),
+        "strict": ds.gates_as_of(bars, replace(PARAMS, touch_rows=1), rising=True, benchmark="MKT"),
+    }
+    found = [
+        ds.distribution(ds.funnel_per_day(gated)).select(
+            F.lit(kind).alias("kind"), "days", "median", "p10", "p90", rnd("mean").alias("mean"), rnd("none_share").alias("none_share")
+        )
+        for kind, gated in forms.items()
+    ]
+    return found[0].unionByName(found[1])

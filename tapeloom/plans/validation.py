@@ -177,7 +177,7 @@ BRACKETS = dict(enumerate(ba.bracket_grid()))
 def grid_cells(prep, feats, rules: dict, brackets: dict, min_signals: int, min_trades: int):
     """Split statistics of every rule x bracket cell; each fired bar is labelled once for all rules."""
     fired = kept(sg.rule_signals(prep, rules).select("ticker", "i", "rules"), "signals")
-    labels = ba.label_brackets(feats, fired.select("ticker", "i"), brackets)
+    labels = ba.label_brackets(feats, fired.select("ticker", "i"), brackets, eval_end=ba.evaluation_end(feats))
     by_rule = fired.select("ticker", "i", F.explode("rules").alias("rule"))
     narrow = labels.select("ticker", "i", "bracket", "entry_date", "exit_date", "r", "risk_pct", "bars", "status")
     signals = by_rule.groupBy("rule").agg(F.count(F.lit(1)).alias("signals"))
@@ -209,7 +209,7 @@ def grid_sql(rules: dict, brackets: dict, min_signals: int = 300, min_trades: in
         re_.bracket_sql("gsig", legs, "glab"),
         f"enough AS (SELECT rule, COUNT(*) AS signals FROM gsig GROUP BY rule HAVING COUNT(*) >= {min_signals})",
         """cells AS MATERIALIZED (SELECT s.rule, g.bracket, s.ticker, s.i, entry_date, exit_date, r, risk_pct, bars_held, status
-          FROM gsig s JOIN enough USING (rule) JOIN glab g ON g.ticker = s.ticker AND g.i = s.i)""",
+          FROM gsig s JOIN enough USING (rule) JOIN glab g ON g.ticker = s.ticker AND g.i = s.i AND g.dt <= (SELECT MAX(dt) FROM bars) - 120)""",
         f"big AS (SELECT rule, bracket FROM cells GROUP BY rule, bracket HAVING COUNT(*) >= {min_trades})",
         "gt AS MATERIALIZED (SELECT * FROM cells SEMI JOIN big USING (rule, bracket))",
         _SPLIT_ROWS.replace("splits AS (SELECT * FROM", "splits AS (SELECT * FROM").replace(", ('hold', DATE '2000-07-01', DATE '2002-01-01')", ""),
@@ -420,7 +420,8 @@ def stationary_bootstrap(spark, sf):
         re_.PREP_PLAIN,
         re_.BREAK_SIG,
         "every AS (SELECT ticker, i FROM feats)",
-        re_.bracket_sql("every", [(0, "entry - 3.0 * atr", 2.0)], "lab"),
+        re_.bracket_sql("every", [(0, "entry - 3.0 * atr", 2.0)], "whole"),
+        "lab AS (SELECT * FROM whole WHERE dt <= (SELECT MAX(dt) FROM bars) - 120)",
         "sn AS (SELECT b.ticker, b.i, n FROM bsig b JOIN prep p ON p.ticker = b.ticker AND p.i = b.i)",
         f"""mv AS (SELECT it, ticker, (i + CASE WHEN n > 600 THEN 260 + {draw_sql('shift', 'it', 'ticker')} % GREATEST(n - 520, 1) ELSE 0 END) % n AS i
           FROM sn, RANGE(200) a(it)),
@@ -436,7 +437,7 @@ def permutation_null(spark, sf):
     feats = re_.feature_rows(spark, sf)
     prep = sg.prepare_rules(feats.withColumn("regime", F.lit(True)))
     signals = prep.filter(sg.fires(re_.BREAKOUT) & (C("ticker") != "MKT")).select("ticker", "i", "n")
-    every = ba.label_brackets(feats, feats.select("ticker", "i"), {0: ba.Bracket(3.0, 2.0)})
+    every = ba.label_brackets(feats, feats.select("ticker", "i"), {0: ba.Bracket(3.0, 2.0)}, eval_end=ba.evaluation_end(feats))
     labels = kept(every.select("ticker", "i", "r"), "labels")
     observed = signals.join(labels, ["ticker", "i"]).agg(F.avg("r").alias("observed"))
     report = rs.null_report(rs.permutation_means(signals, labels, 200), observed, 1610)

@@ -69,6 +69,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         for folder in SCOPES.pop():
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(folder)}")
             path = hadoop.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -93,3 +94,18 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _table_name(folder: str) -> str:
+    return "tapeloom_" + folder.rpartition("/")[2].replace("-", "_")
+
+
+def clustered(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """As ``kept``, in as many buckets of ``key`` as the session has shuffle partitions, each sorted by key and ``order``."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_folder(spark, "clustered")
+    spread = df.repartition(buckets, key).sortWithinPartitions(key, *order)
+    name = _table_name(path)
+    spread.write.format("parquet").bucketBy(buckets, key).sortBy(key, *order).option("path", path).saveAsTable(name)
+    return spark.table(name)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions import rolling as r
-from tapeloom.session import kept, safe_unions
+from tapeloom.session import clustered, safe_unions
 
 C = F.col
 
@@ -47,8 +47,12 @@ def renumbered(bars: DataFrame) -> DataFrame:
 
 
 def stored(bars: DataFrame) -> DataFrame:
-    """Keep a table of bars clustered by ticker, for jobs that read it several times."""
-    return kept(bars.repartition("ticker").sortWithinPartitions("ticker", "i"), "bars")
+    """Keep a table of bars in buckets of tickers, sorted by ticker and place, for jobs that read it several times.
+
+    Its readers know the buckets: windows and grouping by ticker, and joins on the ticker of two such
+    tables, need no shuffle, and a filter on one ticker reads one bucket.
+    """
+    return clustered(bars, "ticker", "i")
 
 
 def trim_history(bars: DataFrame, years: int = 6) -> DataFrame:
