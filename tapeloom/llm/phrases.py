@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +30,8 @@ LAP = LONGEST - 1
 EVERY = 32
 #: Bytes of text handled at once inside a task.
 BLOCK = 1 << 21
-#: Hash of a break between pieces.
-BREAK = np.uint64(0x5851F42D4C957F2D)
+#: Hash of a break between pieces, and the base of the words' polynomials.
+BREAK, BASE = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93)
 
 BYTES = np.arange(256, dtype=np.uint8)
 BYTES[ord("A") : ord("Z") + 1] += 32
@@ -75,8 +74,24 @@ class Tokens:
 
     def hashes(self) -> np.ndarray:
         """A hash of every word, then that of a break."""
-        values = [xxhash.xxh64_intdigest(w) for w in self.words.cast(pa.binary()).to_pylist()]
-        return np.append(np.array(values, np.uint64), BREAK)
+        return np.append(hashed(self.words), BREAK)
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of texts: polynomials of their bytes, mixed with their lengths."""
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    sizes = np.diff(offsets)
+    if not sizes.sum():
+        return mixed(np.zeros(len(words), np.uint64))
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    full = np.flatnonzero(sizes)
+    place = np.arange(len(data)) - np.repeat(offsets[full] - offsets[0], sizes[full])
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(sizes.max()), BASE), dtype=np.uint64)
+        found = np.zeros(len(words), np.uint64)
+        found[full] = np.add.reduceat((data + np.uint64(1)) * powers[place], offsets[full] - offsets[0], dtype=np.uint64)
+    return mixed(found, sizes.astype(np.uint64))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -132,6 +147,10 @@ def dictionary(docs: DataFrame) -> DataFrame:
 def _counter(sizes: tuple[int, ...], sent: Broadcast | None) -> Callable:
     """Counts phrases of ``sizes`` words whose parts are all marked: words of pairs, pairs of longer phrases."""
 
+    def out(langs: pa.Array, phrases: pa.Array, size: int, total: np.ndarray) -> pa.RecordBatch:
+        columns = [langs, phrases, pa.array(np.full(len(total), size, np.int32)), pa.array(total.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "a"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Marked(sent) if sent is not None else None
         for batch in blocks(batches, 1):
@@ -145,16 +164,15 @@ def _counter(sizes: tuple[int, ...], sent: Broadcast | None) -> Callable:
             times = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)[chunk]
             starts = (tokens.ids >= 0) & (np.arange(len(tokens.ids)) < (tokens.firsts[1:] - LAP)[chunk])
             at = np.flatnonzero(starts)
-            h = tokens.hashes()[tokens.ids]
-            seeds = np.array([xxhash.xxh64_intdigest(x) for x in langs.dictionary.cast(pa.binary()).to_pylist()], np.uint64)[lang]
             good = None  # of every token: whether the part that starts there is marked
             if known is not None:
-                part = mixed(seeds, h)
+                h = tokens.hashes()[tokens.ids]
+                part = mixed(hashed(langs.dictionary)[lang], h)
                 if min(sizes) > 2:
                     part[:-1] = mixed(part[:-1], h[1:])
                 good = known.has(part)
                 at = at[good[at]]
-            key, rows, words = None, None, len(tokens.words)
+            key, words, span = None, len(tokens.words), len(langs.dictionary)
             for n in range(1, max(sizes) + 1):
                 if n > 1:
                     ok = tokens.ids[at + n - 1] >= 0
@@ -164,18 +182,20 @@ def _counter(sizes: tuple[int, ...], sent: Broadcast | None) -> Callable:
                         ok &= good[at + step]
                     at, key = at[ok], key[ok]
                 key = lang[at] if key is None else key
-                # Keys of n words are numbered anew at each length, so that they never outgrow 64 bits.
-                key = key * words + tokens.ids[at + n - 1]
-                _, rows, key = np.unique(key, return_index=True, return_inverse=True)
-                if n not in sizes or not len(rows):
+                if span * words >= 1 << 62:  # keys are numbered anew, so that they never outgrow 64 bits
+                    key, span = np.unique(key, return_inverse=True)[1], len(key)
+                key, span = key * words + tokens.ids[at + n - 1], span * words
+                if n == 1 and n in sizes:  # few keys: counted in place
+                    total = np.bincount(key, times[at])
+                    seen = np.flatnonzero(total)
+                    yield out(langs.dictionary.take(pa.array(seen // words)), tokens.words.take(pa.array(seen % words)), n, total[seen])
+                if n not in sizes or n == 1 or not len(key):
                     continue
-                total = np.bincount(key, times[at]).astype(np.int64)
+                _, rows, key = np.unique(key, return_index=True, return_inverse=True)
+                span = len(rows)
                 parts = [tokens.words.take(pa.array(tokens.ids[at[rows] + k])) for k in range(n)]
-                phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays(
-                    [langs.dictionary.take(pa.array(lang[at[rows]])), phrase, pa.array(np.full(len(rows), n, np.int32)), pa.array(total)],
-                    ["lang", "phrase", "size", "a"],
-                )
+                phrase = pc.binary_join_element_wise(*parts, " ")
+                yield out(langs.dictionary.take(pa.array(lang[at[rows]])), phrase, n, np.bincount(key, times[at]))
 
     return count
 
@@ -183,13 +203,13 @@ def _counter(sizes: tuple[int, ...], sent: Broadcast | None) -> Callable:
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same hash of a language and its phrase as ``_counter`` has."""
     for batch in batches:
-        out = []
-        for lang, phrase in zip(*(c.cast(pa.binary()).to_pylist() for c in batch.columns)):
-            out.append([xxhash.xxh64_intdigest(x) for x in (lang, *phrase.split(b" "))])
-        longest = max(map(len, out), default=1)
-        table = np.array([x + [0] * (longest - len(x)) for x in out], np.uint64).reshape(len(out), longest)
-        h = table[:, 0]
-        for k in range(1, longest):
+        if not batch.num_rows:
+            continue
+        words = pc.split_pattern(batch.column(1), " ")
+        size = len(words.values) // len(words)  # all phrases have as many words
+        table = hashed(words.flatten()).reshape(-1, size)
+        h = hashed(batch.column(0))
+        for k in range(size):
             h = mixed(h, table[:, k])
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
