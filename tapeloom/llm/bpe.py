@@ -1,7 +1,8 @@
 """BPE encoding and decoding of whole texts, with tree concatenation for long unsplit runs.
 
-A text is cut at ASCII white space, which no piece of the vocabulary's pattern crosses; what stands between
-is encoded once per worker and remembered. A piece without any split point is halved, the halves are
+A text is cut at ASCII white space, which no piece of the vocabulary's pattern crosses. The distinct words of
+a portion of texts are encoded once, all their short pieces together: each round merges every piece's
+best pair, in arrays. A piece without any split point that is long is halved, the halves are
 encoded on their own, and the join is mended: the tokens around it are encoded again in a window that
 grows until its outer tokens agree with both sides. Adjacent tokens that arise together in one valid
 encoding are valid anywhere, so the mended sequence is the encoding of the whole.
@@ -19,21 +20,29 @@ import struct
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import fresh, parallelism, safe_unions
+from tapeloom.llm.phrases import Tokens, blocks
 
 C = F.col
 LEAF = 1 << 15  # code points of a leaf; longer documents are spread over tasks
 PIECE = 1 << 12  # symbols of an unsplit piece that one leaf holds
 RUN = 48  # symbols up to which a run is merged directly
-REMEMBERED = 200_000  # words and pieces that a worker remembers
+AT_ONCE = 1 << 16  # pieces merged together
+NONE = 1 << 60  # the rank of pairs that do not merge
+REMEMBERED = 32_000  # pieces in each of the two generations that a worker remembers
 WORD = re.compile(r"[^ \t\n\r\f\v]+")
+#: ASCII white space becomes blanks, all other bytes stay.
+BLANKS = np.arange(256, dtype=np.uint8)
+BLANKS[[9, 10, 11, 12, 13]] = 32
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -66,16 +75,23 @@ class Vocabulary:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {ids[a] << 20 | ids[b]: k for k, (a, b) in enumerate(pairs)}
         self.made = [ids[a + b] for a, b in pairs]
+        # The same as arrays: merges sorted by their pair, and symbols by byte.
+        order = np.argsort(keys := np.fromiter(self.ranks, np.int64, len(self.ranks)))
+        self.sorted_pairs, self.sorted_ranks = keys[order], np.fromiter(self.ranks.values(), np.int64, len(keys))[order]
+        self.made_ids = np.array(self.made, np.int64)
+        self.byte_ids = np.array(self.inner, np.int64)
+        self.last_ids = np.array([self.last[a] for a in self.inner], np.int64)
+        self.token_names = pa.array([self.names.get(i) for i in range(self.known)], pa.string())
         split = next(p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or "(?!)")
-        self.words: dict[str, tuple[bytes, int, str]] = {}
         self.runs: dict[bytes, tuple[int, ...]] = {}
+        self.runs_before: dict[bytes, tuple[int, ...]] = {}
         self.apart: dict[int, list[int]] = {}
 
     def merge(self, parts: list[int]) -> list[int]:
         """Apply merges by rank, leftmost first, until none fits."""
-        rank, none, made = self.ranks.get, 1 << 60, self.made
+        rank, none, made = self.ranks.get, NONE, self.made
         parts = list(parts)
         fits = [rank(a << 20 | b, none) for a, b in zip(parts, parts[1:])]
         fits.append(none)
@@ -89,6 +105,58 @@ class Vocabulary:
                 fits[at] = rank(new << 20 | parts[at + 1], none)
         return parts
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, ``NONE`` where they do not merge."""
+        pair = left << 20 | right
+        at = np.minimum(np.searchsorted(self.sorted_pairs, pair), len(self.sorted_pairs) - 1)
+        return np.where(self.sorted_pairs[at] == pair, self.sorted_ranks[at], NONE)
+
+    def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of many whole pieces at once: each round merges the best pair of every piece that has one."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        parts = self.byte_ids[data]
+        ends = np.cumsum(sizes) - 1
+        parts[ends] = self.last_ids[data[ends]]
+        done: list = [None] * len(pieces)
+        piece = np.arange(len(pieces))  # of each row still at work
+        fits = np.full(len(parts), NONE)
+        fits[:-1] = self.rank_of(parts[:-1], parts[1:])
+        fits[ends] = NONE  # the last part of a row has no right neighbour
+        while len(piece):
+            starts = np.cumsum(sizes) - sizes
+            best = np.minimum.reduceat(fits, starts)
+            over = best == NONE
+            if over.any():
+                for k in np.flatnonzero(over):
+                    done[piece[k]] = tuple(parts[starts[k] : starts[k] + sizes[k]].tolist())
+                stay = np.repeat(~over, sizes)
+                parts, fits = parts[stay], fits[stay]
+                piece, sizes, best = piece[~over], sizes[~over], best[~over]
+                if not len(piece):
+                    break
+                starts = np.cumsum(sizes) - sizes
+            # The leftmost of the best pairs of each row.
+            hits = np.flatnonzero(fits == np.repeat(best, sizes))
+            row = np.searchsorted(starts, hits, side="right") - 1
+            first = np.ones(len(hits), bool)
+            first[1:] = row[1:] != row[:-1]
+            at = hits[first]
+            parts[at] = self.made_ids[best]
+            last = at + 1 == starts + sizes - 1  # what is merged in was the row's last part
+            fits[at] = NONE
+            gone = np.zeros(len(parts), bool)
+            gone[at + 1] = True
+            at -= np.arange(len(at))  # one part before each is gone
+            parts, fits = parts[~gone], fits[~gone]
+            sizes = sizes - 1
+            starts = starts - np.arange(len(starts))
+            right = at[~last]
+            fits[right] = self.rank_of(parts[right], parts[right + 1])
+            left = at[at > starts] - 1
+            fits[left] = self.rank_of(parts[left], parts[left + 1])
+        return done
+
     def symbols_of(self, tokens: list[int]) -> list[int]:
         """The symbols that tokens are made of; the last one carries the word's end."""
         out: list[int] = []
@@ -136,19 +204,30 @@ class Vocabulary:
                 yield self.specials[m[0]]
                 at = m.end()
 
+    def learn(self, pieces: Iterable[bytes]) -> None:
+        """Remember the tokens of whole short pieces; the older generation goes when the newer is full."""
+        if len(self.runs) >= REMEMBERED:
+            self.runs_before, self.runs = self.runs, {}
+        new = []
+        for piece in pieces:
+            if piece not in self.runs:
+                got = self.runs_before.get(piece)
+                if got is None:
+                    new.append(piece)
+                else:
+                    self.runs[piece] = got
+        for k in range(0, len(new), AT_ONCE):
+            self.runs.update(zip(new[k : k + AT_ONCE], self.merge_all(new[k : k + AT_ONCE])))
+
     def run(self, piece: bytes, ends: bool = True) -> Sequence[int]:
         """Tokens of a piece, or of a part of one that goes on."""
         got = self.runs.get(piece) if ends else None
-        if got is None:
-            symbols = list(map(self.inner.__getitem__, piece))
-            if ends:
-                symbols[-1] = self.last[symbols[-1]]
-            got = self.tree(symbols)
-            if ends and len(piece) <= RUN:
-                if len(self.runs) >= REMEMBERED:
-                    self.runs.clear()
-                got = self.runs[piece] = tuple(got)  # which the garbage collector need not visit
-        return got
+        if got is not None:
+            return got
+        symbols = list(map(self.inner.__getitem__, piece))
+        if ends:
+            symbols[-1] = self.last[symbols[-1]]
+        return self.tree(symbols)
 
     def packed(self, tokens: list[int]) -> tuple[bytes, int, str]:
         """Ids as bytes, their number and the decoded text."""
@@ -159,39 +238,55 @@ class Vocabulary:
             ids.byteswap()
         return ids.tobytes(), len(ids), " ".join(map(self.names.__getitem__, tokens))
 
-    def tokens(self, word: str) -> list[int]:
-        known, out = self.runs.get, []
+    def cut(self, word: str) -> list[bytes | int]:
+        """The pieces of a word."""
         if word.isascii() and not self.special.search(word):
-            for piece in self.pattern.findall(word.lower()):
-                piece = piece.encode()
-                out += known(piece) or self.run(piece)
-            return out
-        for piece in self.pieces(word):
-            out += [piece] if isinstance(piece, int) else self.run(piece)
-        return out
-
-    def remembered(self, word: str) -> tuple[bytes, int, str]:
-        got = self.packed(self.tokens(word))
-        if len(word) <= 64:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = got
-        return got
-
-    def forget(self) -> None:
-        """Give the memory back at the end of a task; the worker may serve other work next."""
-        self.words.clear()
-        self.runs.clear()
-
-    def encode(self, text: str) -> tuple[bytes, int, str]:
-        known, new = self.words.get, self.remembered
-        parts = [known(w) or new(w) for w in WORD.findall(text)]
-        return b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts if p[2]])
+            return [p.encode() for p in self.pattern.findall(word.lower())]
+        return list(self.pieces(word))
+
+    def word_tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of distinct words, one after the other, and how many each has; unknown ones are left out."""
+        cuts = list(map(self.cut, words))
+        self.learn({p for cut in cuts for p in cut if not isinstance(p, int) and len(p) <= RUN})
+        run, flat, sizes = self.run, array("q"), []
+        for cut in cuts:
+            before = len(flat)
+            for piece in cut:
+                if isinstance(piece, int):
+                    flat.append(piece)
+                else:
+                    flat.extend(run(piece))
+            sizes.append(len(flat) - before)
+        found, count = np.frombuffer(flat, np.int64) if flat else np.zeros(0, np.int64), np.array(sizes, np.int64)
+        known = found < self.known
+        if not known.all():
+            before = np.append(0, np.cumsum(known))
+            ends = np.cumsum(count)
+            found, count = found[known], before[ends] - before[ends - count]
+        return found, count
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of texts, one after the other, and the place of each text's first one and of the end."""
+        split = Tokens(texts, BLANKS)
+        found, count = self.word_tokens(split.words.to_pylist())
+        first = np.cumsum(count) - count
+        size = count[split.ids]
+        flat = np.repeat(first[split.ids] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return found[flat], np.append(0, np.cumsum(size))[split.firsts]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[bytes, int, pa.Buffer]]:
+        """Ids as bytes, their number and the decoded text in UTF-8, of each text."""
+        tokens, firsts = self.texts(texts)
+        lists = pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), self.token_names.take(pa.array(tokens)))
+        decoded = pc.binary_join(lists, " ").cast(pa.binary())
+        ids = tokens.astype("<u4")
+        for a, b, text in zip(firsts, firsts[1:], decoded):
+            yield ids[a:b].tobytes(), int(b - a), text.as_buffer()
 
 
 def lowered(text: str) -> str:
-    """Lower case character by character, without regard to neighbours."""
-    return text.lower() if text.isascii() else "".join(map(str.lower, text))
+    """Lower case character by character, without regard to neighbours, which only sigma has."""
+    return text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))
 
 
 LOADED: dict[str, Vocabulary] = {}
@@ -204,21 +299,18 @@ def vocabulary(path: str) -> Vocabulary:
     return LOADED[path]
 
 
-def _digests(ids: bytes, decoded: str) -> tuple[str, str]:
-    return hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+def _digests(ids: bytes, decoded: bytes | pa.Buffer) -> tuple[str, str]:
+    return hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def _encoded(path: str, doc_type: pa.DataType):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids, n, decoded = v.encode(text.as_py() or "")
-                rows.append((n, *_digests(ids, decoded)))
+        for batch in blocks(batches, 1):
+            texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
+            rows = [(n, *_digests(ids, decoded)) for ids, n, decoded in v.encode(texts)]
             columns = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        v.forget()
 
     return encode
 
@@ -274,13 +366,14 @@ def _leaves(path: str):
 def _leaf_tokens(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in batches:
+        for batch in blocks(batches, 3):
+            whole = pc.if_else(batch.column(4), b"", batch.column(3)).cast(pa.string())
+            tokens, firsts = v.texts(whole)
             done = []
-            for text, part, goes_on in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
-                tokens = v.run(text, not goes_on) if part else [t for w in text.decode().split(" ") for t in v.tokens(w)]
-                done.append(struct.pack(f"<{len(tokens)}I", *tokens))
+            for k, (text, part, goes_on) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5)))):
+                own = np.array(v.run(text, not goes_on), np.int64) if part else tokens[firsts[k] : firsts[k + 1]]
+                done.append(own.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(done, pa.binary()), *batch.columns[4:]], batch.schema.names)
-        v.forget()
 
     return encode
 
@@ -301,7 +394,7 @@ def _joined(path: str):
                         pairs.append((v.join(left, right) if on else left + right, after))
                     parts = pairs + parts[len(pairs) * 2 :]
                 ids, n, decoded = v.packed(parts[0][0] if parts else [])
-                got = (n, *_digests(ids, decoded))
+                got = (n, *_digests(ids, decoded.encode()))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array([doc_id.as_py()], pa.int64()),

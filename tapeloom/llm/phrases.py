@@ -40,15 +40,18 @@ BYTES[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 255  # never a byte of UTF-8
 
 
 class Tokens:
-    """Words and breaks of some texts: ``ids`` (place in ``words``, or -1 for a break) and the first token of each text."""
+    """Words and breaks of some texts: ``ids`` (place in ``words``, or -1 for a break) and the first token of each text.
 
-    def __init__(self, texts: pa.Array, every_break: bool = False) -> None:
+    ``table`` gives each byte of UTF-8 as it is read: 32 parts words, 255 is a break.
+    """
+
+    def __init__(self, texts: pa.Array, table: np.ndarray = BYTES, every_break: bool = False) -> None:
         texts = texts.cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        data = BYTES[data]
+        data = table[data]
         breaks = data == 255
         inside = ~breaks & (data != 32)
         first = inside.copy()
