@@ -85,6 +85,12 @@ def stationary_paths(spark: SparkSession, series: DataFrame, iters: int, block:
     )
 
 
+def realised_drawdown(series: DataFrame) -> DataFrame:
+    """Deepest fall of one daily value series (dt, value) below its running maximum. One row."""
+    so_far = Window.orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)  # one row per calendar day
+    return series.select((C("value") / F.max("value").over(so_far) - 1).alias("fall")).agg(F.min("fall").alias("dd_realised"))
+
+
 def path_report(paths: DataFrame, ruin: float = 0.10) -> DataFrame:
     """Spread of drawdown and yearly growth over resampled paths, ruin share and hit shares."""
     p = paths.withColumn("cagr", F.pow("final", 1 / C("years")) - 1)

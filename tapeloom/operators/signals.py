@@ -387,13 +387,14 @@ def panel_momentum(bars: DataFrame, formation: int, skip: int) -> DataFrame:
     return moved.filter(C("momentum").isNotNull()).join(numbered, "pos").select("ticker", "dt", "momentum")
 
 
-def average_rank(rows: DataFrame, by: str, value: str, min_names: int = 100, buckets: int = 128) -> DataFrame:
+def average_rank(rows: DataFrame, by: str, value: str, min_names: int = 100, buckets: int = 128, salts: int = 16) -> DataFrame:
     """Percentile rank of ``value`` within ``by``: mean rank of ties over the non-null count.
 
     A date holds every ticker, so it may be far too large for one window. Equal values are
     counted first, dates are cut into value ranges of about equal size, and a rank is the
     count in the ranges below plus the count below inside the range. The cut points are fixed
-    by a checkpoint, since both steps must see the same ones.
+    by a checkpoint, since both steps must see the same ones; they are joined under ``salts`` copies of
+    each date, so that a date's values meet them in many tasks.
     """
     from tapeloom.session import settle
 
@@ -402,9 +403,11 @@ def average_rank(rows: DataFrame, by: str, value: str, min_names: int = 100, buc
     tied = known.groupBy(by, value).agg(F.count(F.lit(1)).alias("ties"))
     points = [k / buckets for k in range(1, buckets)]
     cuts = settle(tied.groupBy(by).agg(F.percentile_approx(value, points, 1000).alias("cuts")))
-    placed = tied.join(cuts, by).withColumn(
+    copies = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = tied.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
+    placed = salted.join(copies, [by, "salt"]).withColumn(
         "range", F.size(F.filter("cuts", lambda s: s < C(value)))
-    ).drop("cuts")
+    ).drop("cuts", "salt")
     sizes = placed.groupBy(by, "range").agg(F.sum("ties").alias("held"))
     below = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns(

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,6 +237,49 @@ def _cell_metrics(prefix: str) -> list[Column]:
     ]
 
 
+PARTS = ("train", "valid", "hold")
+
+
+def _pair_sums(features: list[str], slots: int) -> Callable:
+    """Sums of a task's rows for each part and each pair of slots of two features, or of one paired with itself.
+
+    Rows hold part, r and the slot of each feature, null for a missing value, which joins no cell.
+    """
+    pairs = [(a, b) for a in range(len(features)) for b in range(a, len(features))]
+    size = len(PARTS) * slots * slots
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(CELL_SUMS), len(pairs), size))
+        for batch in batches:
+            part = pc.fill_null(pc.index_in(batch.column(0), pa.array(PARTS)), -1).to_numpy(zero_copy_only=False)
+            r = np.nan_to_num(pc.fill_null(batch.column(1), 0.0).to_numpy(zero_copy_only=False))
+            slot = [pc.fill_null(c, -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[2:]]
+            gain, loss = np.maximum(r, 0.0), np.maximum(-r, 0.0)
+            weights = (None, (r > 0).astype(float), r, gain, loss, (r < 0).astype(float))
+            for k, (a, b) in enumerate(pairs):
+                inside = (part >= 0) & (slot[a] >= 0) & (slot[b] >= 0)
+                cell = ((part * slots + slot[a]) * slots + slot[b])[inside]
+                for out, w in zip(held, weights):
+                    out[k] += np.bincount(cell, None if w is None else w[inside], size)
+        pair, cell = np.nonzero(held[0])
+        one, two = np.array(pairs, np.int64)[pair].T
+        names = pa.array(features)
+        found = [held[k][pair, cell] for k in range(len(CELL_SUMS))]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(PARTS).take(pa.array(cell // (slots * slots))),
+                names.take(pa.array(one)),
+                pa.array((cell // slots % slots).astype(np.int32)),
+                names.take(pa.array(two)),
+                pa.array((cell % slots).astype(np.int32)),
+                *[pa.array(x if c in ("sum_r", "gain", "loss") else x.astype(np.int64)) for c, x in zip(CELL_SUMS, found)],
+            ],
+            ["part", "fa", "sa", "fb", "sb", *CELL_SUMS],
+        )
+
+    return add
+
+
 def condition_mining(
     rows: DataFrame,
     features: list[str],
@@ -243,8 +291,8 @@ def condition_mining(
     """Best single and paired threshold conditions on train rows, with their figures on the other parts.
 
     rows(part in train, valid, hold; r; features). Thresholds are train percentiles. A row is
-    reduced to the slot of each feature between the thresholds; rows are summed per pair of
-    slots first, so the conditions are worked out on a small table of slot sums.
+    reduced to the slot of each feature between the thresholds; every task sums its rows per pair of
+    slots and passes on those sums alone, so the conditions are worked out on a small table.
     """
     long = F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), C(f).cast("double").alias("value")) for f in features]))
     train = rows.filter(C("part") == "train").select(long)
@@ -254,29 +302,9 @@ def condition_mining(
     packed = table.agg(F.map_from_entries(F.collect_list(F.struct("feature", "cuts")))).scalar()
     r = C("r")
     slotted = rows.withColumn("cuts", packed).select("part", "r", *[_slot(f).alias(f) for f in features])
-    # Each row gives one cell per pair of features, and one per single feature (paired with itself).
-    cells = F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(a).alias("fa"), C(a).alias("sa"), F.lit(b).alias("fb"), C(b).alias("sb"))
-                for k, a in enumerate(features)
-                for b in features[k:]
-            ]
-        )
-    )
-    sums = (
-        slotted.select("part", "r", cells)
-        .filter(C("sa").isNotNull() & C("sb").isNotNull())
-        .groupBy("part", "fa", "sa", "fb", "sb")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(r > 0).alias("wins"),
-            F.sum(r).alias("sum_r"),
-            F.sum(F.when(r > 0, r).otherwise(0.0)).alias("gain"),
-            F.sum(F.when(r < 0, -r).otherwise(0.0)).alias("loss"),
-            F.count_if(r < 0).alias("losers"),
-        )
-    )
+    kinds = "part string, fa string, sa int, fb string, sb int, n bigint, wins bigint, sum_r double, gain double, loss double, losers bigint"
+    cells = slotted.select("part", r.cast("double"), *features).mapInArrow(_pair_sums(features, 2 * len(shares) + 1), kinds)
+    sums = cells.groupBy("part", "fa", "sa", "fb", "sb").agg(*[F.sum(c).alias(c) for c in CELL_SUMS])
 
     # Slot 2k is strictly between thresholds k-1 and k, slot 2k+1 is threshold k itself.
     def met(slot: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["windows", "screens", "stores", "health", "newsdesk", "intraday", "research", "validation", "settings", "streams"]
+MODULES = ["windows", "screens", "stores", "health", "newsdesk", "intraday", "research", "validation", "settings", "landing", "streams"]
 
 for _name in MODULES:
     importlib.import_module(f"tapeloom.plans.{_name}")

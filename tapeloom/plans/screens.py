@@ -334,10 +334,8 @@ def stage2_flag(spark, sf):
     return sc.stage2(daily(spark, sf)).select("ticker", "stage2")
 
 
-@query(
-    "stock_summary",
-    q.with_ctes(
-        q.BARS,
+SUMMARY = ",\n".join(
+    [
         STAGE2,
         q.ema("s2", "se", {"ema10": q.span("close", 10), "ema21": q.span("close", 21)}),
         f"""su0 AS (SELECT *, {q.full('AVG', 'close', 20)} AS sma20, {q.full('AVG', 'volume', 20)} AS vol20,
@@ -349,6 +347,15 @@ su2 AS (SELECT *, LEAST(GREATEST(low20, close - atr * 2), close - atr) AS stop,
 su3 AS (SELECT *, close - stop AS risk, (target - close) / (close - stop) AS rr,
   COALESCE(close > sma50 AND sma50 > sma200, FALSE) AS up, (close / h52 - 1) * 100 AS pfh,
   COALESCE(volume / NULLIF(vol20, 0), 0) AS vr FROM su2 WHERE close - stop > 0)""",
+    ]
+)
+
+
+@query(
+    "stock_summary",
+    q.with_ctes(
+        q.BARS,
+        SUMMARY,
         select="""SELECT ticker, close AS price, ROUND((close - before) / before * 100, 6) + 0 AS change_pct,
         ROUND(vr, 6) AS vol_ratio, ROUND(sma200, 7) AS sma200, ROUND(ema21, 4) AS ema21, ROUND(rsi, 4) + 0 AS rsi,
         ROUND(macd, 4) + 0 AS macd, ROUND(atr, 4) AS atr, h52 AS high_52w, l52 AS low_52w,

@@ -287,7 +287,7 @@ def plateau(spark, sf):
 
 
 _RANGE = "greatest(high - low, 1e-9)"
-#: Features of a labelled trade, as SQL over its signal bar. The index is the market ticker.
+#: Features of a labelled trade, as SQL over its signal bar. The two indexes are the market and a nation.
 MINED = {
     "rsi14": "rsi",
     "mom21": "ret21",
@@ -302,12 +302,14 @@ MINED = {
     "lower_wick": f"(least(open, close) - low) / {_RANGE}",
     "close_location": f"(close - low) / {_RANGE}",
     "index_strength": "index_strength",
+    "index_strength2": "index_strength2",
     "stop_pct": "risk_pct",
 }
 _MINED_ROWS = """rk AS (SELECT ticker, i, (RANK() OVER w + (COUNT(*) OVER (PARTITION BY dt, ret63 + 0.0) - 1) / 2.0::DOUBLE) / COUNT(*) OVER (PARTITION BY dt) AS rank63
   FROM feats WHERE ret63 IS NOT NULL WINDOW w AS (PARTITION BY dt ORDER BY ret63 + 0.0)),
 ix AS (SELECT dt, close / ema200 - 1 AS index_strength FROM feats WHERE ticker = 'MKT'),
-mined AS MATERIALIZED (SELECT lab.*, rank63, index_strength FROM lab LEFT JOIN rk USING (ticker, i) LEFT JOIN ix USING (dt))"""
+ix2 AS (SELECT dt, close / ema200 - 1 AS index_strength2 FROM feats WHERE ticker = 'NATION_1'),
+mined AS MATERIALIZED (SELECT lab.*, rank63, index_strength, index_strength2 FROM lab LEFT JOIN rk USING (ticker, i) LEFT JOIN ix USING (dt) LEFT JOIN ix2 USING (dt))"""
 _SUMS = "COUNT(*) AS n, COUNT(*) FILTER (r > 0) AS w, SUM(r) AS s, SUM(CASE WHEN r > 0 THEN r ELSE 0 END) AS g, SUM(CASE WHEN r < 0 THEN -r ELSE 0 END) AS l"
 
 
@@ -347,7 +349,10 @@ def cond_mining(spark, sf):
     part = F.when(d < "1999-01-01", "train").when(d < "2000-07-01", "valid").otherwise("hold")
     feats = re_.feature_rows(spark, sf)
     ranks = sg.average_rank(feats.select("ticker", "i", "dt", "ret63"), "dt", "ret63", min_names=1)
-    index = feats.filter(C("ticker") == "MKT").select("dt", (C("close") / C("ema200") - 1).alias("index_strength"))
+    strength = {t: F.max(F.when(C("ticker") == t, C("close") / C("ema200") - 1)) for t in ("MKT", "NATION_1")}
+    index = feats.filter(C("ticker").isin(*strength)).groupBy("dt").agg(
+        strength["MKT"].alias("index_strength"), strength["NATION_1"].alias("index_strength2")
+    )
     bar = feats.select("ticker", "i", "open", "high", "low", "close", "ret63", "dist_ema50")
     trades = labelled(spark, sf).join(bar, ["ticker", "i"]).join(ranks.select("ticker", "i", C("rank").alias("rank63")), ["ticker", "i"], "left")
     trades = trades.join(index, trades["signal_date"] == index["dt"], "left").drop(index["dt"])
@@ -399,8 +404,9 @@ def block_bootstrap(spark, sf):
         lv AS (SELECT it, pos, h.n, SUM(step) OVER (PARTITION BY it ORDER BY pos ROWS UNBOUNDED PRECEDING) AS level FROM held h JOIN d ON d.k = (d0 + pos - p0) % h.n),
         fl AS (SELECT *, level - MAX(level) OVER (PARTITION BY it ORDER BY pos ROWS UNBOUNDED PRECEDING) AS fall FROM lv),
         p AS (SELECT it, EXP(ARG_MAX(level, pos)) AS final, EXP(MIN(fall)) - 1 AS drawdown, EXP(MIN(level)) AS lowest, MAX(n) / 252.0::DOUBLE AS years FROM fl GROUP BY it),
-        pc AS (SELECT *, POW(final, 1 / years) - 1 AS cagr FROM p)""",
-        select="""SELECT COUNT(*) AS iters, ROUND(QUANTILE_CONT(drawdown, 0.5), 6) AS dd_p50, ROUND(QUANTILE_CONT(drawdown, 0.05), 6) AS dd_p95,
+        pc AS (SELECT *, POW(final, 1 / years) - 1 AS cagr FROM p),
+        real AS (SELECT MIN(close / m - 1) AS dd FROM (SELECT close, MAX(close) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) AS m FROM bars WHERE ticker = 'MKT'))""",
+        select="""SELECT COUNT(*) AS iters, ROUND((SELECT dd FROM real), 6) + 0 AS dd_realised, ROUND(QUANTILE_CONT(drawdown, 0.5), 6) AS dd_p50, ROUND(QUANTILE_CONT(drawdown, 0.05), 6) AS dd_p95,
         ROUND(QUANTILE_CONT(cagr, 0.05), 6) AS cagr_p05, ROUND(QUANTILE_CONT(cagr, 0.5), 6) AS cagr_p50, ROUND(QUANTILE_CONT(cagr, 0.95), 6) AS cagr_p95,
         ROUND(AVG(CASE WHEN lowest <= 0.1 THEN 1.0 ELSE 0 END), 6) AS p_ruin, ROUND(AVG(CASE WHEN drawdown > -0.3 THEN 1.0 ELSE 0 END), 6) AS p_within_30 FROM pc""",
     ),
@@ -408,7 +414,8 @@ def block_bootstrap(spark, sf):
 def stationary_bootstrap(spark, sf):
     series = daily(spark, sf).filter(C("ticker") == "MKT").select("dt", C("close").alias("value"))
     report = rs.path_report(rs.stationary_paths(spark, series, iters=2000))
-    cols = ("dd_p50", "dd_p95", "cagr_p05", "cagr_p50", "cagr_p95", "p_ruin", "p_within_30")
+    report = report.withColumn("dd_realised", rs.realised_drawdown(series).scalar())
+    cols = ("dd_realised", "dd_p50", "dd_p95", "cagr_p05", "cagr_p50", "cagr_p95", "p_ruin", "p_within_30")
     return report.select("iters", *[rnd(c).alias(c) for c in cols])
 
 

@@ -33,6 +33,19 @@ def read_grouped(spark: SparkSession, path: str, day: str) -> DataFrame:
     return raw.select(F.inline("results")).withColumn("dt", F.lit(day).cast("date"))
 
 
+def read_grouped_days(spark: SparkSession, path: str) -> DataFrame:
+    """Grouped-daily JSON of many days, one document a line with its ``dt``, as rows T, o, h, l, c, v, dt."""
+    raw = spark.read.schema(GROUPED_SCHEMA + ", dt date").json(path)
+    return raw.select(F.inline("results"), "dt")
+
+
+def write_grouped_days(rows: DataFrame, path: str) -> None:
+    """Land rows T, o, h, l, c, v, dt as such payloads, one document a day; a day holds each symbol once."""
+    payload = F.sort_array(F.collect_list(F.struct("T", "o", "h", "l", "c", "v"))).alias("results")
+    days = rows.groupBy("dt").agg(payload).select("dt", F.lit("OK").alias("status"), "results")
+    days.write.json(path)
+
+
 def ingest_grouped(rows: DataFrame, universe: DataFrame) -> DataFrame:
     """Feed rows -> bars of known tickers: symbol cleaned, no bar without close, missing volume is 0."""
     cleaned = rows.select(
@@ -79,10 +92,10 @@ def pending_days(latest: DataFrame, now_ny: dt.datetime) -> DataFrame:
     return latest.select("ticker", F.explode(days).alias("day")).filter(F.weekday("day") < 5)
 
 
-def weekday_lookback(spark: SparkSession, today: dt.date, n: int) -> DataFrame:
-    """The newest ``n`` weekdays up to today, newest first."""
-    start = today - dt.timedelta(days=2 * n + 7)
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(today))).alias("day"))
+def weekday_lookback(spark: SparkSession, today: dt.date | Column, n: int) -> DataFrame:
+    """The newest ``n`` weekdays up to today, a date or a scalar subquery, newest first."""
+    end = today if isinstance(today, Column) else F.lit(today)
+    days = spark.range(1).select(F.explode(F.sequence(F.date_sub(end, 2 * n + 7), end)).alias("day"))
     return days.filter(F.weekday("day") < 5).orderBy(F.desc("day")).limit(n)
 
 

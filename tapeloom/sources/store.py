@@ -160,7 +160,8 @@ def write_bars(bars: DataFrame, path: str, files: int | None = None) -> None:
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+    """Add the log rows of runs, named by their column ``run``; a run logged again replaces its own rows only."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def log_tail(log: DataFrame, n: int = 20) -> DataFrame:
@@ -178,6 +179,11 @@ def store_status(bars: DataFrame) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Result sink for summaries."""
+    """Result sink for summaries: JSON lines, or CSV with a header."""
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
+    reader = spark.read.schema(schema)
+    return reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)

@@ -10,6 +10,8 @@ from tools.check import TABLES, norm
 FOLDER = "/root/testdata/sf0.001"
 CHOSEN = "ema screen upsert_bars universe_symbols facet_counts sector_breadth news_table detect_all rule_signals xs_rank barrier_labels stream_bars cond_mining".split()
 CHOSEN += ["ema_gaps", "store_screen", "sort_picks", "barrier_rr_window", "replace_picks"]
+CHOSEN += "funnel_per_day candidates_per_day variant_settings momentum_settings rotation_settings permutation_null".split()
+CHOSEN += "grouped_payloads weekday_bars run_log reports_back summary_texts sentiment stream_corrections".split()
 
 
 @pytest.fixture(scope="module")
