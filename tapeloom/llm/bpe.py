@@ -113,6 +113,8 @@ class Vocabulary:
 
     def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """``merge`` of many whole pieces at once: each round merges the best pair of every piece that has one."""
+        if not pieces:
+            return []
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         data = np.frombuffer(b"".join(pieces), np.uint8)
         parts = self.byte_ids[data]

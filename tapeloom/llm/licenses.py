@@ -69,7 +69,7 @@ def _hashed(rows: DataFrame, bands: int) -> DataFrame:
 
 def template_bands(templates: DataFrame, bands: int = BANDS) -> DataFrame:
     """license, n (number of its distinct shingles), band, value. Templates under five words have no row."""
-    found = _hashed(templates.select("license", "text"), bands)
+    found = _hashed(inner(templates).select("license", "text"), bands)
     place = found.select("license", "shingles", F.posexplode_outer("signatures").alias("pos", "value")).filter(C("value").isNotNull())
     n = F.size(F.array_distinct("shingles"))
     found = place.select("license", n.alias("n"), F.expr("pos div size(shingles)").alias("band"), "value").distinct()
@@ -78,7 +78,7 @@ def template_bands(templates: DataFrame, bands: int = BANDS) -> DataFrame:
 
 def template_parts(templates: DataFrame) -> DataFrame:
     """license, parts: the distinct shingles of each template."""
-    words = templates.select("license", _words(C("text")).alias("words"))
+    words = inner(templates).select("license", _words(C("text")).alias("words"))
     return words.select("license", F.array_distinct(_shingles("words")).alias("parts"))
 
 
@@ -103,9 +103,8 @@ def scanned(docs: DataFrame, templates: DataFrame, bands: int = BANDS, least: fl
 
     Containment is the largest share of a template's distinct five-word shingles found in a stretch of twice
     its length around a retrieved window. Words are runs of ASCII letters and digits and of
-    non-ASCII characters, in lower case. A template's closing full stop counts as a word, as at the end of a
-    text; ``inner`` removes it. Whole texts are scanned; null, empty and very short texts
-    hold no license. Rows that repeat a doc_id are taken together, rows without id likewise. Other
+    non-ASCII characters, in lower case; templates count from their first word to their last. Whole texts
+    are scanned; null, empty and very short texts hold no license. Rows that repeat a doc_id are taken together, rows without id likewise. Other
     columns are ignored; empty tables give an empty result.
     """
     safe_unions(docs.sparkSession)
@@ -130,7 +129,7 @@ _VALUES = ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)
 _JOINED = " || ' ' || ".join(f"w[i + {k}]" for k in range(SHINGLE))
 LICENSE_SQL = f"""
 WITH t(license, text) AS (VALUES {_VALUES}),
-tw AS (SELECT license, string_split_regex(lower(text), '{NOT_WORD}') AS w FROM t),
+tw AS (SELECT license, string_split_regex(regexp_replace(lower(text), '^{NOT_WORD}|{NOT_WORD}$', '', 'g'), '{NOT_WORD}') AS w FROM t),
 ts AS (SELECT DISTINCT license, {_JOINED} AS s FROM (SELECT license, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS i FROM tw)),
 tn AS (SELECT license, count(*) AS n FROM ts GROUP BY 1),
 dw AS (SELECT doc_id, row_number() OVER () AS r, string_split_regex(lower(coalesce(text, '')), '{NOT_WORD}') AS w FROM documents),

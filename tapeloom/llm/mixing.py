@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -103,7 +104,8 @@ def raked_below(cells: DataFrame, targets: dict[str, DataFrame], share: float =
 
     Full cells count with their tokens and the rest is raked to what is left of each target; a full cell's
     own weight moves along, so that it opens again where that is too much. Rounds end when no target was
-    missed by more than ``close`` of the budget; one row a round reaches the driver.
+    missed by more than ``close`` of the budget; one row a round reaches the driver. Targets that are not met
+    after ``most`` rounds are told in a warning, with the part of the budget missed.
     """
     cells = cells.withColumn("weight", C("tokens") * F.lit(float(share)))
     for _ in range(most):
@@ -121,6 +123,8 @@ def raked_below(cells: DataFrame, targets: dict[str, DataFrame], share: float =
         row = cells.agg(F.max("missed").alias("missed"), F.sum("tokens").alias("tokens")).first()
         if (row["missed"] or 0) <= close * share * (row["tokens"] or 0):
             break
+    else:
+        warnings.warn(f"raking ended after {most} rounds; a target is missed by {row['missed'] / (share * row['tokens']):.6f} of the budget", stacklevel=2)
     return cells.withColumn("weight", F.least("weight", C("tokens").cast("double"))).drop("missed")
 
 
@@ -152,7 +156,7 @@ def mixed(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS, bounded:
     cell without any token is not sampled. An empty table gives an empty result.
 
     ``bounded`` rakes below probability 1, so that the sample has the target shares as far as the tokens
-    reach; without it ``rounds`` of free raking are cut at 1 afterwards, as in ``mixing_sql``.
+    reach; without it ``rounds`` of free raking are cut at 1 afterwards, which misses them.
     """
     safe_unions(docs.sparkSession)
     described = kept(docs.select("doc_id", *_described(docs)), "described")
@@ -174,8 +178,20 @@ def sampled(docs: DataFrame, share: float = SHARE, rounds: int = ROUNDS, bounded
     return rows.filter(drawn(C("doc_id")) < C(chance)).select(*docs.columns)
 
 
-def mixing_sql(share: float = SHARE, rounds: int = ROUNDS, table: str = "documents") -> str:
-    """The same in DuckDB's SQL, rounds unrolled."""
+def _scale_sql(rows: str, name: str, share: float, rounds: int = 12) -> list[str]:
+    """Scales of ``calibrated`` for the table ``rows`` (tokens, weight, rate), step by step; the last is ``{name}{rounds}``."""
+    parts = [f"{name}0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS scale)"]
+    for k in range(rounds):
+        parts.append(
+            f"{name}{k + 1} AS MATERIALIZED (SELECT CASE WHEN coalesce(sum(CASE WHEN rate * scale < 1 THEN weight END), 0) > 0 THEN "
+            f"({share} * sum(tokens) - coalesce(sum(CASE WHEN rate * scale >= 1 THEN tokens END), 0)) / sum(CASE WHEN rate * scale < 1 THEN weight END) "
+            f"ELSE max(scale) END AS scale FROM {rows}, {name}{k})"
+        )
+    return parts
+
+
+def mixing_sql(share: float = SHARE, most: int = MOST, close: float = CLOSE, table: str = "documents") -> str:
+    """``mixed`` in DuckDB's SQL: the rounds are unrolled, and those after the last that is needed change nothing."""
     axes = ", ".join(AXES)
     parts = [
         f"""described AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
@@ -183,31 +199,32 @@ def mixing_sql(share: float = SHARE, rounds: int = ROUNDS, table: str = "documen
              WHEN contains(lower(text), 'licen') OR contains(lower(text), 'copyright') THEN 'notice'
              WHEN length(text) >= {LONG} THEN 'long' ELSE 'prose' END AS topic,
         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM {table})""",
-        f"c0 AS MATERIALIZED (SELECT {axes}, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE AS weight FROM described GROUP BY {axes})",
+        f"c0 AS MATERIALIZED (SELECT {axes}, sum(tokens)::BIGINT AS tokens, {share} * sum(tokens)::DOUBLE AS weight, 0.0::DOUBLE AS missed FROM described GROUP BY {axes})",
     ]
     for axis, power in DAMPING.items():
         parts.append(
-            f"t_{axis} AS MATERIALIZED (SELECT {axis}, r / sum(r) OVER () AS share FROM (SELECT {axis}, pow(sum(tokens)::DOUBLE, {power}) AS r "
-            f"FROM c0 GROUP BY {axis} HAVING sum(tokens) > 0))"
+            f"o_{axis} AS MATERIALIZED (SELECT {axis}, tokens, r / sum(r) OVER () AS weight, r / sum(r) OVER () / tokens AS rate FROM "
+            f"(SELECT {axis}, sum(tokens)::BIGINT AS tokens, pow(sum(tokens)::DOUBLE, {power}) AS r FROM c0 GROUP BY {axis} HAVING sum(tokens) > 0))"
         )
+        parts += _scale_sql(f"o_{axis}", f"s_{axis}", share)
+        parts.append(f"t_{axis} AS MATERIALIZED (SELECT {axis}, least(1.0, rate * scale) * tokens AS target FROM o_{axis}, s_{axis}12)")
+    parts.append("d0 AS MATERIALIZED (SELECT FALSE AS done)")
     step = 0
-    for _ in range(rounds):
-        for axis in DAMPING:
-            now = f"(sum(c.weight) OVER (PARTITION BY c.{axis}))"
+    for k in range(most):
+        for n, axis in enumerate(DAMPING):
+            own = f"(PARTITION BY {axis})"
+            sums = f"SELECT *, sum(CASE WHEN weight >= tokens THEN tokens ELSE 0 END) OVER {own}::DOUBLE AS held, sum(CASE WHEN weight >= tokens THEN 0.0 ELSE weight END) OVER {own} AS rest FROM c{step}"
+            factor = "CASE WHEN target >= held + rest AND rest > 0 THEN (target - held) / rest WHEN target IS NOT NULL AND held + rest > 0 THEN target / (held + rest) END"
+            missed = "missed" if n else "0.0::DOUBLE"
             parts.append(
-                f"c{step + 1} AS MATERIALIZED (SELECT {', '.join('c.' + a for a in AXES)}, c.tokens, "
-                f"c.weight * CASE WHEN {now} > 0 THEN coalesce(t.share, 0.0) / {now} ELSE 0.0 END AS weight "
-                f"FROM c{step} c LEFT JOIN t_{axis} t ON c.{axis} = t.{axis})"
+                f"c{step + 1} AS MATERIALIZED (SELECT {', '.join('c.' + a for a in AXES)}, c.tokens, CASE WHEN done THEN c.weight ELSE c.weight * coalesce({factor}, 0.0) END AS weight, "
+                f"greatest({missed}, abs(target - (held + rest))) AS missed FROM ({sums}) c LEFT JOIN t_{axis} t ON c.{axis} = t.{axis}, d{k})"
             )
             step += 1
-    parts.append(f"r AS MATERIALIZED (SELECT {axes}, tokens, weight, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0.0 END AS rate FROM c{step})")
-    parts.append("s0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS scale)")
-    for k in range(12):
-        parts.append(
-            f"s{k + 1} AS MATERIALIZED (SELECT CASE WHEN coalesce(sum(CASE WHEN rate * scale < 1 THEN weight END), 0) > 0 THEN "
-            f"({share} * sum(tokens) - coalesce(sum(CASE WHEN rate * scale >= 1 THEN tokens END), 0)) / sum(CASE WHEN rate * scale < 1 THEN weight END) "
-            f"ELSE max(scale) END AS scale FROM r, s{k})"
-        )
+        parts.append(f"d{k + 1} AS MATERIALIZED (SELECT bool_or(done) OR coalesce(max(missed), 0) <= {close} * {share} * sum(tokens) AS done FROM c{step}, d{k})")
+    weight = "least(weight, tokens::DOUBLE)"
+    parts.append(f"r AS MATERIALIZED (SELECT {axes}, tokens, {weight} AS weight, CASE WHEN tokens > 0 THEN {weight} / tokens ELSE 0.0 END AS rate FROM c{step})")
+    parts += _scale_sql("r", "s", share)
     draw = "('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0"
     return (
         "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, {', '.join('d.' + a for a in AXES)}, d.tokens, "

@@ -3,26 +3,28 @@
 Vectors belong to the cell of their nearest pivot. A cell's summary holds its radius, its largest norm and a
 few of its own vectors. The summaries' vectors give each query a score that its k-th best reaches at
 least; a query is sent only to the cells whose bound (pivot score plus norm times radius) reaches that
-score. Cells are solved locally, in pieces of bounded size, and each query's pieces are merged.
+score. Queries form groups of their own cell, and a piece of a cell is copied only to the groups that
+ask for it. Pieces and groups are of bounded size and solved locally; each query's pieces are merged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import kept, safe_unions
 
 C = F.col
-PIVOTS = 64  # a bounded sample of the vectors, whatever their number
-SHOWN = 16  # vectors of a cell that its summary holds
+PIVOTS = 2048  # at most; else the square root of the number of vectors, a sample of them
+SHOWN = 8  # vectors of a cell that its summary holds
 PIECE = 1024  # vectors of a cell that are solved together
-ASKING = 4096  # queries that are solved together
+ASKING = 4096  # queries of a group
 
 
 def integers(rows: DataFrame, scale: int = 256) -> DataFrame:
@@ -102,7 +104,7 @@ def _sent(summary: Summary, k: int):
                 part = slice(a, a + 20_000)
                 taken = batch.take(pa.array(rows[part]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells[part]), pa.array(piece[part]), taken.column(0), taken.column(1)], ["cell", "piece", "vec_id", "vec"]
+                    [pa.array(cells[part]), pa.array(piece[part]), *taken.columns], ["cell", "piece", "vec_id", "vec", "turn"]
                 )
 
     return send
@@ -134,6 +136,26 @@ def _solved(k: int):
     return solve
 
 
+def dealt(counts: dict[int, int], pivots: np.ndarray) -> tuple[dict[int, int], dict[int, int]]:
+    """Per cell its first group and in how many its queries are cut: neighbours along the pivots' main direction share one."""
+    away = pivots.astype(float) - pivots.mean(axis=0)
+    along = away @ np.linalg.svd(away, full_matrices=False)[2][0]
+    first, parts, group, held = {}, {}, 0, 0
+    for cell in sorted(counts, key=lambda c: (along[c], c)):
+        if held and held + counts[cell] > ASKING:
+            group, held = group + 1, 0
+        first[cell], parts[cell] = group, -(-counts[cell] // ASKING)
+        held += counts[cell]
+        if parts[cell] > 1:
+            group, held = group + parts[cell], 0
+    return first, parts
+
+
+def _numbers(found: dict[int, int]) -> Column:
+    """A map of cells to whole numbers, as a literal; cells are as many as pivots at most."""
+    return F.map_from_arrays(F.lit([int(c) for c in found]), F.lit([int(n) for n in found.values()])) if found else F.lit(None).cast("map<int,int>")
+
+
 def nearest(rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose vec_id is divisible by ``every`` its ``k`` highest scores among all others.
 
@@ -145,7 +167,8 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     spark = rows.sparkSession
     safe_unions(spark)
     vectors = kept(integers(rows), "vectors")
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
+    count = max(1, min(PIVOTS, math.isqrt(vectors.count())))
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).collect()
     pivots = np.unique(matrix([r["vec"] for r in sample]), axis=0) if sample else np.zeros((1, 1), np.int64)
     placed = "vec_id bigint, vec array<bigint>, cell int, distance double, norm double"
     cells = kept(vectors.mapInArrow(_cells(pivots), placed), "cells")
@@ -159,16 +182,18 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     shown = data.withColumn("nth", F.row_number().over(inner)).filter(C("nth") <= SHOWN)
     # At most PIVOTS cells and PIVOTS * SHOWN vectors reach the driver.
     summary = Summary(sizes.collect(), pivots, shown.select("vec_id", "vec").collect())
-    queries = vectors.filter(C("vec_id") % every == 0)
-    wanted = "cell int, piece int, vec_id bigint, vec array<bigint>"
-    asked = queries.mapInArrow(_sent(summary, k), wanted)
-    turns = F.ceil(F.lit(max(1, queries.count())) / ASKING).cast("int")
-    asked = asked.withColumn("turn", F.pmod(F.xxhash64("vec_id"), turns).cast("int"))
-    pieces = F.create_map(*[F.lit(int(x)) for c, n in zip(summary.cell, summary.pieces) for x in (c, n)]) if len(summary.cell) else F.create_map().cast("map<int,int>")
-    held = data.select(
-        "cell", F.pmod(F.xxhash64("vec_id", F.lit("piece")), pieces[C("cell")]).cast("int").alias("piece"), "vec_id", "vec",
-        F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"),
-    )
+    queries = cells.filter(C("vec_id") % every == 0)
+    # One count a cell reaches the driver, which deals cells to groups of queries.
+    first, parts = dealt({r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}, pivots)
+    own = F.pmod(F.xxhash64("vec_id"), _numbers(parts)[C("cell")]).cast("int")
+    wanted = "cell int, piece int, vec_id bigint, vec array<bigint>, turn int"
+    asking = queries.select("vec_id", "vec", (_numbers(first)[C("cell")] + own).cast("int").alias("turn"))
+    asked = kept(asking.mapInArrow(_sent(summary, k), wanted), "asked")
+    pieces = _numbers(dict(zip(summary.cell.tolist(), summary.pieces.tolist())))
+    placed = data.select("cell", F.pmod(F.xxhash64("vec_id", F.lit("piece")), pieces[C("cell")]).cast("int").alias("piece"), "vec_id", "vec")
+    # A turn of its own, so that the two sides below share no column.
+    needed = asked.select("cell", "piece", (C("turn") + 0).alias("turn")).distinct()
+    held = placed.join(needed, ["cell", "piece"])
     keys = ["cell", "piece", "turn"]
     hits = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_solved(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(C("score").desc(), "vec_id")
