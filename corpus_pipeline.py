@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes each
 stage's rows as Parquet into the shared folder and reads them back as the next one's input.
+
+In every stage null texts count as empty ones, rows that repeat an id are rows of their own, other columns
+pass through (the last stage drops them) whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -17,19 +20,19 @@ from tapeloom.llm.simhash import one_of_each
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; without labels it rejects none."""
     find_package(spark)
     return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
+    """Of each group of near-duplicates the document with the smallest doc_id; empty texts are one group, and of a group without any id one row stays."""
     find_package(spark)
     return one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics approach their target shares."""
+    """Documents drawn so that sources, languages and topics approach their target shares; null values form one of their own."""
     find_package(spark)
     return sampled(docs)
 
