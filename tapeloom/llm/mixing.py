@@ -20,6 +20,8 @@ ROUNDS = 8
 MOST = 32
 CLOSE = 1e-4
 SHARE = 0.6
+#: Tables of cells up to this many rows are read as one partition, so that the rounds need no shuffle.
+FEW = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 LONG = 8000
 
@@ -53,6 +55,11 @@ def damped(cells: DataFrame, axis: str, power: float) -> DataFrame:
     return raised.select(axis, (C("raised") / total.scalar()).alias("share"))
 
 
+def gathered(cells: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table of cells, in one partition if its size allows."""
+    return cells.coalesce(1) if (cells.count() if rows is None else rows) <= FEW else cells
+
+
 def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` with ``weight``: tokens scaled, axis by axis and round by round, to each axis' target shares.
 
@@ -107,6 +114,7 @@ def raked_below(cells: DataFrame, targets: dict[str, DataFrame], share: float =
     missed by more than ``close`` of the budget; one row a round reaches the driver. Targets that are not met
     after ``most`` rounds are told in a warning, with the part of the budget missed.
     """
+    rows = cells.count()
     cells = cells.withColumn("weight", C("tokens") * F.lit(float(share)))
     for _ in range(most):
         cells = cells.withColumn("missed", F.lit(0.0))
@@ -119,7 +127,7 @@ def raked_below(cells: DataFrame, targets: dict[str, DataFrame], share: float =
             now = now.select(axis, F.coalesce(factor, F.lit(0.0)).alias("factor"), F.abs(C("target") - got).alias("off"))
             cells = cells.join(now, axis, "left").withColumn("weight", C("weight") * F.coalesce("factor", F.lit(0.0)))
             cells = cells.withColumn("missed", F.greatest("missed", "off")).drop("factor", "off")
-        cells = kept(cells, "cells")
+        cells = gathered(kept(cells, "cells"), rows)
         row = cells.agg(F.max("missed").alias("missed"), F.sum("tokens").alias("tokens")).first()
         if (row["missed"] or 0) <= close * share * (row["tokens"] or 0):
             break
@@ -139,9 +147,9 @@ def cell_table(described: DataFrame) -> DataFrame:
 
 
 def _mix(described: DataFrame, share: float, rounds: int, bounded: bool) -> DataFrame:
-    cells = kept(cell_table(described), "cells")
+    cells = gathered(kept(cell_table(described), "cells"))
     if bounded:
-        reach = {axis: kept(attainable(cells, axis, power, share), "targets") for axis, power in DAMPING.items()}
+        reach = {axis: gathered(kept(attainable(cells, axis, power, share), "targets")) for axis, power in DAMPING.items()}
         return kept(calibrated(raked_below(cells, reach, share), share), "mix").select(*AXES, "probability")
     targets = {axis: kept(damped(cells, axis, power), "targets") for axis, power in DAMPING.items()}
     return kept(calibrated(raked(cells, targets, rounds), share), "mix").select(*AXES, "probability")
