@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import fresh, kept, safe_unions
@@ -19,6 +19,8 @@ ROUNDS = 8
 #: Rounds of raking below the bound, at most, and the part of the budget by which a share may miss its target.
 MOST = 32
 CLOSE = 1e-4
+#: Rounds between two looks at what is missed; ``MOST`` is a multiple of it.
+EACH = 4
 SHARE = 0.6
 #: Tables of cells up to this many rows are read as one partition, so that the rounds need no shuffle.
 FEW = 1 << 16
@@ -55,9 +57,9 @@ def damped(cells: DataFrame, axis: str, power: float) -> DataFrame:
     return raised.select(axis, (C("raised") / total.scalar()).alias("share"))
 
 
-def gathered(cells: DataFrame, rows: int | None = None) -> DataFrame:
+def gathered(cells: DataFrame) -> DataFrame:
     """A written table of cells, in one partition if its size allows."""
-    return cells.coalesce(1) if (cells.count() if rows is None else rows) <= FEW else cells
+    return cells.coalesce(1) if cells.count() <= FEW else cells
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -102,38 +104,54 @@ def calibrated(cells: DataFrame, share: float = SHARE) -> DataFrame:
 def attainable(cells: DataFrame, axis: str, power: float, share: float = SHARE) -> DataFrame:
     """axis value, target: tokens of the sample by ``damped`` shares; what a value has too little for is asked of the others alike."""
     own = cells.groupBy(axis).agg(F.sum("tokens").alias("tokens")).filter(C("tokens") > 0)
-    asked = own.join(damped(cells, axis, power).withColumnRenamed("share", "weight"), axis)
+    asked = gathered(kept(own.join(damped(cells, axis, power).withColumnRenamed("share", "weight"), axis), "asked"))
     return calibrated(asked, share).select(axis, (C("probability") * C("tokens")).alias("target"))
 
 
+def _filled(cells: DataFrame, axis: str, few: bool) -> DataFrame:
+    """Adds what the full cells of each value of an axis hold, and what its other cells weigh."""
+    full = C("weight") >= C("tokens")
+    held = F.sum(F.when(full, C("tokens")).otherwise(0)).cast("double")
+    rest = F.sum(F.when(full, 0.0).otherwise(C("weight")))
+    if few:  # in one partition the windows need no shuffle, and the plan does not branch
+        each = Window.partitionBy(axis)
+        held = F.sum(F.when(full, C("tokens")).otherwise(0)).over(each).cast("double")
+        return cells.withColumns({"held": held, "rest": F.sum(F.when(full, 0.0).otherwise(C("weight"))).over(each)})
+    return cells.join(cells.groupBy(axis).agg(held.alias("held"), rest.alias("rest")), axis)
+
+
 def raked_below(cells: DataFrame, targets: dict[str, DataFrame], share: float = SHARE, most: int = MOST, close: float = CLOSE) -> DataFrame:
     """``cells`` with ``weight``: tokens expected in the sample, raked to each axis' ``target`` and nowhere above the cell's tokens.
 
     Full cells count with their tokens and the rest is raked to what is left of each target; a full cell's
-    own weight moves along, so that it opens again where that is too much. Rounds end when no target was
-    missed by more than ``close`` of the budget; one row a round reaches the driver. Targets that are not met
-    after ``most`` rounds are told in a warning, with the part of the budget missed.
+    own weight moves along, so that it opens again where that is too much. After every ``EACH`` rounds one row
+    tells the driver by how much the last of them missed a target; that ends them when it is no more than ``close`` of
+    the budget. Targets that are not met after ``most`` rounds are told in a warning, with the part of the budget missed.
     """
-    rows = cells.count()
+    few = cells.count() <= FEW
     cells = cells.withColumn("weight", C("tokens") * F.lit(float(share)))
-    for _ in range(most):
-        cells = cells.withColumn("missed", F.lit(0.0))
-        for axis, target in targets.items():
-            full = C("weight") >= C("tokens")
-            held, rest = F.sum(F.when(full, C("tokens")).otherwise(0)).cast("double"), F.sum(F.when(full, 0.0).otherwise(C("weight")))
-            now = cells.groupBy(axis).agg(held.alias("held"), rest.alias("rest")).join(target, axis)
-            got = C("held") + C("rest")
-            factor = F.when((C("target") >= got) & (C("rest") > 0), (C("target") - C("held")) / C("rest")).when(got > 0, C("target") / got)
-            now = now.select(axis, F.coalesce(factor, F.lit(0.0)).alias("factor"), F.abs(C("target") - got).alias("off"))
-            cells = cells.join(now, axis, "left").withColumn("weight", C("weight") * F.coalesce("factor", F.lit(0.0)))
-            cells = cells.withColumn("missed", F.greatest("missed", "off")).drop("factor", "off")
-        cells = gathered(kept(cells, "cells"), rows)
-        row = cells.agg(F.max("missed").alias("missed"), F.sum("tokens").alias("tokens")).first()
-        if (row["missed"] or 0) <= close * share * (row["tokens"] or 0):
-            break
+    for axis, target in targets.items():
+        cells = cells.join(target.withColumnRenamed("target", f"target_{axis}"), axis, "left")
+    cells = kept(cells, "cells")
+    for k in range(most):
+        cells = (cells.coalesce(1) if few and k % EACH == 0 else cells).withColumn("missed", F.lit(0.0))
+        for axis in targets:
+            target, got = C(f"target_{axis}"), C("held") + C("rest")
+            cells = _filled(cells, axis, few)
+            factor = F.when((target >= got) & (C("rest") > 0), (target - C("held")) / C("rest")).when(target.isNotNull() & (got > 0), target / got)
+            new = C("weight") * F.coalesce(factor, F.lit(0.0))
+            cells = cells.withColumns({"weight": new, "missed": F.greatest("missed", F.abs(target - got))}).drop("held", "rest")
+        ends = (k + 1) % EACH == 0 or k + 1 == most
+        if not few or ends:
+            cells = kept(cells, "cells")
+        if ends:
+            row = cells.agg(F.max("missed").alias("missed"), F.sum("tokens").alias("tokens")).first()
+            if (row["missed"] or 0) <= close * share * (row["tokens"] or 0):
+                break
     else:
         warnings.warn(f"raking ended after {most} rounds; a target is missed by {row['missed'] / (share * row['tokens']):.6f} of the budget", stacklevel=2)
-    return cells.withColumn("weight", F.least("weight", C("tokens").cast("double"))).drop("missed")
+    cells = cells.withColumn("weight", F.least("weight", C("tokens").cast("double")))
+    return gathered(kept(cells.drop("missed", *[f"target_{axis}" for axis in targets]), "cells"))
 
 
 def drawn(key: Column) -> Column:
@@ -229,7 +247,8 @@ def mixing_sql(share: float = SHARE, most: int = MOST, close: float = CLOSE, tab
                 f"greatest({missed}, abs(target - (held + rest))) AS missed FROM ({sums}) c LEFT JOIN t_{axis} t ON c.{axis} = t.{axis}, d{k})"
             )
             step += 1
-        parts.append(f"d{k + 1} AS MATERIALIZED (SELECT bool_or(done) OR coalesce(max(missed), 0) <= {close} * {share} * sum(tokens) AS done FROM c{step}, d{k})")
+        met = f"bool_or(done) OR coalesce(max(missed), 0) <= {close} * {share} * sum(tokens)" if (k + 1) % EACH == 0 else "bool_or(done)"
+        parts.append(f"d{k + 1} AS MATERIALIZED (SELECT {met} AS done FROM c{step}, d{k})")
     weight = "least(weight, tokens::DOUBLE)"
     parts.append(f"r AS MATERIALIZED (SELECT {axes}, tokens, {weight} AS weight, CASE WHEN tokens > 0 THEN {weight} / tokens ELSE 0.0 END AS rate FROM c{step})")
     parts += _scale_sql("r", "s", share)
