@@ -43,6 +43,11 @@ def latest_session(instant: Column, zone: str = "America/New_York") -> Column:
     return F.when(open_today, day).otherwise(before)
 
 
+def float_div(a: Column, b: Column) -> Column:
+    """``a / b`` as floating point has it: over zero an infinity, or NaN of zero, where ``/`` is an error."""
+    return F.when(b == 0, F.signum(a.cast("double")) * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
+
 def number(x: Column) -> Column:
     """Null-safe number from text."""
     return x.try_cast("double")

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.scalar import float_div
 from tapeloom.operators.scale import deepest_fall, exact_median, exact_percentiles
 
 C = F.col
@@ -137,10 +138,11 @@ def plateau(cells: DataFrame, metrics: tuple[str, str], stops: tuple[float, ...]
     ).drop("si", "ri")
 
 
-def cluster_tstat(trades: DataFrame, keys: list[str]) -> DataFrame:
+def cluster_tstat(trades: DataFrame, keys: list[str], min_months: int = 3) -> DataFrame:
     """Mean R with a standard error that treats the trades of one entry month as one cluster.
 
-    With under three months only the mean and counts are given.
+    With under ``min_months`` months only the mean and counts are given. What is over an error of
+    zero is infinite or NaN, and so is the error of a single month.
     """
     months = trades.groupBy(*keys, F.trunc("entry_date", "month").alias("m")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"), (F.var_pop("r") * F.count("r")).alias("inside")
@@ -148,7 +150,7 @@ def cluster_tstat(trades: DataFrame, keys: list[str]) -> DataFrame:
     whole = Window.partitionBy(*keys)
     mean = F.sum("s").over(whole) / F.sum("n").over(whole)
     months = months.withColumn("mean", mean)
-    off = C("s") - C("n") * C("mean")
+    off = C("n") * (C("s") / C("n") - C("mean"))  # exactly zero of a single month
     g = months.groupBy(*keys).agg(
         F.first("mean").alias("avg_r"),
         F.sum("n").alias("n"),
@@ -158,13 +160,13 @@ def cluster_tstat(trades: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(C("inside") + off * off / C("n")).alias("ss"),
     )
     n, k = C("n"), C("clusters")
-    enough = k >= 3
-    se = F.when(enough, F.sqrt(C("q") / (n * n) * k / (k - 1)))
-    naive = F.when(enough, F.sqrt(C("ss") / (n - 1) / n))
+    enough = k >= min_months
+    se = F.when(enough, F.sqrt(float_div(C("q") / (n * n) * k, k - 1)))
+    naive = F.when(enough, F.sqrt(F.try_divide(C("ss"), n - 1) / n))
     g = g.withColumns({"se_cluster": se, "se_naive": naive})
-    effect = F.pow(F.try_divide("se_cluster", "se_naive"), F.lit(2))
+    effect = F.pow(float_div(C("se_cluster"), C("se_naive")), F.lit(2))
     return g.withColumns(
-        {"design_effect": effect, "eff_n": F.try_divide(n, effect), "t_cluster": F.try_divide("avg_r", "se_cluster")}
+        {"design_effect": effect, "eff_n": float_div(n, effect), "t_cluster": float_div(C("avg_r"), C("se_cluster"))}
     ).drop("q", "ss")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from tapeloom.functions.scalar import float_div
 from tapeloom.operators import resample as rs
 from tapeloom.plans import validation
 from tools.check import norm
@@ -25,15 +26,19 @@ def folder_of(tmp_path, lines: str) -> tuple[str, duckdb.DuckDBPyConnection]:
     return str(tmp_path), con
 
 
+def shown(v) -> str:
+    return "NaN" if v != v else str(norm(v))
+
+
 def both(df, cur):
     cols = sorted(df.columns)
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
-    mine = sorted(tuple(str(norm(r[c])) for c in cols) for r in df.collect())
-    return mine, sorted(tuple(str(norm(r[names.index(c)])) for c in cols) for r in cur.fetchall())
+    mine = sorted(tuple(shown(r[c]) for c in cols) for r in df.collect())
+    return mine, sorted(tuple(shown(r[names.index(c)]) for c in cols) for r in cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["block_bootstrap"])
+@pytest.mark.parametrize("name", ["block_bootstrap", "cluster_tstat"])
 def test_no_bars(spark, tmp_path, name):
     folder, con = folder_of(tmp_path, "SELECT * FROM {source} WHERE FALSE")
     mine, theirs = both(entry_points.queries()[name](spark, folder), con.execute(entry_points.oracle_sql()[name]))
@@ -61,13 +66,19 @@ def few_trades(spark, monkeypatch, name, trades):
     return both(entry_points.queries()[name](spark, SMALL), con.execute("WITH lab AS (SELECT * FROM given)" + tail[at:]))
 
 
-@pytest.mark.parametrize("name", ["block_bootstrap"])
+@pytest.mark.parametrize("name", ["block_bootstrap", "cluster_tstat"])
 @pytest.mark.parametrize("count", [0, 1, 2, 3])
 def test_few_trades(spark, monkeypatch, name, count):
     mine, theirs = few_trades(spark, monkeypatch, name, TRADES[:count])
     assert mine == theirs
 
 
+def test_what_is_over_zero(spark):
+    rows = spark.createDataFrame([(1.0, 2), (1.0, 0), (-1.0, 0), (0.0, 0), (None, 0), (1.0, None)], "a double, b bigint")
+    got = [r[0] for r in rows.select(float_div(C("a"), C("b"))).collect()]
+    assert got[:3] == [0.5, float("inf"), float("-inf")] and got[3] != got[3] and got[4:] == [None, None]
+
+
 def test_no_interval_under_the_least_months(spark):
     rows = spark.createDataFrame([(d, r) for _, _, d, r in TRADES], "entry_date string, r double").withColumn("entry_date", C("entry_date").cast("date"))
     assert rs.block_bootstrap(spark, rows, iters=5).count() == 0
