@@ -190,7 +190,10 @@ def compound_stats(trades: DataFrame, keys: list[str], ret: Column, floor: float
 
 
 def series_stats(series: DataFrame, key: str = "ticker") -> DataFrame:
-    """Growth, drawdown and calendar years of value series (key, dt, value); a series is bounded by the calendar."""
+    """Growth, drawdown and calendar years of value series (key, dt, value); a series is bounded by the calendar.
+
+    A series of one day has not grown, and growth over a drawdown of zero is infinite, or NaN without growth.
+    """
     so_far = Window.partitionBy(key).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     s = series.withColumn("fall", C("value") / F.max("value").over(so_far) - 1)
     years = s.groupBy(key, F.year("dt").alias("year")).agg(
@@ -211,8 +214,8 @@ def series_stats(series: DataFrame, key: str = "ticker") -> DataFrame:
         F.count_if(C("ret") < 0).alias("neg_years"),
         F.map_from_entries(F.collect_list(F.struct("year", "ret"))).alias("yearly"),
     )
-    cagr = F.when(C("days") > 0, F.pow(C("final") / C("first"), 365.25 / C("days")) - 1)
-    return g.withColumn("cagr", cagr).withColumn("mar", F.try_divide("cagr", F.abs("max_dd"))).drop("first", "days")
+    cagr = F.when(C("days") == 0, 0.0).otherwise(F.pow(C("final") / C("first"), F.try_divide(F.lit(365.25), C("days"))) - 1)
+    return g.withColumn("cagr", cagr).withColumn("mar", float_div(C("cagr"), F.abs("max_dd"))).drop("first", "days")
 
 
 def variant_rank(trades: DataFrame, split: str) -> DataFrame:

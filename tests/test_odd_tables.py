@@ -45,6 +45,20 @@ def test_no_bars(spark, tmp_path, name):
     assert mine == theirs
 
 
+@pytest.mark.parametrize(
+    "lines",
+    [
+        "SELECT * REPLACE (TIMESTAMP '1995-03-01' AS l_shipdate) FROM {source}",
+        "SELECT * REPLACE (0.05::DOUBLE AS l_discount) FROM {source}",
+    ],
+    ids=["one day", "rising"],
+)
+def test_series_that_never_fall(spark, tmp_path, lines):
+    folder, con = folder_of(tmp_path, lines)
+    mine, theirs = both(entry_points.queries()["series_stats"](spark, folder), con.execute(entry_points.oracle_sql()["series_stats"]))
+    assert mine == theirs
+
+
 TRADES = [("A", 1, "1995-01-03", 1.5), ("A", 9, "1995-01-20", -1.0), ("B", 4, "1995-02-01", 0.25)]
 
 
