@@ -38,7 +38,7 @@ def both(df, cur):
     return mine, sorted(tuple(shown(r[names.index(c)]) for c in cols) for r in cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["block_bootstrap", "cluster_tstat", "compound_stats"])
+@pytest.mark.parametrize("name", ["block_bootstrap", "cluster_tstat", "compound_stats", "trade_summary"])
 def test_no_bars(spark, tmp_path, name):
     folder, con = folder_of(tmp_path, "SELECT * FROM {source} WHERE FALSE")
     mine, theirs = both(entry_points.queries()[name](spark, folder), con.execute(entry_points.oracle_sql()[name]))
@@ -80,7 +80,7 @@ def few_trades(spark, monkeypatch, name, trades):
     return both(entry_points.queries()[name](spark, SMALL), con.execute("WITH lab AS (SELECT * FROM given)" + tail[at:]))
 
 
-@pytest.mark.parametrize("name", ["block_bootstrap", "cluster_tstat", "compound_stats"])
+@pytest.mark.parametrize("name", ["block_bootstrap", "cluster_tstat", "compound_stats", "trade_summary"])
 @pytest.mark.parametrize("count", [0, 1, 2, 3])
 def test_few_trades(spark, monkeypatch, name, count):
     mine, theirs = few_trades(spark, monkeypatch, name, TRADES[:count])
