@@ -14,7 +14,7 @@ from tapeloom.plans.registry import query
 from tapeloom.session import shared_folder
 from tapeloom.sources import feeds, store
 from tapeloom.sources.bars import daily, sectors, table
-from tapeloom.streaming.bars import deduplicated, newest_rows, write_versions
+from tapeloom.streaming.bars import deduplicated, deliver, newest_rows, write_versions
 
 C = F.col
 
@@ -208,10 +208,11 @@ def stream_corrections(spark, sf):
     fixed = older.filter(C("event_id") % 5 == 0).withColumns({"value": C("value") * 2, "version": F.lit(2)})
     again = older.filter(C("event_id") % 3 == 0).withColumn("value", F.lit(-1.0))  # would show if it were taken
     rest = events.filter(C("ts") >= cut).withColumn("version", F.lit(3))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k, rows in enumerate((older, rest.unionByName(rest), fixed.unionByName(fixed).unionByName(again))):
-        rows.coalesce(1).write.parquet(f"{folder}/in/delivery={k}")
+        deliver(rows, f"{folder}/in/delivery={k}", files)
     schema = "event_id bigint, ts timestamp, value double, version int, delivery int"
-    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").drop("delivery")
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in").drop("delivery")
     once = deduplicated(feed, ["event_id", "version"], "5 days")
     write_versions(once, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return newest_rows(spark, f"{folder}/out", ["event_id"]).select("event_id", "value", "version")

@@ -38,6 +38,17 @@ def deduplicated(feed: DataFrame, keys: list[str], late: str = "1 day") -> DataF
     return feed.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def deliver(rows: DataFrame, path: str, files: int) -> None:
+    """Land a delivery as exactly so many files, so that a feed of that many a micro-batch takes it whole.
+
+    Rows are dealt out evenly; only where there are too few for every file, empty files make up the number.
+    """
+    rows.repartition(files).write.parquet(path)
+    spark = rows.sparkSession
+    for _ in range(files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+        rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+
+
 def write_versions(feed: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Keep every micro-batch under the time its run began and its number; rows carry both as their version.
 

@@ -1,6 +1,10 @@
 import datetime as dt
 
-from tapeloom.streaming.bars import compact, deduplicated, newest_rows, tick_bars, write_versions
+from pyspark.sql import functions as F
+
+from tapeloom.plans import landing
+from tapeloom.session import shared_folder
+from tapeloom.streaming.bars import compact, deduplicated, deliver, newest_rows, tick_bars, write_versions
 
 
 def test_tick_bars_and_versions(spark, tmp_path):
@@ -46,3 +50,26 @@ def test_repeated_deliveries_are_dropped(spark, tmp_path):
     feed = deduplicated(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["ticker", "ts"])
     write_versions(feed, str(tmp_path / "t"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_a_delivery_is_dealt_over_its_files_and_taken_whole(spark, tmp_path):
+    for k, rows in enumerate((1000, 2, 0, 50)):
+        deliver(spark.range(rows).withColumn("k", F.lit(k)), str(tmp_path / "in" / f"delivery={k}"), 4)
+        files = spark.read.schema("id bigint").parquet(str(tmp_path / "in" / f"delivery={k}"))
+        assert len(files.inputFiles()) == 4 and files.count() == rows
+    most = spark.read.parquet(str(tmp_path / "in" / "delivery=0")).groupBy(F.input_file_name()).count().agg(F.max("count"))
+    assert most.first()[0] <= 300
+    feed = spark.readStream.schema("id bigint, k int, delivery int").option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "in"))
+    write_versions(feed, str(tmp_path / "t"), str(tmp_path / "ck")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "t")).groupBy("batch", "k").count().collect()
+    assert {(r.batch, r.k, r["count"]) for r in got} == {(0, 0, 1000), (1, 1, 2), (3, 3, 50)}
+
+
+def test_corrections_are_landed_by_many_tasks(spark, monkeypatch):
+    landed = []
+    monkeypatch.setattr(landing, "shared_folder", lambda spark, name: landed.append(shared_folder(spark, name)) or landed[-1])
+    rows = landing.stream_corrections(spark, "/root/testdata/sf0.01")
+    assert rows.count() == 10_000
+    for k in range(3):
+        each = spark.read.parquet(f"{landed[0]}/in/delivery={k}").groupBy(F.input_file_name()).count()
+        assert each.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
