@@ -150,14 +150,15 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
     """a, b: links that connect every pair of fingerprints at ``most`` bits or fewer (spanning, not all pairs).
 
     ``distinct`` holds each fingerprint once in ``fp``. A key shared by many fingerprints is cut into
-    pieces of about ``GROUP``, and each pair of pieces is its own task.
+    pieces of about ``GROUP``, and each pair of pieces is its own task. The join is a merge join: Spark
+    sizes ``rows`` by its input, without the rows that each fingerprint is spread to, and would broadcast it.
     """
     rows = distinct.select("fp").mapInArrow(_keyed(most + 2), "key bigint, fp bigint, row binary")
     held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(C("n") > 1)
     pieces = F.ceil(C("n") / GROUP).cast("int")
     mine = F.pmod(F.xxhash64("fp", "key"), C("pieces")).cast("int")
     dealt = (
-        rows.join(held, "key")
+        rows.join(held.hint("merge"), "key")
         .withColumn("pieces", pieces)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), C("pieces") - 1)))
@@ -169,15 +170,19 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
 
 
 def _resolved(docs: DataFrame, words: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their fingerprints, and for each fingerprint its component's head and smallest doc_id."""
+    """Rows with their fingerprints, and for each fingerprint its component's head and smallest doc_id.
+
+    Tables of fingerprints are compressed files, smaller than the rows they hold, so none is broadcast.
+    """
     safe_unions(docs.sparkSession)
     marked = kept(fingerprints(docs, words), "fingerprints")
     distinct = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     labels = components(near_links(distinct, most), "a", "b")
-    heads = distinct.join(labels, C("fp") == C("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("head"))
+    heads = distinct.join(labels.hint("merge"), C("fp") == C("node"), "left")
+    heads = heads.select("fp", "first", F.coalesce("component", "fp").alias("head"))
     heads = kept(heads, "heads")
     least = heads.groupBy("head").agg(F.min("first").alias("component_id"))
-    return marked, heads.join(least, "head").select("fp", "head", "component_id")
+    return marked, heads.join(least.hint("merge"), "head").select("fp", "head", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
@@ -189,7 +194,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame
     table gives an empty result.
     """
     marked, known = _resolved(docs, words, most)
-    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(known.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from tapeloom.llm.common import kept
 from tapeloom.llm.components import components
 from tapeloom.llm.simhash import fingerprint, near_duplicates, near_links, one_of_each
 
@@ -85,6 +86,24 @@ def test_edges(edges, nothing):
     assert near_duplicates(nothing).count() == 0 and one_of_each(nothing).count() == 0
 
 
+def test_no_table_of_fingerprints_is_broadcast(spark, docs_of, monkeypatch):
+    plans = []
+
+    def planned(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    for module in ("simhash", "components"):
+        monkeypatch.setattr(f"tapeloom.llm.{module}.kept", planned)
+    rng = random.Random(4)
+    text = " ".join(str(rng.randrange(1000)) for _ in range(500))
+    assert 0 < (by_definition(text) ^ by_definition(text + " end")).bit_count() <= 4
+    rows = [(k, text + (" end" if k % 2 else ""), "en", "a") for k in range(40)] + [(40, None, "en", "a"), (None, "an other text", "en", "a")]
+    got = planned(near_duplicates(docs_of(rows))).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(k, 0) for k in range(40)] + [(40, 40)]
+    assert len(got) == 42 and sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_one_of_each_group_stays(docs_of):
     docs = docs_of([*EDGES, (None, "quite another text, without an id of its own", "en", "a")] + [(None, "quite another text, without an id of its own", "en", "a")])
     kept = one_of_each(docs)
