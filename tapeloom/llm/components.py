@@ -9,29 +9,33 @@ from tapeloom.llm.common import kept
 
 C = F.col
 
+#: Links, as counted, up to which the smallest neighbours of a round are sent whole to every task.
+SENT = 50_000
 
-def _stored(least: DataFrame) -> DataFrame:
-    """One row a node, for a merge join with links, in which adaptive execution splits the links of a hub.
+
+def _sized(least: DataFrame, links: int) -> DataFrame:
+    """One row a node, to join with links: broadcast if these were counted to be few.
 
     Spark would size either side by compressed files in which each link counts once, and broadcast more
-    than the driver holds.
+    than the driver holds. A stored table and a merge join let adaptive execution split the links of a hub.
     """
-    return kept(least, "least").hint("merge")
+    return F.broadcast(least) if links <= SENT else kept(least, "least").hint("merge")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     """Every node ties its larger neighbours to the smallest node of its neighbourhood."""
     ways = [F.struct(C(u).alias("u"), C(v).alias("v")) for u, v in (("hi", "lo"), ("lo", "hi"))]
     both = edges.select(F.inline(F.array(*ways)))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(_stored(least), "u").filter(C("v") > C("u")).select(C("v").alias("hi"), C("m").alias("lo")).distinct()
+    ties = both.join(_sized(least, links), "u").filter(C("v") > C("u")).select(C("v").alias("hi"), C("m").alias("lo")).distinct()
+    return ties if links <= SENT else kept(ties, "ties")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
     """Every node ties itself and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
     ties = F.array(F.struct(C("hi").alias("a"), C("m").alias("b")), F.struct(C("lo").alias("a"), C("m").alias("b")))
-    pairs = edges.join(_stored(least), "hi").select(F.inline(ties)).filter(C("a") != C("b"))
+    pairs = edges.join(_sized(least, links), "hi").select(F.inline(ties)).filter(C("a") != C("b"))
     return pairs.select(C("a").alias("hi"), C("b").alias("lo")).distinct()
 
 
@@ -57,6 +61,6 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     seen = None
     while (now := _digest(edges)) != seen:
         seen = now
-        edges = kept(_small_star(kept(_large_star(edges), "large")), "stars")
+        edges = kept(_small_star(_large_star(edges, now[0]), now[0]), "stars")
     heads = edges.select(C("lo").alias("node"), C("lo").alias("component")).distinct()
     return edges.select(C("hi").alias("node"), C("lo").alias("component")).unionByName(heads)
