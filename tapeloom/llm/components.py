@@ -14,7 +14,7 @@ SENT = 50_000
 
 
 def _sized(least: DataFrame, links: int) -> DataFrame:
-    """One row a node, to join with links: broadcast if these were counted to be few.
+    """One row a node, to join with links: broadcast if links were counted to be few.
 
     Spark would size either side by compressed files in which each link counts once, and broadcast more
     than the driver holds. A stored table and a merge join let adaptive execution split the links of a hub.
@@ -50,7 +50,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     Links may repeat, run either way or join a node to itself (ignored); null ends are ignored.
     A hub's links are reduced by grouped minima before each shuffle and are never gathered in one
     task. Each round is written to the shared folder; only its row count and a checksum reach the
-    driver. An empty table gives an empty result.
+    driver. The result is hinted for a join: broadcast up to ``SENT`` links, else merged. An empty
+    table gives an empty result.
     """
     edges = (
         links.select(F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo"))
@@ -63,4 +64,5 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         seen = now
         edges = kept(_small_star(_large_star(edges, now[0]), now[0]), "stars")
     heads = edges.select(C("lo").alias("node"), C("lo").alias("component")).distinct()
-    return edges.select(C("hi").alias("node"), C("lo").alias("component")).unionByName(heads)
+    found = edges.select(C("hi").alias("node"), C("lo").alias("component")).unionByName(heads)
+    return F.broadcast(found) if now[0] <= SENT else found.hint("merge")

@@ -172,13 +172,14 @@ def near_links(distinct: DataFrame, most: int = 4) -> DataFrame:
 def _resolved(docs: DataFrame, words: int, most: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their fingerprints, and for each fingerprint its component's head and smallest doc_id.
 
-    Tables of fingerprints are compressed files, smaller than the rows they hold, so none is broadcast.
+    Tables of fingerprints are compressed files, smaller than the rows they hold, so none is broadcast;
+    labels come with their hint.
     """
     safe_unions(docs.sparkSession)
     marked = kept(fingerprints(docs, words), "fingerprints")
     distinct = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     labels = components(near_links(distinct, most), "a", "b")
-    heads = distinct.join(labels.hint("merge"), C("fp") == C("node"), "left")
+    heads = distinct.join(labels, C("fp") == C("node"), "left")
     heads = heads.select("fp", "first", F.coalesce("component", "fp").alias("head"))
     heads = kept(heads, "heads")
     least = heads.groupBy("head").agg(F.min("first").alias("component_id"))
